@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnFn = Callable[[Column], Column]
@@ -23,6 +23,16 @@ def let(value: Column, body: ColumnFn) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def held(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a costly column that later filters cannot duplicate.
+
+    Catalyst pushes a filter on a projected column below the projection, where the column is
+    computed a second time.  It cannot do so below a generator, and it still pushes filters on
+    all other columns down to the scan.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def when_guarded(value: Column, guard: ColumnFn, rewrite: ColumnFn) -> Column:
     """Apply ``rewrite`` only where the cheap ``guard`` says that it could change the text."""
     return let(value, lambda v: F.when(guard(v), rewrite(v)).otherwise(v))

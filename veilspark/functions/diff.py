@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.core import let
+from veilspark.functions.core import held, let
 from veilspark.functions.lines import split_lines
 
 
@@ -226,7 +226,7 @@ def with_diff(df: DataFrame, raw: str = "text", clean: str = "sanitized_text", o
     diff = F.when(side.isNotNull(), assemble(side["old"], side["new"], pairs)).when(
         clean_col.isNotNull(), unchanged
     )
-    return aligned.withColumn(out, diff).drop("_sides", "_flat")
+    return held(aligned, diff, out).drop("_sides", "_flat")
 
 
 def diff_matches(content: Column, query: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.core import let
+from veilspark.functions.core import held, let
 from veilspark.functions.findings import findings
 from veilspark.functions.lines import clean_lines, split_lines
 from veilspark.functions.pii import redact_pii
@@ -88,13 +88,10 @@ def token_report(df: DataFrame, dim: str, stats: str = "token_stats") -> DataFra
 def publishable(df: DataFrame, clean: str = "sanitized_text", region: str | Column = "FR") -> DataFrame:
     """Rows in whose clean text a second detection pass finds nothing to replace.
 
-    The text goes through a generator, below which Catalyst cannot push the test; otherwise
-    it would clean every text twice.
+    The text is held, so that the test cannot move below the cleaning and repeat it.
     """
-    rest = [c for c in df.columns if c != clean]
-    held = df.select(*rest, F.explode(F.array(F.col(clean))).alias(clean))
-    again = redact_pii(redact_secrets(F.col(clean)), region)
-    return held.where(again == F.col(clean)).select(*df.columns)
+    again = redact_pii(redact_secrets(F.col("_held")), region)
+    return held(df, F.col(clean), "_held").where(again == F.col("_held")).select(*df.columns)
 
 
 def noise_share(text: Column) -> Column:

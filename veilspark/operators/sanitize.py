@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.core import is_nonblank, utrim
+from veilspark.functions.core import held, is_nonblank
 from veilspark.functions.diff import with_diff
 from veilspark.functions.rewrite import distill_eligible, reply_text, rewrite_accepted, strip_fences
-from veilspark.functions.sanitize import sanitize, sanitize_text
+from veilspark.functions.sanitize import sanitize_column, sanitize_text_column
 from veilspark.functions.tokens import token_stats
 
 
+RESULT_SCHEMA = (
+    "raw_text string, sanitized_text string, stage1_text string, is_distilled boolean, "
+    "token_stats struct<raw_tokens: bigint, sanitized_tokens: bigint, saved_tokens: bigint, reduction_percent: double>, "
+    "diff_lines array<struct<change_type: string, old_line_no: int, new_line_no: int, content: string>>"
+)
+
+
 def sanitize_table(df: DataFrame, text: str = "text", region: str | Column = "FR", **lexicon) -> DataFrame:
     """Add ``sanitized_text`` and ``flagged_profanity``; one map stage, no shuffle."""
-    return (
-        df.withColumn("_clean", sanitize(F.col(text), region, **lexicon))
-        .withColumn("sanitized_text", F.col("_clean.text"))
-        .withColumn("flagged_profanity", F.col("_clean.flagged_profanity"))
-        .drop("_clean")
+    cleaned = held(df, sanitize_column(text, region, **lexicon), "_clean")
+    return cleaned.select(
+        *df.columns, F.col("_clean.text").alias("sanitized_text"), F.col("_clean.flagged_profanity")
     )
 
 
@@ -55,8 +60,9 @@ def apply_rewrites(
 
 def safety_pass(df: DataFrame, region: str | Column = "FR", **lexicon) -> DataFrame:
     """Sanitize accepted rewrites again; rows without one keep their stage-1 text."""
-    again = sanitize_text(F.when(F.col("is_distilled"), F.col("distilled_text")), region, **lexicon)
-    return df.withColumn("sanitized_text", F.coalesce(again, F.col("stage1_text")))
+    accepted = df.withColumn("_accepted", F.when(F.col("is_distilled"), F.col("distilled_text")))
+    again = sanitize_text_column("_accepted", region, **lexicon)
+    return accepted.withColumn("sanitized_text", F.coalesce(again, F.col("stage1_text"))).drop("_accepted")
 
 
 def process_table(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.profanity import WORD_PATTERN, fold_word
-from veilspark.functions.sanitize import sanitize_text
+from veilspark.functions.sanitize import sanitize_text_column
 from veilspark.sources.texts import new_dir
 
 
@@ -42,7 +42,7 @@ def sanitize_conversations(
         F.floor(F.col(turn) / segment_turns).alias("segment"),
         F.struct(
             F.col(turn).alias("turn"),
-            F.concat(F.col(role), F.lit(": "), sanitize_text(F.col(text), region)).alias("line"),
+            F.concat(F.col(role), F.lit(": "), sanitize_text_column(text, region)).alias("line"),
         ).alias("t"),
     )
     grouped = turns.groupBy(conversation, "segment").agg(F.sort_array(F.collect_list("t")).alias("ts"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.texts import spread
+
 # Valid in Spark SQL and in DuckDB: one log text per event, 32 kinds that reach every rule.
 LOGS_SQL = """
 SELECT event_id, ts, event_type AS source, event_id % 32 AS kind,
@@ -74,6 +76,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are about to be cleaned."""
+    return spread(table(spark, sf_dir, name))
+
+
 def logs_from(events: DataFrame) -> DataFrame:
     """Log texts (event_id, ts, source, kind, text) for a table or stream of events."""
     head, _, _ = LOGS_SQL.partition("FROM (SELECT *")
@@ -89,7 +96,7 @@ def logs_from(events: DataFrame) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs_from(table(spark, sf_dir, "events"))
+    return logs_from(texts(spark, sf_dir, "events"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +106,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(F.lit(name).alias("corpus"), id.alias("id"), source.alias("source"), lang.alias("lang"), text.alias("text"))
 
     c, lit = F.col, F.lit
-    documents = part(table(spark, sf_dir, "documents"), "documents", c("doc_id"), c("source"), c("lang"), c("text"))
-    pages = part(table(spark, sf_dir, "pages"), "pages", c("page_id"), lit("web"), lit("html"), c("html"))
+    documents = part(texts(spark, sf_dir, "documents"), "documents", c("doc_id"), c("source"), c("lang"), c("text"))
+    pages = part(texts(spark, sf_dir, "pages"), "pages", c("page_id"), lit("web"), lit("html"), c("html"))
     talks = part(
-        table(spark, sf_dir, "conversations"), "conversations", c("conv_id") * 100000 + c("turn"), c("role"), lit("chat"), c("text")
+        texts(spark, sf_dir, "conversations"), "conversations", c("conv_id") * 100000 + c("turn"), c("role"), lit("chat"), c("text")
     )
     lines = part(logs(spark, sf_dir), "logs", c("event_id"), c("source"), lit("log"), c("text"))
     return documents.unionByName(pages).unionByName(talks).unionByName(lines)

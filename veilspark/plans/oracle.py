@@ -296,7 +296,8 @@ def found_ctes(source: str, keep: str) -> str:
 
 # ---- Diff: occurrence join, with the display order as a sort key ------------------------------
 
-DIFF = f"""{sanitized_ctes()},
+DOCS_AS_CORPUS = "s0 AS (SELECT 'documents' AS corpus, doc_id AS id, text, text AS t FROM documents)"
+DIFF_STEPS = f"""
   {split_ctes('old_lines', 'clean', K, 'text')}, {split_ctes('new_lines', 'clean', K, 't')},
   o AS (SELECT *, row_number() OVER (PARTITION BY {K}, line ORDER BY no) AS occ FROM old_lines),
   w AS (SELECT *, row_number() OVER (PARTITION BY {K}, line ORDER BY no) AS occ FROM new_lines),
@@ -315,6 +316,8 @@ DIFF = f"""{sanitized_ctes()},
   diff AS (SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY block, part, coalesce(old_no, new_no)) AS pos,
                   change_type, old_no::INT AS old_line_no, new_no::INT AS new_line_no, content FROM placed)"""
 
+DIFF = f"{sanitized_ctes()}, {DIFF_STEPS}"
+
 RENDERED = (
     "concat(coalesce(old_line_no::VARCHAR, ''), chr(9), coalesce(new_line_no::VARCHAR, ''), chr(9), "
     "CASE change_type WHEN 'delete' THEN '-' WHEN 'add' THEN '+' ELSE ' ' END, ' ', content)"
@@ -335,6 +338,15 @@ ORACLE: dict[str, str] = {
     "latest_per_source": f"""WITH {LOGS_CLEAN}
         SELECT source, event_id, t AS text FROM clean
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC, event_id DESC) = 1""",
+    "result_json": f"""WITH {sanitized_ctes(DOCS_AS_CORPUS)}, {DIFF_STEPS}, stats AS {stats_select('clean', 'text', 't')},
+        counted AS (SELECT id, count(*) AS n, count(*) FILTER (change_type = 'delete') AS d FROM diff GROUP BY id)
+        SELECT s.id AS doc_id, s.text AS raw_text, s.t AS sanitized_text, s.t AS stage1_text, false AS is_distilled,
+               raw_tokens, sanitized_tokens, saved_tokens, reduction_percent,
+               coalesce(n, 0) AS n_diff_lines, coalesce(d, 0) AS n_deleted
+        FROM stats s LEFT JOIN counted USING (id)""",
+    "prompt_rows": f"""SELECT doc_id, concat({q(RW.INSTRUCTION)}, {NL}, {NL}, 'LOG:', {NL}, text) AS prompt,
+        {RW.MAX_NEW_TOKENS}::BIGINT AS num_predict, {RW.TEMPERATURE}::DOUBLE AS temperature
+        FROM documents WHERE {eligible_sql('text')}""",
     "nonblank_docs": f"WITH {base_ctes()} SELECT {K}, text FROM corpus WHERE NOT {blank_sql('text')}",
     "diff_search": f"WITH {DIFF} SELECT * FROM diff WHERE contains(lower(content), 'redacted')",
     "distill_eligible": f"WITH {base_ctes()} SELECT {K}, {eligible_sql('text')} AS eligible FROM corpus",

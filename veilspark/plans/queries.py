@@ -14,14 +14,21 @@ from veilspark.functions.pii import redact_card, redact_email, redact_iban, reda
 from veilspark.functions.profanity import censor_profanity, flag_profanity
 from veilspark.functions.rewrite import distill_eligible, prompt_request, reply_text, rewrite_accepted, strip_fences
 from veilspark.functions.rules import ALL_RULES
-from veilspark.functions.sanitize import sanitize_text
+from veilspark.functions.sanitize import sanitize_text_column
 from veilspark.functions.secrets import clean_stage1, redact_high_entropy
 from veilspark.functions.tokens import count_pretokens, count_words, stats_label, token_stats
 from veilspark.operators import report as R
 from veilspark.operators.runs import collapse_rows, prune_rows
-from veilspark.operators.sanitize import apply_rewrites, process_table, result_json, safety_pass, sanitize_table
+from veilspark.operators.sanitize import (
+    RESULT_SCHEMA,
+    apply_rewrites,
+    process_table,
+    result_json,
+    safety_pass,
+    sanitize_table,
+)
 from veilspark.operators.tables import latest_per_source, sanitize_conversations
-from veilspark.plans.corpus import corpus, logs, logs_from, replies, table
+from veilspark.plans.corpus import corpus, logs, logs_from, replies, table, texts
 from veilspark.sources.texts import load_texts, new_dir, nonblank, write_texts
 from veilspark.streaming import jobs as S
 
@@ -56,7 +63,7 @@ def sanitize_full(spark, sf):
 
 
 def sanitize_pipeline(spark, sf):
-    documents = table(spark, sf, "documents")
+    documents = texts(spark, sf, "documents")
     done = process_table(documents, ["doc_id"], rewrites=replies(spark, sf), diff=False)
     return done.select(
         "doc_id", "raw_text", "stage1_text", "sanitized_text", "is_distilled", "flagged_profanity", "token_stats.*"
@@ -73,12 +80,18 @@ def sink_roundtrip(spark, sf):
 
 def latest(spark, sf):
     newest = latest_per_source(logs(spark, sf), "source", ["ts", "event_id"])
-    return newest.select("source", "event_id", sanitize_text(F.col("text")).alias("text"))
+    return newest.select("source", "event_id", sanitize_text_column("text").alias("text"))
 
 
 def result_json_query(spark, sf):
-    done = process_table(table(spark, sf, "documents"), ["doc_id"])
-    return result_json(done).select("doc_id", "result_json")
+    """The record as JSON, read back by its schema."""
+    done = process_table(texts(spark, sf, "documents"), ["doc_id"])
+    read = result_json(done).select("doc_id", F.from_json("result_json", RESULT_SCHEMA).alias("r"))
+    return read.select(
+        "doc_id", "r.raw_text", "r.sanitized_text", "r.stage1_text", "r.is_distilled", "r.token_stats.*",
+        F.size("r.diff_lines").cast("long").alias("n_diff_lines"),
+        F.size(F.filter("r.diff_lines", lambda d: d["new_line_no"].isNull())).cast("long").alias("n_deleted"),
+    )
 
 
 def split_lines_query(spark, sf):
@@ -116,7 +129,7 @@ def _diffed(spark, sf) -> DataFrame:
 
 
 def diff_lines(spark, sf):
-    return _diffed(spark, sf).select(*KEYS, F.posexplode_outer("diff_lines").alias("pos", "d")).where("pos IS NOT NULL").select(
+    return _diffed(spark, sf).select(*KEYS, F.posexplode("diff_lines").alias("pos", "d")).select(
         *KEYS, (F.col("pos") + 1).cast("long").alias("pos"), "d.*"
     )
 
@@ -139,7 +152,7 @@ def diff_render(spark, sf):
 
 
 def _staged(spark, sf) -> DataFrame:
-    return sanitize_table(table(spark, sf, "documents")).withColumnRenamed("sanitized_text", "stage1_text")
+    return sanitize_table(texts(spark, sf, "documents")).withColumnRenamed("sanitized_text", "stage1_text")
 
 
 def distill_guard(spark, sf):
@@ -168,7 +181,13 @@ def reply_text_query(spark, sf):
 
 def prompt_rows(spark, sf):
     eligible = table(spark, sf, "documents").where(distill_eligible(F.col("text")))
-    return eligible.select("doc_id", prompt_request(F.col("text"), "any-model").alias("request"))
+    request = prompt_request(F.col("text"), "any-model")
+    return eligible.select("doc_id", request.alias("request")).select(
+        "doc_id",
+        F.get_json_object("request", "$.prompt").alias("prompt"),
+        F.get_json_object("request", "$.options.num_predict").cast("long").alias("num_predict"),
+        F.get_json_object("request", "$.options.temperature").cast("double").alias("temperature"),
+    )
 
 
 def findings_query(spark, sf):
@@ -192,7 +211,7 @@ def noisiest_docs(spark, sf):
 
 
 def conversations(spark, sf):
-    return sanitize_conversations(table(spark, sf, "conversations"), segment_turns=4)
+    return sanitize_conversations(texts(spark, sf, "conversations"), segment_turns=4)
 
 
 def _events_stream(spark, sf) -> DataFrame:

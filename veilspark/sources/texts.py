@@ -27,8 +27,8 @@ def load_texts(
     and the id defaults to the file's path.
     """
     if fmt == "text":
-        options.setdefault("wholetext", True)
-        df = spark.read.options(**options).text(path)
+        options.setdefault("wholetext", "true")
+        df = spark.read.format("text").options(**options).load(path)
         return df.select(F.input_file_name().alias("id"), F.col("value").alias("text"))
     reader = spark.read.format(fmt).options(**options)
     df = (reader.schema(schema) if schema else reader).load(path)
@@ -36,6 +36,25 @@ def load_texts(
     return df.select(key.alias("id"), F.col(text).alias("text"), *keep)
 
 
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work where a small input has fewer files than there are cores.
+
+    Cleaning is bound by the processor, and a file that is one parquet row group is one task.
+    Inputs of more files, or of more bytes than one split per core, are left as they are.
+    """
+    context, files = df.sparkSession.sparkContext, df.inputFiles()
+    cores = context.defaultParallelism
+    if not files or len(files) >= cores:
+        return df
+    sizes = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length"), F.max("length")).first()
+    if sizes[0] is None or sizes[0] > SPREAD_BYTES * cores:
+        return df
+    return df.repartition(cores)
+
+
 def nonblank(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose text has more than white space."""
     return df.where(is_nonblank(F.col(text)))

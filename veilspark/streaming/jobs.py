@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veilspark.functions.findings import findings
-from veilspark.functions.sanitize import sanitize_text
+from veilspark.functions.sanitize import sanitize_text_column
 from veilspark.operators.runs import find_runs
 from veilspark.operators.sanitize import sanitize_table
 
@@ -53,7 +53,7 @@ def marker_count_stream(
 ) -> StreamingQuery:
     """Findings per event-time window, source and rule; late rows count within ``delay``."""
     found = stream.withWatermark(time, delay).select(
-        time, source, F.explode(findings(sanitize_text(F.col("text")))).alias("f")
+        time, source, F.explode(findings(sanitize_text_column("text"))).alias("f")
     )
     span = F.window(time, window, slide) if slide else F.window(time, window)
     counts = (
