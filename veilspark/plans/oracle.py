@@ -361,6 +361,12 @@ ORACLE: dict[str, str] = {
     "entropy_scalar": mapped(f"round({entropy_sql('t')}, 6)", name="entropy"),
     "profanity_flag": f"WITH {base_ctes()}, c AS (SELECT *, {PROFANE} AS censored FROM s0) SELECT {K}, censored <> t AS flagged FROM c",
     "profanity_censor": mapped(PROFANE),
+    "lexicon_flag": f"""WITH {base_ctes()},
+        terms AS (SELECT DISTINCT {_FOLDED} AS w FROM (SELECT unnest(regexp_extract_all(text, {q(WORD_PATTERN)})) AS h FROM benchmark)
+                  WHERE length(h) > 11),
+        words AS (SELECT DISTINCT {K}, {_FOLDED} AS w FROM (SELECT {K}, unnest(regexp_extract_all(t, {q(WORD_PATTERN)})) AS h FROM s0)),
+        hits AS (SELECT DISTINCT {K} FROM words WHERE w IN (SELECT w FROM terms))
+        SELECT c.corpus, c.id, h.id IS NOT NULL AS flagged FROM corpus c LEFT JOIN hits h ON c.corpus = h.corpus AND c.id = h.id""",
     "split_lines": f"WITH {base_ctes()}, {split_ctes('l', 's0')} SELECT {K}, no AS line_no, line FROM l",
     "prune_frames": f"WITH {base_ctes()}, {split_ctes('l', 's0')}, {prune_ctes('p', 'l')}, {join_ctes('j', 's0', 'p')} SELECT {K}, t AS text FROM j",
     "collapse_duplicates": f"WITH {base_ctes()}, {split_ctes('l', 's0')}, {collapse_ctes('p', 'l')}, {join_ctes('j', 's0', 'p')} SELECT {K}, t AS text FROM j",

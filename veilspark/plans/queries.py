@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from veilspark.functions import diff as D
 from veilspark.functions.core import is_nonblank, shannon_entropy
 from veilspark.functions.lines import collapse_duplicates, prune_frames, split_lines
 from veilspark.functions.pii import redact_card, redact_email, redact_iban, redact_phone, redact_pii
-from veilspark.functions.profanity import censor_profanity, flag_profanity
+from veilspark.functions.profanity import WORD_PATTERN, censor_profanity, flag_profanity
 from veilspark.functions.rewrite import distill_eligible, prompt_request, reply_text, rewrite_accepted, strip_fences
 from veilspark.functions.rules import ALL_RULES
 from veilspark.functions.sanitize import sanitize_text_column
@@ -27,9 +29,9 @@ from veilspark.operators.sanitize import (
     safety_pass,
     sanitize_table,
 )
-from veilspark.operators.tables import latest_per_source, sanitize_conversations
+from veilspark.operators.tables import flag_by_lexicon, latest_per_source, sanitize_conversations
 from veilspark.plans.corpus import corpus, logs, logs_from, replies, table, texts
-from veilspark.sources.texts import load_texts, new_dir, nonblank, write_texts
+from veilspark.sources.texts import load_texts, new_dir, nonblank, spread_tasks, write_texts
 from veilspark.streaming import jobs as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +40,13 @@ KEYS = ["corpus", "id"]
 
 
 def _mapped(fn: Callable[[Column], Column], name: str = "text") -> Query:
-    """A query that maps every text of the corpus."""
-    return lambda spark, sf: corpus(spark, sf).select(*KEYS, fn(F.col("text")).alias(name))
+    """A query that maps every text of the corpus; the expression is put together once."""
+
+    @lru_cache(maxsize=1)
+    def expression(gateway: int) -> Column:
+        return fn(F.col("text")).alias(name)
+
+    return lambda spark, sf: corpus(spark, sf).select(*KEYS, expression(id(SparkContext._gateway)))
 
 
 def _sanitized(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,6 +108,13 @@ def split_lines_query(spark, sf):
     )
 
 
+def lexicon_flag(spark, sf):
+    """Flags against a lexicon table: here all longer words of the benchmark texts."""
+    words = F.explode(F.regexp_extract_all(F.col("text"), F.lit(WORD_PATTERN), F.lit(0))).alias("term")
+    lexicon = table(spark, sf, "benchmark").select(words).where(F.char_length("term") > 11)
+    return flag_by_lexicon(corpus(spark, sf), KEYS, lexicon)
+
+
 def _line_table(spark, sf) -> DataFrame:
     """Lines of all texts, one per row, as a log table would hold them: one source per corpus part."""
     return split_lines_query(spark, sf).select(
@@ -215,9 +229,11 @@ def conversations(spark, sf):
 
 
 def _events_stream(spark, sf) -> DataFrame:
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    events = table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    tasks = spread_tasks(events)
+    spread_out = stream.repartition(tasks) if tasks else stream
+    return spread_out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_sanitize(spark, sf):
@@ -276,6 +292,7 @@ QUERIES: dict[str, Query] = {
     "entropy_scalar": _mapped(lambda t: F.round(shannon_entropy(t), 6), "entropy"),
     "profanity_flag": _mapped(flag_profanity, "flagged"),
     "profanity_censor": _mapped(censor_profanity),
+    "lexicon_flag": lexicon_flag,
     "split_lines": split_lines_query,
     "prune_frames": _mapped(prune_frames),
     "collapse_duplicates": _mapped(collapse_duplicates),

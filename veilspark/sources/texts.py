@@ -39,20 +39,24 @@ def load_texts(
 SPREAD_BYTES = 64 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work where a small input has fewer files than there are cores.
+def spread_tasks(df: DataFrame) -> int | None:
+    """Number of tasks to spread a small input over, or None if its files suffice.
 
     Cleaning is bound by the processor, and a file that is one parquet row group is one task.
-    Inputs of more files, or of more bytes than one split per core, are left as they are.
+    Inputs of more files than cores, or of more bytes than one split per core, are None.
     """
     context, files = df.sparkSession.sparkContext, df.inputFiles()
     cores = context.defaultParallelism
     if not files or len(files) >= cores:
-        return df
-    sizes = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length"), F.max("length")).first()
-    if sizes[0] is None or sizes[0] > SPREAD_BYTES * cores:
-        return df
-    return df.repartition(cores)
+        return None
+    total = df.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return cores if total is not None and total <= SPREAD_BYTES * cores else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work where a small input has fewer files than there are cores."""
+    tasks = spread_tasks(df)
+    return df.repartition(tasks) if tasks else df
 
 
 def nonblank(df: DataFrame, text: str = "text") -> DataFrame:
