@@ -21,15 +21,17 @@ def find_runs(
     line: str,
     slice_by: Column,
     joinable: Column | None = None,
-    same: Column | None = None,
+    equal_lines: bool = True,
     weight: str | None = None,
 ) -> DataFrame:
     """Runs as (keys, line, n, first, last, joinable, is_last).
 
     ``order`` must be unique within a key; ``slice_by`` must not decrease along it and should
     cut a key into pieces that fit one task.  Neighbours form one run if both are
-    ``joinable`` and agree on ``same`` (the line by default).  ``weight`` names a column with
-    the number of rows that an input row stands for.
+    ``joinable`` and, unless ``equal_lines`` is off, hold the same line.  ``weight`` names a
+    column with the number of rows that an input row stands for.
+
+    Both branches of the final union read the same columns, so they share one shuffle.
     """
     rows = df.select(
         *keys,
@@ -37,13 +39,14 @@ def find_runs(
         F.col(line).alias("line"),
         (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("n"),
         (F.lit(True) if joinable is None else joinable).alias("joinable"),
-        (F.col(line) if same is None else same).alias("same"),
         slice_by.alias("_slice"),
     )
 
     def starts(window) -> Column:
-        last = F.lag(F.struct("joinable", "same")).over(window)
-        joins = F.col("joinable") & last["joinable"] & F.col("same").eqNullSafe(last["same"])
+        joins = F.col("joinable") & F.lag("joinable").over(window)
+        if equal_lines:
+            # The row before always exists here: without one, the lag of joinable is null.
+            joins = joins & F.col("line").eqNullSafe(F.lag("line").over(window))
         return ~F.coalesce(joins, F.lit(False))
 
     in_slice = W.partitionBy(*keys, "_slice").orderBy("at")
@@ -57,7 +60,6 @@ def find_runs(
             F.min("at").alias("first"),
             F.max("at").alias("last"),
             F.min_by("line", "at").alias("line"),
-            F.min_by("same", "at").alias("same"),
             F.first("joinable").alias("joinable"),
         )
         .withColumn("_runs", F.max("_run").over(W.partitionBy(*keys, "_slice")))
@@ -96,7 +98,7 @@ def collapse_rows(df: DataFrame, keys: list[str], order: list[str], line: str, s
 def prune_rows(df: DataFrame, keys: list[str], order: list[str], line: str, slice_by: Column) -> DataFrame:
     """Framework frames that follow each other within a key, as one summary row."""
     frame = is_framework_frame(F.col(line))
-    runs = find_runs(df, keys, order, line, slice_by, joinable=frame, same=F.lit(1))
+    runs = find_runs(df, keys, order, line, slice_by, joinable=frame, equal_lines=False)
     shown = F.when(
         F.col("joinable"), F.concat(F.lit(PRUNED_PREFIX), F.col("n").cast("string"), F.lit(PRUNED_SUFFIX))
     ).otherwise(F.col("line"))
