@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.core import let
+from veilspark.functions.core import contains_any, let
 from veilspark.functions.rules import MARKERS
 
-
-def marker_pattern() -> str:
-    return "|".join(re.escape(m).replace("\\ ", " ") for m in MARKERS)
+# Begins with one character class, so that the search steps over most positions at once.
+_SEARCH = r"[\[<](?:(?<=\[)REDACTED_[A-Z_]+\]|(?<=<)[A-Z0-9_]+(?: truncated)?>)"
+_HINTS = ("[REDACTED_", *(m for m in MARKERS if m.startswith("<")))
 
 
 def findings(clean: Column) -> Column:
@@ -23,15 +21,16 @@ def findings(clean: Column) -> Column:
         names = F.create_map(*[F.lit(x) for item in MARKERS.items() for x in item])
 
         def per_marker(marks: Column) -> Column:
+            known = F.filter(F.array_distinct(marks), lambda m: F.try_element_at(names, m).isNotNull())
             return F.transform(
-                F.array_distinct(marks),
+                known,
                 lambda m: F.struct(
-                    F.element_at(names, m).alias("rule"),
+                    F.try_element_at(names, m).alias("rule"),
                     F.size(F.filter(marks, lambda x: x == m)).cast("long").alias("n"),
                 ),
             )
 
-        found = let(F.regexp_extract_all(text, F.lit(marker_pattern()), F.lit(0)), per_marker)
-        return F.when(text.contains("[REDACTED_") | text.contains("<"), found).otherwise(empty)
+        found = let(F.regexp_extract_all(text, F.lit(_SEARCH), F.lit(0)), per_marker)
+        return F.when(contains_any(text, _HINTS), found).otherwise(empty)
 
     return let(clean, count)

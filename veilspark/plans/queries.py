@@ -217,7 +217,7 @@ def token_report(spark, sf):
 
 
 def publishable(spark, sf):
-    return R.publishable(_sanitized(spark, sf)).select(*KEYS, F.col("sanitized_text").alias("text"))
+    return R.publishable(_sanitized(spark, sf), raw="text").select(*KEYS, F.col("sanitized_text").alias("text"))
 
 
 def noisiest_docs(spark, sf):
