@@ -21,14 +21,14 @@ def findings(clean: Column) -> Column:
         names = F.create_map(*[F.lit(x) for item in MARKERS.items() for x in item])
 
         def per_marker(marks: Column) -> Column:
-            known = F.filter(F.array_distinct(marks), lambda m: F.try_element_at(names, m).isNotNull())
-            return F.transform(
-                known,
+            counted = F.transform(
+                F.array_distinct(marks),
                 lambda m: F.struct(
                     F.try_element_at(names, m).alias("rule"),
                     F.size(F.filter(marks, lambda x: x == m)).cast("long").alias("n"),
                 ),
             )
+            return F.filter(counted, lambda f: f["rule"].isNotNull())
 
         found = let(F.regexp_extract_all(text, F.lit(_SEARCH), F.lit(0)), per_marker)
         return F.when(contains_any(text, _HINTS), found).otherwise(empty)
