@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.backoff_lm import backoff_scores
 from veilspark.llm.exact_dedup import exact_groups
 from veilspark.llm.mixing import mix
+from veilspark.llm.near_dedup import near_groups
 from veilspark.llm.substring_dedup import remove_repeats
 
 
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), width=20).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
@@ -36,6 +41,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_backoff_lm": op5_backoff_lm,
     "op6_mixing": op6_mixing,
@@ -117,11 +123,11 @@ ORACLE = {
         h3 AS (SELECT h0.*, ceil(ssize / block)::BIGINT AS blocks, coalesce(n, 0) AS n FROM h0 LEFT JOIN
                (SELECT no, shard, count(*) AS n FROM h2 WHERE r <= squota GROUP BY no, shard) USING (no, shard)),
         h4 AS (SELECT *, CASE WHEN capped THEN 3 * blocks ELSE least(n, 3 * blocks) END AS q FROM h3 WHERE blocks > 0),
-        b0 AS (SELECT no, shard, source, q % blocks AS some, unnest(range(0, blocks)) AS b FROM h4),
-        b1 AS (SELECT no, shard, b, some, row_number() OVER (PARTITION BY no, shard
+        b0 AS (SELECT no, shard, source, q % blocks AS rest, unnest(range(0, blocks)) AS b FROM h4),
+        b1 AS (SELECT no, shard, b, rest, row_number() OVER (PARTITION BY no, shard
                  ORDER BY md5(concat_ws('|', 7, source, shard, b)), b) AS r FROM b0),
         b2 AS (SELECT l2.doc_id, sum(greatest(0, least(pos + size, (b + 1) * block) - greatest(pos, b * block))) AS part
-               FROM l2 JOIN b1 ON b1.no = l2.no AND b1.shard = l2.shard AND r <= some
+               FROM l2 JOIN b1 ON b1.no = l2.no AND b1.shard = l2.shard AND r <= rest
                AND b BETWEEN pos // block AND (pos + size) // block GROUP BY l2.doc_id)
         SELECT l2.doc_id, size::BIGINT AS size, source_size, target,
                (coalesce(size * (q // blocks), 0) + coalesce(part, 0))::BIGINT AS taken
