@@ -7,8 +7,11 @@ registers bring documents into buckets, the joint likelihood of the registers di
 far from the threshold, and whole shingle sets decide the rest.
 
 Documents with equal sets are one class from the start. A bucket is not expanded into its pairs: each
-member is tested against one leader, and only where tested links leave a bucket's members in several
-components are its members of different components tested against each other.
+member is tested against one leader. A passage that many documents share makes large buckets of
+documents that are not alike; so where the links found leave a bucket's members in several components,
+these members are dealt anew by their rarest shingles, of which linked sets always share one. Again
+each is tested against a leader first, and only what is left in different components of such a
+bucket is compared with each other.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ BANDS, ROWS = 32, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Standard errors of the likelihood estimate below the threshold at which a pair is given up.
 SLACK = 5.0
+#: Rounds over the buckets of bands in which each member is tested against one leader only.
+LEADERS = 1
+#: Cells of the histogram that orders shingles by how common they are.
+CELLS = 1 << 20
 
 _XOR = mix(_constants("register-xor", BANDS * ROWS).copy())
 _TIMES = _constants("register-times", BANDS * ROWS)
@@ -119,6 +126,48 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.filter(pa.array(fine, pa.bool_())).select(["a", "b"])
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n, place): the shingles of each set that come first, so many that linked sets share one of them.
+
+    Sets that share ``percent`` of their union share at least that part of either, so in any order of
+    all shingles one of the first n - percent * n + 1 of either is common. Rare shingles come first, as
+    a histogram of a fixed number of cells tells; that order only affects the size of the buckets.
+    """
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for blob in batch.column("members"):
+                total += np.bincount(
+                    (np.frombuffer(blob.as_buffer(), np.uint64) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS
+                )
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    common = np.zeros(CELLS, np.int64)
+    counted = sets.select("members").mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    for part in counted.toArrow().to_batches():
+        common[np.asarray(part.column("cell"))] = np.asarray(part.column("n"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                keys, reps, sizes, places = [np.zeros(0, np.uint64)], [], [], []
+                for doc_id, blob in zip(*(batch.slice(at, 256).column(c) for c in ("doc_id", "members")), strict=True):
+                    own = np.frombuffer(blob.as_buffer(), np.uint64)
+                    order = np.lexsort((own, common[(own % np.uint64(CELLS)).astype(np.int64)]))
+                    keys.append(own[order[: len(own) - (percent * len(own) + 99) // 100 + 1]])
+                    reps += [doc_id.as_py()] * len(keys[-1])
+                    sizes += [len(own)] * len(keys[-1])
+                    places += range(len(keys[-1]))
+                yield pa.record_batch(
+                    [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(c, pa.int64()) for c in (reps, sizes, places))],
+                    ["key", "rep", "n", "place"],
+                )
+
+    return sets.select("doc_id", "members").mapInArrow(first, "key bigint, rep bigint, n bigint, place bigint")
+
+
 def near_groups(
     docs: DataFrame, size: int = 5, percent: int = 75, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
@@ -145,8 +194,8 @@ def near_groups(
         lambda i: F.xxhash64(i, F.expr("regs").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))),
     )
     banded = classes.select("rep", F.explode(band).alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("tail")).where("lead < tail")
-    buckets = written(banded.join(shared, "key").select("key", "rep", "lead", "tail"), "buckets")
+    shared = banded.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
+    buckets = written(banded.join(shared, "key"), "buckets")
     inside = buckets.select("rep").distinct()
     sets = written(
         rows.join(inside.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
@@ -170,25 +219,40 @@ def near_groups(
             likely = likely.join(known, [side, f"d{side}"])
         return likely.select("a", "b", "sa", "sb").mapInArrow(lambda x: _linked(x, percent), "a bigint, b bigint")
 
-    # Every member against the first and the last of its bucket.
-    to_lead = buckets.select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    to_tail = buckets.select(F.col("rep").alias("a"), F.col("tail").alias("b"))
-    links = written(verified(to_lead.union(to_tail).where("a < b").distinct()), "links")
-    labels = written(components(links), "labels")
-    # Members that this leaves in different components, against each other.
-    placed = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "lead", "tail", F.coalesce("component", "rep").alias("part")
+    def mixed(labels: DataFrame, of: DataFrame) -> DataFrame:
+        """The buckets whose members are in several components."""
+        placed = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "key", "rep", F.coalesce("component", "rep").alias("part"), "n", "place"
+        )
+        several = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
+        return written(placed.join(several.select("key"), "key"), "mixed")
+
+    links = labels = None
+    left = buckets.select(
+        "key", "rep", F.col("rep").alias("part"), *[F.lit(0).cast("bigint").alias(c) for c in ("n", "place")]
     )
-    mixed = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
-    mixed = written(placed.join(mixed, "key"), "mixed")
-    left, right = (mixed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "part", "lead", "tail")]) for s in "ab")
-    rest = (
-        left.join(right, "key")
-        .where("part_a < part_b AND rep_a NOT IN (lead_a, tail_a) AND rep_b NOT IN (lead_b, tail_b)")
-        .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
-        .distinct()
+    for turn in range(LEADERS + 2):
+        if turn == LEADERS:
+            held = sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            left = mixed(labels, written(_prefixes(held, percent), "prefixes"))
+        # Every member against a leader of its bucket: any, or the smallest set, then another one.
+        rank = F.struct(F.col("n") if turn == LEADERS else F.lit(0), F.xxhash64("rep", F.lit(turn)), "rep", "part")
+        lead = left.groupBy("key").agg(F.min(rank).alias("lead"))
+        pairs = left.join(lead, "key").where("part <> lead.part").select(
+            F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")
+        )
+        found = written(verified(pairs.distinct()), "links")
+        links = found if links is None else links.union(found)
+        labels = written(components(links), "labels")
+        left = mixed(labels, left)
+    # Members that this leaves in different components, against each other, unless too few shingles are
+    # left behind the one they share: the first that linked sets share has enough behind it.
+    x, y = (left.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "part", "n", "place")]) for s in "xy")
+    enough = f"{100 + percent} * least(n_x - place_x, n_y - place_y) >= {percent} * (n_x + n_y)"
+    rest = x.join(y, "key").where(f"part_x < part_y AND {enough}").select(
+        F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")
     )
-    more = written(verified(rest), "links")
+    more = written(verified(rest.distinct()), "links")
     if not more.isEmpty():
         labels = written(components(links.union(more)), "labels")
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select(
