@@ -231,12 +231,12 @@ def near_groups(
     left = buckets.select(
         "key", "rep", F.col("rep").alias("part"), *[F.lit(0).cast("bigint").alias(c) for c in ("n", "place")]
     )
-    for turn in range(LEADERS + 2):
+    for turn in range(LEADERS + 1):
         if turn == LEADERS:
             held = sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
             left = mixed(labels, written(_prefixes(held, percent), "prefixes"))
-        # Every member against a leader of its bucket: any, or the smallest set, then another one.
-        rank = F.struct(F.col("n") if turn == LEADERS else F.lit(0), F.xxhash64("rep", F.lit(turn)), "rep", "part")
+        # Every member against a leader of its bucket: any, or the set with the fewest rarer shingles.
+        rank = F.struct(F.col("place") if turn == LEADERS else F.lit(0), F.xxhash64("rep", F.lit(turn)), "rep", "part")
         lead = left.groupBy("key").agg(F.min(rank).alias("lead"))
         pairs = left.join(lead, "key").where("part <> lead.part").select(
             F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")
