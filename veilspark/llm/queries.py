@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veilspark.llm.backoff_lm import backoff_scores
+from veilspark.llm.decontaminate import benchmark_leaks
 from veilspark.llm.exact_dedup import exact_groups
-from veilspark.llm.mixing import mix
+from veilspark.llm.langid import detect_language
+from veilspark.llm.licenses import scan_licenses
+from veilspark.llm.mixing import WORD, mix
 from veilspark.llm.near_dedup import near_groups
+from veilspark.llm.quality import quality_weights
+from veilspark.llm.storage import new_path, written
 from veilspark.llm.substring_dedup import remove_repeats
+from veilspark.llm.token_rollup import Rollup, count_tokens, signed
+
+#: The vocabulary that op2 counts with.
+VOCABULARY = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +30,22 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch of inserts, under a BPE vocabulary and under plain words."""
+    docs = table(spark, sf_dir, "documents").select(
+        "source", "lang", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("words")
+    )
+    counted = written(count_tokens(docs, VOCABULARY), "counted")
+    rollup = Rollup(spark, new_path(spark, "rollup"))
+    words = counted.select("source", "lang", F.col("words").alias("tokens"))
+    rollup.commit("insert-1", signed(counted, 1, "byte_bpe_50k").unionByName(signed(words, 1, "words")))
+    return rollup.totals()
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), width=20).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
@@ -36,16 +62,36 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = quality_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return weights.select("doc_id", "n_grams", "score", "weight", "kept")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return detect_language(table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_backoff_lm": op5_backoff_lm,
     "op6_mixing": op6_mixing,
+    "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
+    "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
