@@ -1,8 +1,9 @@
 """Language by compression: the language whose raw-content zstd dictionary makes a text smallest.
 
-A dictionary holds whole texts of one language, of at most ``DICTIONARY`` bytes together. Texts are
-compressed in blocks of ``BLOCK`` bytes, so that a long text does not become its own dictionary; the
-sizes of all its blocks are summed.
+Case says nothing of a language: dictionaries and texts are lower-cased. A dictionary holds whole
+texts of one language, of about ``DICTIONARY`` bytes together at most. Texts are compressed in blocks
+of ``BLOCK`` bytes, so that a long text does not become its own dictionary, and the sizes of all its
+blocks are summed.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
     )
     texts: dict[str, list[bytes]] = {}
     for row in sample.select("lang", "no", "text").orderBy("lang", "no").toLocalIterator():
-        texts.setdefault(row["lang"], []).append(row["text"].encode())
+        texts.setdefault(row["lang"], []).append(row["text"].lower().encode())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(((k, b"\n".join(v)) for k, v in texts.items()), key=lambda x: (-sizes[x[0]], x[0]))
 
@@ -65,7 +66,7 @@ def _sized(batches: Iterator[pa.RecordBatch], known: list[tuple[str, bytes]], le
                 scores.append(0.0)
                 sure.append(False)
                 continue
-            data = text.encode()
+            data = text.lower().encode()
             blocks = [data[a : a + BLOCK] for a in range(0, len(data), BLOCK)]
             sizes = np.array([sum(len(m.compress(b)) for b in blocks) for m in models])
             best = int(sizes.argmin())

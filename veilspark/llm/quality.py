@@ -22,6 +22,8 @@ CELLS = 1 << 14
 #: Labelled rows used, at most: those with the smallest hash of their id.
 LABELLED = 20_000
 SHARPNESS = 100.0
+#: A good row lost counts as much as so many poor rows passed, each as a part of its kind.
+COST = 10.0
 
 _MARK = np.ones(256, bool)
 _MARK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -70,7 +72,7 @@ def _scored(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa
 
 
 def _threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The weight that tells the labelled rows apart with the fewest errors, in equal parts: the middle of the best gap."""
+    """The weight that tells the labelled rows apart at least cost: the middle of the best gap."""
     if not len(good) or not len(bad):
         return -np.inf
     values = np.concatenate((good, bad))
@@ -78,7 +80,7 @@ def _threshold(good: np.ndarray, bad: np.ndarray) -> float:
     label = np.concatenate((np.ones(len(good)), np.zeros(len(bad))))[order]
     lost = np.concatenate(([0], np.cumsum(label))) / len(good)
     passed = 1 - np.concatenate(([0], np.cumsum(1 - label))) / len(bad)
-    errors = lost + passed
+    errors = COST * lost + passed
     edges = np.concatenate(([values.min() - 1], np.sort(values), [values.max() + 1]))
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
     at = best[np.argmax(edges[best + 1] - edges[best])]
