@@ -75,6 +75,8 @@ def width_of(shares: int, spare: int) -> int:
 
 def cut(values: np.ndarray, shares: int, bits: int) -> list[tuple[int, int, int]]:
     """Slices (partition, from, to) of ascending hashes of ``bits`` bits."""
+    if not len(values):
+        return []
     parts = share_of(values << np.uint64(64 - bits), shares).astype(np.int64)
     at = runs(parts)
     return list(zip(parts[at].tolist(), at.tolist(), [*at[1:].tolist(), len(parts)], strict=True))

@@ -80,21 +80,23 @@ def benchmark_leaks(
         "items",
     )
     known = written(items.select("length", F.posexplode("item_shingles").alias("o", "h")).distinct(), "shingles")
-    rows = docs.where(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), _words(F.col(text)).alias("words")
-    )
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # Not plain posexplode: the filter on empty arrays that it brings would compute all shingles twice.
     found = (
-        rows.select("doc_id", F.size("words").alias("n"), F.posexplode(_shingles("words", size)).alias("p", "h"))
+        rows.select("doc_id", _words(F.col("text")).alias("words"))
+        .select("doc_id", F.size("words").alias("n"), F.posexplode_outer(_shingles("words", size)).alias("p", "h"))
         .join(_checked(known), "h")
         .select("doc_id", "length", F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("n") - F.col("length"))).alias("start"))
         .distinct()
     )
     found = written(found, "windows")
-    windows = (
+    windows = written(
         rows.join(_checked(found), "doc_id")
+        .select("doc_id", "length", "start", _words(F.col("text")).alias("words"))
         .select("doc_id", "length", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("part"))
         .select("doc_id", "length", "start", _shingles("part", size).alias("shingles"))
-        .withColumn("print", F.expr(_SIMHASH.format(s="shingles")))
+        .withColumn("print", F.expr(_SIMHASH.format(s="shingles"))),
+        "prints",
     )
     blocks = f"transform(sequence(0, {RADIUS}), b -> {_BLOCK})"
     keyed = windows.select("*", F.posexplode(F.expr(blocks.format(f="print"))).alias("block", "value"))
