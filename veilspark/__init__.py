@@ -13,7 +13,7 @@ from veilspark.functions.rewrite import distill_eligible, prompt_request, reply_
 from veilspark.functions.rules import apply_rule, rules_table
 from veilspark.functions.sanitize import sanitize, sanitize_text
 from veilspark.functions.secrets import clean_stage1, normalize_values, redact_high_entropy, redact_secrets
-from veilspark.functions.tokens import bpe_counter, count_pretokens, count_words, stats_label, token_stats
+from veilspark.functions.tokens import count_pretokens, count_words, stats_label, token_stats
 from veilspark.operators.report import findings_table, noisiest, publishable, redaction_report, token_report
 from veilspark.operators.runs import collapse_rows, find_runs, prune_rows
 from veilspark.operators.sanitize import apply_rewrites, process_table, result_json, safety_pass, sanitize_table
@@ -29,7 +29,7 @@ from veilspark.streaming.jobs import (
 )
 
 __all__ = [
-    "apply_rewrites", "apply_rule", "bpe_counter", "censor_profanity", "clean_lines", "clean_stage1",
+    "apply_rewrites", "apply_rule", "censor_profanity", "clean_lines", "clean_stage1",
     "collapse_duplicates", "collapse_rows", "collapse_stream", "count_pretokens", "count_words", "diff_matches",
     "distill_eligible", "find_runs", "findings", "findings_table", "flag_by_lexicon", "flag_profanity",
     "latest_per_source", "latest_stream", "load_texts", "marker_count_stream", "noisiest", "nonblank",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,32 +29,6 @@ def count_words(text: Column) -> Column:
     return F.floor(F.coalesce(F.size(words), F.lit(0)) * F.lit(WORD_FACTOR)).cast("long")
 
 
-def bpe_counter(vocabulary_path: str, split_pattern: str, special_tokens: dict[str, int] | None = None):
-    """Exact BPE count as an Arrow UDF over a vocabulary file that every worker can read.
-
-    The encoder is built once per Python worker, not once per text.
-    """
-    special = dict(special_tokens or {})
-
-    @F.pandas_udf("long")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-        from tiktoken.load import load_tiktoken_bpe
-
-        encoder = tiktoken.Encoding(
-            name="user",
-            pat_str=split_pattern,
-            mergeable_ranks=load_tiktoken_bpe(vocabulary_path),
-            special_tokens=special,
-        )
-        for batch in batches:
-            yield batch.map(
-                lambda t: 0 if t is None or not t.strip() else len(encoder.encode(t, allowed_special="all"))
-            ).astype("int64")
-
-    return encode
-
-
 TOKENIZERS = {"pretoken": count_pretokens, "words": count_words}
 
 

@@ -33,16 +33,19 @@ def apply_rewrites(
     on: list[str],
     text: str = "stage1_text",
     reply: str = "reply",
+    order: str | None = None,
 ) -> DataFrame:
     """Merge replies of an external rewriter; add ``distilled_text`` and ``is_distilled``.
 
     A reply counts for an eligible text only, after its fences are gone, and if it keeps
-    enough of the text; otherwise the text stays.  Replies are made unique per key first, so
-    the join cannot multiply rows; Spark broadcasts them if they are small.
+    enough of the text; otherwise the text stays.  Of several replies to a key the last along
+    ``order`` counts; without ``order``, several are an error.
     """
+    several = F.raise_error(F.lit("several replies to a key: name the column that orders them"))
+    chosen = F.max_by(reply, order) if order else F.when(F.count(F.lit(1)) > 1, several).otherwise(F.max(reply))
     replies = (
         rewrites.groupBy(*on)
-        .agg(F.max(reply).alias("_reply"))
+        .agg(chosen.alias("_reply"))
         .select(*[F.col(k).alias(f"_{k}") for k in on], strip_fences(reply_text(F.col("_reply"))).alias("_rewrite"))
     )
     match = distill_eligible(F.col(text))

@@ -7,20 +7,15 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.profanity import WORD_PATTERN, fold_word
 from veilspark.functions.sanitize import sanitize_text_column
-from veilspark.sources.texts import new_dir
 
 
 def latest_per_source(df: DataFrame, source: str, order: list[str]) -> DataFrame:
-    """The last row of each source along ``order`` (unique within a source).
+    """The last row of each source along ``order`` (unique within a source); a null source is one too.
 
-    The winners are found on the narrow columns alone and written to the shared folder.  Their
-    size is then known, so Spark broadcasts them if they are small, and the texts are read
-    once, without a shuffle, before any cleaning.
+    Rows are combined before they are shuffled, so each task sends one row per source.
     """
-    path = new_dir(df.sparkSession, "latest")
-    newest = df.groupBy(source).agg(F.max(F.struct(*order)).alias("_at")).select(source, "_at.*")
-    newest.write.parquet(path)
-    return df.join(df.sparkSession.read.parquet(path), [source, *order], "left_semi")
+    last = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
+    return df.groupBy(F.col(source).alias("_source")).agg(last).select("_row.*")
 
 
 def sanitize_conversations(
@@ -63,6 +58,8 @@ def flag_by_lexicon(df: DataFrame, keys: list[str], lexicon: DataFrame, text: st
     terms = lexicon.select(fold_word(F.col(term)).alias("_word")).distinct()
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), F.lit(0)), fold_word))
     hits = df.select(*keys, F.explode(words).alias("_word")).join(terms, "_word", "left_semi").select(*keys).distinct()
-    return df.select(*keys).join(hits.withColumn("flagged", F.lit(True)), keys, "left").select(
-        *keys, F.coalesce("flagged", F.lit(False)).alias("flagged")
-    )
+    hits = hits.select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_hit"))
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    return df.select(*keys).join(hits, same, "left").select(*keys, F.coalesce("_hit", F.lit(False)).alias("flagged"))

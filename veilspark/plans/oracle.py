@@ -344,9 +344,10 @@ ORACLE: dict[str, str] = {
                raw_tokens, sanitized_tokens, saved_tokens, reduction_percent,
                coalesce(n, 0) AS n_diff_lines, coalesce(d, 0) AS n_deleted
         FROM stats s LEFT JOIN counted USING (id)""",
-    "prompt_rows": f"""SELECT doc_id, concat({q(RW.INSTRUCTION)}, {NL}, {NL}, 'LOG:', {NL}, text) AS prompt,
+    "prompt_rows": f"""WITH {sanitized_ctes(DOCS_AS_CORPUS)}
+        SELECT id AS doc_id, concat({q(RW.INSTRUCTION)}, {NL}, {NL}, 'LOG:', {NL}, t) AS prompt,
         {RW.MAX_NEW_TOKENS}::BIGINT AS num_predict, {RW.TEMPERATURE}::DOUBLE AS temperature
-        FROM documents WHERE {eligible_sql('text')}""",
+        FROM clean WHERE {eligible_sql('t')}""",
     "nonblank_docs": f"WITH {base_ctes()} SELECT {K}, text FROM corpus WHERE NOT {blank_sql('text')}",
     "diff_search": f"WITH {DIFF} SELECT * FROM diff WHERE contains(lower(content), 'redacted')",
     "distill_eligible": f"WITH {base_ctes()} SELECT {K}, {eligible_sql('text')} AS eligible FROM corpus",
@@ -362,8 +363,7 @@ ORACLE: dict[str, str] = {
     "profanity_flag": f"WITH {base_ctes()}, c AS (SELECT *, {PROFANE} AS censored FROM s0) SELECT {K}, censored <> t AS flagged FROM c",
     "profanity_censor": mapped(PROFANE),
     "lexicon_flag": f"""WITH {base_ctes()},
-        terms AS (SELECT DISTINCT {_FOLDED} AS w FROM (SELECT unnest(regexp_extract_all(text, {q(WORD_PATTERN)})) AS h FROM benchmark)
-                  WHERE length(h) > 11),
+        terms AS (SELECT DISTINCT {_FOLDED} AS w FROM (SELECT unnest(regexp_extract_all(text, {q(WORD_PATTERN)})) AS h FROM benchmark)),
         words AS (SELECT DISTINCT {K}, {_FOLDED} AS w FROM (SELECT {K}, unnest(regexp_extract_all(t, {q(WORD_PATTERN)})) AS h FROM s0)),
         hits AS (SELECT DISTINCT {K} FROM words WHERE w IN (SELECT w FROM terms))
         SELECT c.corpus, c.id, h.id IS NOT NULL AS flagged FROM corpus c LEFT JOIN hits h ON c.corpus = h.corpus AND c.id = h.id""",
@@ -418,7 +418,7 @@ ORACLE: dict[str, str] = {
                    FROM s3 s LEFT JOIN before_n USING ({K}) LEFT JOIN after_n USING ({K}))
         SELECT * FROM shares ORDER BY noise_share DESC, corpus, id LIMIT 50""",
     "sanitize_conversations": f"""WITH {sanitized_ctes('s0 AS (SELECT *, text AS t FROM conversations)', 'conv_id, turn')}
-        SELECT conv_id, floor(turn / 4)::BIGINT AS segment, count(*) AS n_turns,
+        SELECT conv_id, floor(turn / 256)::BIGINT AS segment, count(*) AS n_turns,
                string_agg(concat(role, ': ', t), {NL} ORDER BY turn, concat(role, ': ', t)) AS transcript
         FROM clean GROUP BY 1, 2""",
     "stream_collapse": """WITH g AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS fresh FROM events

@@ -109,9 +109,9 @@ def split_lines_query(spark, sf):
 
 
 def lexicon_flag(spark, sf):
-    """Flags against a lexicon table: here all longer words of the benchmark texts."""
+    """Flags against a lexicon table: here all words of the benchmark texts."""
     words = F.explode(F.regexp_extract_all(F.col("text"), F.lit(WORD_PATTERN), F.lit(0))).alias("term")
-    lexicon = table(spark, sf, "benchmark").select(words).where(F.char_length("term") > 11)
+    lexicon = table(spark, sf, "benchmark").select(words)
     return flag_by_lexicon(corpus(spark, sf), KEYS, lexicon)
 
 
@@ -194,7 +194,9 @@ def reply_text_query(spark, sf):
 
 
 def prompt_rows(spark, sf):
-    eligible = table(spark, sf, "documents").where(distill_eligible(F.col("text")))
+    """Requests hold cleaned text only."""
+    cleaned = table(spark, sf, "documents").select("doc_id", sanitize_text_column("text").alias("text"))
+    eligible = cleaned.where(distill_eligible(F.col("text")))
     request = prompt_request(F.col("text"), "any-model")
     return eligible.select("doc_id", request.alias("request")).select(
         "doc_id",
@@ -225,7 +227,7 @@ def noisiest_docs(spark, sf):
 
 
 def conversations(spark, sf):
-    return sanitize_conversations(texts(spark, sf, "conversations"), segment_turns=4)
+    return sanitize_conversations(texts(spark, sf, "conversations"), segment_turns=256)
 
 
 def _events_stream(spark, sf) -> DataFrame:
