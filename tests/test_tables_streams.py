@@ -1,9 +1,12 @@
+import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.sanitize import sanitize_text
 from veilspark.operators.runs import find_runs
+from veilspark.operators.sanitize import apply_rewrites
 from veilspark.operators.tables import flag_by_lexicon, latest_per_source, sanitize_conversations
 from veilspark.sources.texts import load_texts, new_dir, nonblank, write_texts
 from veilspark.streaming import jobs as S
@@ -105,3 +108,23 @@ def test_stream_windows_and_latest(spark, tmp_path):
     S.latest_stream(stream.select("id", "ts", "source", "text"), out, out + "cp", ["ts", "id"]).awaitTermination()
     latest = {r.source: r.id for r in S.read_updates(spark, out, ["source"]).collect()}
     assert latest == {"s1": 23, "s2": 21}
+
+
+def test_null_sources_and_keys(spark):
+    rows = [("a", 1, "x"), ("a", 2, "y"), (None, 1, "old"), (None, 3, "new")]
+    df = spark.createDataFrame(rows, "source string, at int, text string")
+    assert {tuple(r) for r in latest_per_source(df, "source", ["at"]).collect()} == {("a", 2, "y"), (None, 3, "new")}
+    lexicon = spark.createDataFrame([("New",)], "term string")
+    flags = flag_by_lexicon(df, ["source", "at"], lexicon).collect()
+    assert {(r.source, r.at) for r in flags if r.flagged} == {(None, 3)} and len(flags) == 4
+
+
+def test_several_replies(spark):
+    text = "one line of the log\nand another line of the log that stays"
+    docs = spark.createDataFrame([(1, text)], "id int, stage1_text string")
+    good = text.replace("another ", "")
+    replies = spark.createDataFrame([(1, json.dumps({"response": good}), 2), (1, json.dumps({"response": "zz"}), 1)], "id int, reply string, no int")
+    row = apply_rewrites(docs, replies, ["id"], order="no").first()
+    assert row.is_distilled and row.distilled_text == good
+    with pytest.raises(Exception, match="several replies"):
+        apply_rewrites(docs, replies, ["id"]).collect()

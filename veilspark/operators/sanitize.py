@@ -39,10 +39,10 @@ def apply_rewrites(
 
     A reply counts for an eligible text only, after its fences are gone, and if it keeps
     enough of the text; otherwise the text stays.  Of several replies to a key the last along
-    ``order`` counts; without ``order``, several are an error.
+    ``order`` counts; without ``order``, several different ones are an error.
     """
     several = F.raise_error(F.lit("several replies to a key: name the column that orders them"))
-    chosen = F.max_by(reply, order) if order else F.when(F.count(F.lit(1)) > 1, several).otherwise(F.max(reply))
+    chosen = F.max_by(reply, order) if order else F.when(F.min(reply) != F.max(reply), several).otherwise(F.max(reply))
     replies = (
         rewrites.groupBy(*on)
         .agg(chosen.alias("_reply"))
