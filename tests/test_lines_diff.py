@@ -3,7 +3,7 @@ from itertools import groupby
 
 from pyspark.sql import functions as F
 
-from veilspark.functions.diff import diff_matches, render_diff, with_diff
+from veilspark.functions.diff import aligned_lines, diff_matches, render_diff, with_diff
 from veilspark.functions.lines import clean_lines, collapse_duplicates, prune_frames, split_lines
 from veilspark.operators.runs import collapse_rows, find_runs, prune_rows
 
@@ -55,8 +55,8 @@ def test_line_operators_against_brute_force(run):
 
 
 def test_collapse_cases(run):
-    got = run(collapse_duplicates, ["Error downloading resource\n" * 3, "\n\n\n", "x\nx (Repeated 2x)\nx (Repeated 2x)"])
-    assert got == ["Error downloading resource (Repeated 3x)", " (Repeated 3x)", "x\nx (Repeated 2x) (Repeated 2x)"]
+    got = run(collapse_duplicates, ["cannot reach mirror\n" * 3, "\n\n\n", "x\nx (Repeated 2x)\nx (Repeated 2x)"])
+    assert got == ["cannot reach mirror (Repeated 3x)", " (Repeated 3x)", "x\nx (Repeated 2x) (Repeated 2x)"]
 
 
 def test_bare_at_is_no_frame(run):
@@ -110,24 +110,68 @@ def test_diff_rebuilds_both_sides_and_is_shortest(spark):
         assert "ad" not in kinds  # between kept lines, deletions come first
 
 
+def walked(a, b):
+    """The alignment by its tie rule, read off the table of all prefixes."""
+    table = [[0] * (len(b) + 1)]
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(table[-1][j] + 1 if x == y else max(row[j], table[-1][j + 1]))
+        table.append(row)
+    pairs, i, j = [], len(a), len(b)
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j - 1] > table[i - 1][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
+def test_alignment_follows_one_tie_rule(spark):
+    """The same pairs whatever the block size, and whether the occurrence pairs cross or not."""
+    rng = random.Random(8)
+    make = lambda: [rng.choice("abcde") for _ in range(rng.randint(0, 16))]
+    pairs = [(make(), make()) for _ in range(1500)]
+    for a, b in pairs:
+        expected = walked(a, b)
+        assert all(aligned_lines(a, b, every) == expected for every in (None, 1, 2, 3, 50))
+    diffs = diff_of(spark, [("\n".join(a), "\n".join(b)) for a, b in pairs[:300]])
+    for (a, b), diff in zip(pairs, diffs):
+        equal = [(d.old_line_no - 1, d.new_line_no - 1) for d in diff if d.change_type == "equal"]
+        assert equal == walked(a, b)
+
+
 def test_diff_of_large_crossing_texts(spark):
-    """A pair too large for one bit table is halved and still aligned fully."""
     old = [f"l{i % 701}" for i in range(21_000)]
     new = old[9_000:] + old[:6_000]
     diff = diff_of(spark, [("\n".join(old), "\n".join(new))])[0]
     assert [d.content for d in diff if d.change_type != "add"] == old
     assert [d.content for d in diff if d.change_type != "delete"] == new
     assert sum(d.change_type == "equal" for d in diff) >= 14_000
+    old, new = old[:3_000], new[:2_500]
+    assert aligned_lines(old, new, 7) == aligned_lines(old, new, 10_000) == aligned_lines(old, new)
+
+
+def test_diff_with_terminators(spark):
+    rows = [("a\nb\n", "a\nb"), ("a\r\nb", "a\nb"), ("", "x\n"), (None, "x")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, sanitized_text string")
+    got = [r.diff_lines for r in with_diff(df, keep_ends=True).orderBy("i").collect()]
+    assert [[(d.change_type, d.content) for d in diff or []] for diff in got[:3]] == [
+        [("equal", "a"), ("delete", "b"), ("add", "b")], [("delete", "a\r"), ("add", "a"), ("equal", "b")], [("add", "x")],
+    ]
 
 
 def test_diff_case_search_and_render(spark):
-    old = "line 1\nline 2 with secret sk-123\nline 3"
-    new = "line 1\nline 2 with secret [REDACTED]\nline 3"
+    old = "boot\nhost db-7 asked for pin 4471\nbye"
+    new = "boot\nhost db-7 asked for pin [HIDDEN]\nbye"
     df = with_diff(spark.createDataFrame([(old, new), (None, None)], "text string, sanitized_text string"))
     rows = df.select("diff_lines", render_diff(F.col("diff_lines")).alias("u")).collect()
     assert [d.change_type for d in rows[0].diff_lines] == ["equal", "delete", "add", "equal"]
-    assert rows[0].u.split("\n")[1:3] == ["2\t\t- line 2 with secret sk-123", "\t2\t+ line 2 with secret [REDACTED]"]
+    assert rows[0].u.split("\n")[1:3] == ["2\t\t- host db-7 asked for pin 4471", "\t2\t+ host db-7 asked for pin [HIDDEN]"]
     assert rows[1].diff_lines is None
     long = df.select(F.explode("diff_lines").alias("d")).select("d.*")
-    assert long.where(diff_matches(F.col("content"), "redacted")).count() == 1
+    assert long.where(diff_matches(F.col("content"), "HIDDEN")).count() == 1
     assert long.where(diff_matches(F.col("content"), "")).count() == 4

@@ -63,13 +63,13 @@ def test_report_shuffles_aggregates_only(spark):
 
 def test_entry(spark):
     df = entry_point.entry(spark)
-    assert df.columns == ["source", "lang", "rule", "n_docs", "n_findings"]
+    assert df.columns == ["source", "lang", "rule", "source_total", "lang_total", "n_docs", "n_findings"]
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 SAMPLE = [
     "sanitize_full", "sanitize_pipeline", "diff_lines", "redaction_report", "token_report", "collapse_rows",
-    "sanitize_conversations", "noisiest_docs", "result_json", "prompt_rows", "stream_collapse", "entropy_scalar",
+    "sanitize_conversations", "noisiest_docs", "record_full", "diff_terminated", "leak_gate", "lexicon_censor", "profanity_hits", "result_json", "prompt_rows", "stream_collapse", "entropy_scalar",
 ]
 
 

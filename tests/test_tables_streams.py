@@ -4,10 +4,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark.functions.pii import redact_pii
 from veilspark.functions.sanitize import sanitize_text
+from veilspark.operators.report import publishable, redaction_report, token_report
 from veilspark.operators.runs import find_runs
 from veilspark.operators.sanitize import apply_rewrites
-from veilspark.operators.tables import flag_by_lexicon, latest_per_source, sanitize_conversations
+from veilspark.operators.tables import censor_by_lexicon, flag_by_lexicon, latest_per_source, sanitize_conversations, sanitize_turns
 from veilspark.sources.texts import load_texts, new_dir, nonblank, write_texts
 from veilspark.streaming import jobs as S
 
@@ -128,3 +130,52 @@ def test_several_replies(spark):
     assert row.is_distilled and row.distilled_text == good
     with pytest.raises(Exception, match="several replies"):
         apply_rewrites(docs, replies, ["id"]).collect()
+
+
+def test_lexicon_censors_every_word_it_has(spark):
+    docs = spark.createDataFrame([(1, "So DARN bad, d4rn"), (None, "drat it"), (3, None), (4, "")], "id int, text string")
+    terms = spark.createDataFrame([("darn",), ("drat",), ("unused",)], "term string")
+    got = {r.id: r.text for r in censor_by_lexicon(docs, ["id"], terms).collect()}
+    assert got == {1: "So D*** bad, d***", None: "d*** it", 3: None, 4: ""}
+
+
+def test_turns_of_long_conversations_stay(spark):
+    turns = [(c, i, "user", f"m{i} a@b.com") for c in (1, None) for i in (0, 100_000, 1 << 40)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = sanitize_turns(df).collect()
+    assert len(got) == 6 and {(r.conv_id, r.turn) for r in got} == {t[:2] for t in turns}
+    assert all(r.text.endswith(" [REDACTED_EMAIL]") for r in got)
+
+
+def test_reports_tell_subtotals_from_nulls(spark):
+    rows = [("ALL", "m <TIME>"), ("", "m <TIME>"), (None, "<TIME> <TIME>")]
+    df = spark.createDataFrame(rows, "source string, sanitized_text string")
+    got = {(r.source, r.source_total): (r.n_docs, r.n_findings) for r in redaction_report(df, ["source"]).where("rule = 'ALL'").collect()}
+    assert got == {("ALL", False): (1, 1), ("", False): (1, 1), (None, False): (1, 2), (None, True): (3, 4)}
+    stats = F.struct(
+        F.lit(4).cast("long").alias("raw_tokens"), F.lit(1).cast("long").alias("saved_tokens"), F.lit(25.0).alias("reduction_percent")
+    )
+    report = token_report(df.withColumn("token_stats", stats), "source").collect()
+    assert {(r.source, r.source_total): r.n_docs for r in report} == {("ALL", False): 1, ("", False): 1, (None, False): 1, (None, True): 3}
+
+
+def test_gate_refuses_and_keeps(spark):
+    df = spark.createDataFrame([(1, "mail a@b.com"), (2, "plain")], "id int, text string")
+    assert [r.id for r in publishable(df, clean="text").collect()] == [2]
+
+
+def test_requests_hold_cleaned_text(spark):
+    from veilspark.plans.queries import chat_rows, prompt_rows
+
+    sf = "/root/testdata/sf0.001"
+    for rows, column in ((prompt_rows(spark, sf), "prompt"), (chat_rows(spark, sf), "text")):
+        assert rows.count() > 0
+        assert rows.where(redact_pii(F.col(column)) != F.col(column)).count() == 0
+
+
+def test_texts_need_an_id(spark, tmp_path):
+    spark.createDataFrame([("x",)], "text string").write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        load_texts(spark, str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        load_texts(spark, str(tmp_path / "t"), fmt="text", keep=("lang",))

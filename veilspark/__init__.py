@@ -8,8 +8,8 @@ from veilspark.functions.diff import diff_matches, render_diff, with_diff
 from veilspark.functions.findings import findings
 from veilspark.functions.lines import clean_lines, collapse_duplicates, prune_frames, split_lines
 from veilspark.functions.pii import redact_card, redact_email, redact_iban, redact_phone, redact_pii, redact_ssn
-from veilspark.functions.profanity import censor_profanity, flag_profanity
-from veilspark.functions.rewrite import distill_eligible, prompt_request, reply_text, rewrite_accepted, strip_fences
+from veilspark.functions.profanity import censor_profanity, flag_profanity, profanity_hits
+from veilspark.functions.rewrite import chat_request, distill_eligible, prompt_request, reply_text, rewrite_accepted, strip_fences
 from veilspark.functions.rules import apply_rule, rules_table
 from veilspark.functions.sanitize import sanitize, sanitize_text
 from veilspark.functions.secrets import clean_stage1, normalize_values, redact_high_entropy, redact_secrets
@@ -17,7 +17,7 @@ from veilspark.functions.tokens import count_pretokens, count_words, stats_label
 from veilspark.operators.report import findings_table, noisiest, publishable, redaction_report, token_report
 from veilspark.operators.runs import collapse_rows, find_runs, prune_rows
 from veilspark.operators.sanitize import apply_rewrites, process_table, result_json, safety_pass, sanitize_table
-from veilspark.operators.tables import flag_by_lexicon, latest_per_source, sanitize_conversations
+from veilspark.operators.tables import censor_by_lexicon, flag_by_lexicon, latest_per_source, sanitize_conversations, sanitize_turns
 from veilspark.sources.texts import load_texts, nonblank, spread, write_texts
 from veilspark.streaming.jobs import (
     collapse_stream,
@@ -29,14 +29,14 @@ from veilspark.streaming.jobs import (
 )
 
 __all__ = [
-    "apply_rewrites", "apply_rule", "censor_profanity", "clean_lines", "clean_stage1",
+    "apply_rewrites", "apply_rule", "censor_by_lexicon", "censor_profanity", "chat_request", "clean_lines", "clean_stage1",
     "collapse_duplicates", "collapse_rows", "collapse_stream", "count_pretokens", "count_words", "diff_matches",
     "distill_eligible", "find_runs", "findings", "findings_table", "flag_by_lexicon", "flag_profanity",
     "latest_per_source", "latest_stream", "load_texts", "marker_count_stream", "noisiest", "nonblank",
-    "normalize_values", "process_table", "prompt_request", "prune_frames", "prune_rows", "publishable",
+    "normalize_values", "process_table", "profanity_hits", "prompt_request", "prune_frames", "prune_rows", "publishable",
     "read_collapsed", "read_updates", "redact_card", "redact_email", "redact_high_entropy", "redact_iban",
     "redact_phone", "redact_pii", "redact_secrets", "redact_ssn", "redaction_report", "render_diff", "reply_text",
     "result_json", "rewrite_accepted", "rules_table", "safety_pass", "sanitize", "sanitize_conversations",
-    "sanitize_stream", "sanitize_table", "sanitize_text", "split_lines", "spread", "stats_label", "strip_fences",
+    "sanitize_stream", "sanitize_table", "sanitize_text", "sanitize_turns", "split_lines", "spread", "stats_label", "strip_fences",
     "token_report", "token_stats", "with_diff", "write_texts",
 ]

@@ -8,6 +8,8 @@ nothing of the other rows.
 
 from __future__ import annotations
 
+from math import isqrt
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,85 +121,88 @@ def assemble(old: Column, new: Column, pairs: Column) -> Column:
     )
 
 
-def _aligner():
-    """Arrow UDF: longest common subsequence as a flat array a0, b0, a1, b1, ...; null in, null out.
+def aligned_lines(old: list, new: list, every: int | None = None) -> list[tuple[int, int]]:
+    """A longest common subsequence as index pairs.
+
+    One tie rule for texts of every size: from the end backwards, an old line without which the
+    rest before it aligns as well is deleted; a kept one goes with the earliest new line for which
+    that still holds.  Where the pairs of n-th occurrences do not cross, they are this alignment.
 
-    One big integer per line of the new side holds where the old side gains a match, so a row
-    costs (old lines x new lines / 64) word operations.  Larger rows are halved first, which
-    bounds the memory.
+    For each new line a big integer marks the old lines at which the alignment grows, so a row
+    costs (old lines x new lines / 64) word operations.  Only every ``every``-th integer is kept;
+    the way back makes those between anew, a block at a time.
     """
+    head = 0
+    while head < min(len(old), len(new)) and old[head] == new[head]:
+        head += 1
+    pairs = [(k, k) for k in range(head)]
+    old, new = old[head:], new[head:]
+    if not old or not new:
+        return pairs
+    where: dict = {}
+    for i, line in enumerate(old):
+        where[line] = where.get(line, 0) | (1 << i)
+    full = (1 << len(old)) - 1
+    every = every or isqrt(len(new)) + 1
+
+    def block(state: int, lines: list) -> list[int]:
+        states = [state]
+        for line in lines:
+            hit = state & where.get(line, 0)
+            state = ((state + hit) | (state - hit)) & full
+            states.append(state)
+        return states
+
+    kept = [full]
+    for at in range(0, len(new), every):
+        kept.append(block(kept[-1], new[at : at + every])[-1])
+    found, i = [], len(old) - 1
+    for n in range(len(kept) - 2, -1, -1):
+        states = block(kept[n], new[n * every : (n + 1) * every])
+        k = len(states) - 1  # a bit that is not set: the alignment grows at this old line
+        while k > 0 and i >= 0:
+            if states[k] >> i & 1:
+                i -= 1
+            elif states[k - 1] >> i & 1:
+                found.append((head + i, head + n * every + k - 1))
+                i, k = i - 1, k - 1
+            else:
+                k -= 1
+    return pairs + found[::-1]
+
+
+def _aligner():
+    """Arrow UDF: the alignment as a flat array a0, b0, a1, b1, ...; null in, null out."""
 
     @F.pandas_udf("array<int>")
     def align(old: pd.Series, new: pd.Series) -> pd.Series:
-        import numpy as np
-
-        bits_kept = 1 << 28
-
-        def columns(a, b):
-            where: dict = {}
-            for i, line in enumerate(a):
-                where[line] = where.get(line, 0) | (1 << i)
-            full = (1 << len(a)) - 1
-            state = full
-            for line in b:
-                hit = state & where.get(line, 0)
-                state = ((state + hit) | (state - hit)) & full
-                yield state
-
-        def prefix_lengths(a, b):
-            state = (1 << len(a)) - 1
-            for state in columns(a, b):
-                pass
-            raw = np.frombuffer(state.to_bytes(len(a) // 8 + 1, "little"), dtype=np.uint8)
-            gains = 1 - np.unpackbits(raw, bitorder="little")[: len(a)].astype(np.int64)
-            return np.concatenate([[0], np.cumsum(gains)])
-
-        def solve(a, b, a0, b0, out):
-            head = 0
-            while head < min(len(a), len(b)) and a[head] == b[head]:
-                out.append((a0 + head, b0 + head))
-                head += 1
-            a, b, a0, b0 = a[head:], b[head:], a0 + head, b0 + head
-            while a and b and a[-1] == b[-1]:
-                out.append((a0 + len(a) - 1, b0 + len(b) - 1))
-                a, b = a[:-1], b[:-1]
-            if not a or not b:
-                return
-            if len(b) > 1 and len(a) * len(b) > bits_kept:
-                mid = len(b) // 2
-                front, back = prefix_lengths(a, b[:mid]), prefix_lengths(a[::-1], b[mid:][::-1])
-                cut = int(np.argmax(front + back[::-1]))
-                solve(a[:cut], b[:mid], a0, b0, out)
-                solve(a[cut:], b[mid:], a0 + cut, b0 + mid, out)
-                return
-            states = list(columns(a, b))
-            i, j = len(a) - 1, len(b) - 1
-            while i >= 0 and j >= 0:
-                if states[j] >> i & 1:
-                    i -= 1
-                elif j and not states[j - 1] >> i & 1:
-                    j -= 1
-                else:
-                    out.append((a0 + i, b0 + j))
-                    i, j = i - 1, j - 1
-
         def one(a, b):
             if a is None or b is None:
                 return None
-            pairs: list = []
-            solve(list(a), list(b), 0, 0, pairs)
-            return [n for pair in sorted(pairs) for n in pair]
+            return [n for pair in aligned_lines(list(a), list(b)) for n in pair]
 
         return pd.Series([one(a, b) for a, b in zip(old, new)], dtype="object")
 
     return align
 
 
-def with_diff(df: DataFrame, raw: str = "text", clean: str = "sanitized_text", out: str = "diff_lines") -> DataFrame:
-    """Add the ordered diff of two text columns as an array of structs; nothing is shuffled."""
+def lines_with_ends(text: Column) -> Column:
+    """Lines that keep their newline; the last one has none if the text does not end with one."""
+    return F.filter(F.split(text, r"(?<=\n)", -1), lambda x: x != "")
+
+
+def with_diff(
+    df: DataFrame, raw: str = "text", clean: str = "sanitized_text", out: str = "diff_lines", keep_ends: bool = False
+) -> DataFrame:
+    """Add the ordered diff of two text columns as an array of structs; nothing is shuffled.
+
+    With ``keep_ends`` lines are compared with their terminators, and only the newline is left out
+    of the content: a final newline on one side shows its line as deleted and added.
+    """
     raw_col, clean_col = F.col(raw), F.col(clean)
+    split = lines_with_ends if keep_ends else split_lines
     sides = let(
-        F.struct(split_lines(raw_col).alias("old"), split_lines(clean_col).alias("new")),
+        F.struct(split(raw_col).alias("old"), split(clean_col).alias("new")),
         lambda s: F.when(
             s["old"] != s["new"],
             let(
@@ -222,10 +227,12 @@ def with_diff(df: DataFrame, raw: str = "text", clean: str = "sanitized_text", o
     )
     side = F.col("_sides")
     pairs = F.when(F.col("_flat").isNotNull(), realigned).otherwise(side["pairs"])
-    unchanged = F.transform(split_lines(raw_col), lambda x, i: _line("equal", i + 1, i + 1, x))
+    unchanged = F.transform(split(raw_col), lambda x, i: _line("equal", i + 1, i + 1, x))
     diff = F.when(side.isNotNull(), assemble(side["old"], side["new"], pairs)).when(
         clean_col.isNotNull(), unchanged
     )
+    if keep_ends:
+        diff = F.transform(diff, lambda d: d.withField("content", F.rtrim(d["content"], F.lit("\n"))))
     return held(aligned, diff, out).drop("_sides", "_flat")
 
 

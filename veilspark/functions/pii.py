@@ -14,7 +14,6 @@ from veilspark.functions.rules import PII_RULES
 
 # ---- Fixed values: candidate shapes and markers.
 EMAIL_CANDIDATE = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-CARD_CANDIDATE = r"\b\d(?:[ \-]?\d){12,18}\b"
 IBAN_CANDIDATE = r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b"
 PHONE_CANDIDATE = r"\+?\d[\d\s().\-]{7,16}\d"
 EMAIL_MARKER = "[REDACTED_EMAIL]"
@@ -23,6 +22,9 @@ IBAN_MARKER = "[REDACTED_IBAN]"
 PHONE_MARKER = "[REDACTED_PHONE]"
 # ---- End of fixed values.
 
+# On purpose without the separator after the last digit, which then stays in the text.
+CARD_CANDIDATE = r"\b\d(?:[ \-]?\d){12,18}\b"
+
 # Same matches as EMAIL_CANDIDATE, but each run of local-part characters is entered once, so a
 # long run without an "@" costs linear and not quadratic time.
 _EMAIL_SEARCH = r"(?:\G|(?<![A-Za-z0-9._%+\-]))[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"

@@ -1,14 +1,28 @@
-"""Stage 3: flag and censor profanity."""
+"""Stage 3: flag and censor profanity.
+
+A word is profane if, folded, it is a stem of the lexicon with one of its endings; letters may be
+drawn out. A run of single letters between separators (``x.y.z w``) is profane if the letters
+spell a stem somewhere.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.core import contains_any, let, replace_where, when_guarded
-from veilspark.functions.reference_data import LOOKALIKES, PROFANE_ENDINGS, PROFANE_STEMS, profane_pattern
+from veilspark.functions.core import let, replace_where, when_guarded
+from veilspark.functions.reference_data import (
+    LOOKALIKES,
+    PROFANE_ENDINGS,
+    PROFANE_LEXICON,
+    PROFANE_STEMS,
+    profane_pattern,
+    profane_stem,
+)
 
 WORD_PATTERN = r"[\p{L}\p{N}@$]+"
+#: Four or more single letters with one blank, dot, dash or underscore between each.
+SPACED_PATTERN = r"\b[A-Za-z](?:[ ._\-][A-Za-z]){3,}\b"
 # A look-alike next to a letter; starts with the rare character so that most positions fail at once.
 _MIXED_PATTERN = r"[013457@$](?:(?<=\p{L}[013457@$])|(?=\p{L}))"
 
@@ -18,27 +32,72 @@ def fold_word(word: Column) -> Column:
     return F.translate(F.lower(word), *LOOKALIKES)
 
 
+def starred(word: Column) -> Column:
+    """The first character, and a star for each other one."""
+    return F.concat(F.left(word, F.lit(1)), F.repeat(F.lit("*"), F.char_length(word) - 1))
+
+
+def _has_profane(text: Column, stem: str) -> Column:
+    """A necessary condition for a profane word."""
+    plain = F.lower(text).rlike(stem)
+    return plain | (text.rlike(_MIXED_PATTERN) & fold_word(text).rlike(stem))
+
+
+def _spells(run: Column, stem: str) -> Column:
+    return F.lower(F.regexp_replace(run, r"[ ._\-]", "")).rlike(stem)
+
+
 def censor_profanity(
     text: Column, stems: tuple[str, ...] = PROFANE_STEMS, endings: tuple[str, ...] = PROFANE_ENDINGS
 ) -> Column:
-    """Keep the first character of each offending word and star the rest."""
-    pattern = profane_pattern(stems, endings)
-
-    # A stem that contains another one adds nothing to the prefilter.
-    roots = tuple(s for s in stems if not any(o != s and o in s for o in stems))
-
-    def possible(v: Column) -> Column:
-        plain = let(F.lower(v), lambda low: contains_any(low, roots))
-        disguised = let(fold_word(v), lambda folded: contains_any(folded, roots))
-        return plain | (v.rlike(_MIXED_PATTERN) & disguised)
+    """Keep the first character of each offending word or run of letters and star the rest."""
+    pattern, stem = profane_pattern(stems, endings), profane_stem(stems)
 
     def star(word: Column) -> Column:
-        masked = F.concat(F.left(word, F.lit(1)), F.repeat(F.lit("*"), F.char_length(word) - 1))
-        return F.when(fold_word(word).rlike(pattern), masked).otherwise(word)
+        return F.when(fold_word(word).rlike(pattern), starred(word)).otherwise(word)
+
+    def star_run(run: Column) -> Column:
+        masked = F.concat(F.left(run, F.lit(1)), F.regexp_replace(F.substr(run, F.lit(2)), "[A-Za-z]", "*"))
+        return F.when(_spells(run, stem), masked).otherwise(run)
 
-    return when_guarded(text, possible, lambda v: replace_where(v, WORD_PATTERN, star))
+    words = when_guarded(text, lambda v: _has_profane(v, stem), lambda v: replace_where(v, WORD_PATTERN, star))
+    return when_guarded(words, lambda v: v.rlike(SPACED_PATTERN), lambda v: replace_where(v, SPACED_PATTERN, star_run))
 
 
-def flag_profanity(text: Column, **lexicon) -> Column:
+def flag_profanity(
+    text: Column, stems: tuple[str, ...] = PROFANE_STEMS, endings: tuple[str, ...] = PROFANE_ENDINGS
+) -> Column:
     """True if ``censor_profanity`` has something to star."""
-    return let(text, lambda t: t != censor_profanity(t, **lexicon))
+    pattern, stem = profane_pattern(stems, endings), profane_stem(stems)
+
+    def hit(v: Column) -> Column:
+        words = F.exists(F.regexp_extract_all(v, F.lit(WORD_PATTERN), F.lit(0)), lambda w: fold_word(w).rlike(pattern))
+        runs = F.exists(F.regexp_extract_all(v, F.lit(SPACED_PATTERN), F.lit(0)), lambda r: _spells(r, stem))
+        return F.when(_has_profane(v, stem), words).otherwise(False) | F.when(v.rlike(SPACED_PATTERN), runs).otherwise(False)
+
+    return let(text, lambda v: F.when(v.isNotNull(), hit(v)))
+
+
+def profanity_hits(
+    text: Column, lexicon: dict[str, tuple[str, int]] = PROFANE_LEXICON, endings: tuple[str, ...] = PROFANE_ENDINGS
+) -> Column:
+    """Profane words in order, as structs of word, category and severity; a word that fits several
+    stems has the greatest severity (and the last category) of them. Null in, null out."""
+    kinds: dict[tuple[int, str], list[str]] = {}
+    for stem, (category, severity) in lexicon.items():
+        kinds.setdefault((severity, category), []).append(stem)
+
+    def graded(word: Column) -> Column:
+        out = F.lit(None).cast("struct<word:string,category:string,severity:int>")
+        for severity, category in sorted(kinds):
+            kind = F.struct(word.alias("word"), F.lit(category).alias("category"), F.lit(severity).alias("severity"))
+            out = F.when(fold_word(word).rlike(profane_pattern(tuple(kinds[severity, category]), endings)), kind).otherwise(out)
+        return out
+
+    def hits(v: Column) -> Column:
+        words = F.regexp_extract_all(v, F.lit(WORD_PATTERN), F.lit(0))
+        return F.filter(F.transform(words, graded), lambda h: h.isNotNull())
+
+    none = F.array().cast("array<struct<word:string,category:string,severity:int>>")
+    stem = profane_stem(tuple(lexicon))
+    return let(text, lambda v: F.when(v.isNotNull(), F.when(_has_profane(v, stem), hits(v)).otherwise(none)))

@@ -19,6 +19,8 @@ CARD_ISSUERS: dict[str, tuple[str, str]] = {
     "jcb": ("35", "16"),
     "maestro": ("50[1-3]8|502|503|56|58|639|67", "13-19"),
     "forbrugsforeningen": ("600", "16"),
+    "dankort": ("5019", "16"),
+    "mir": ("220[0-4]", "16"),
 }
 
 # ---- Fixed values: IBAN account part per country in SWIFT notation (n digits, a capitals,
@@ -64,11 +66,88 @@ PHONE_PLANS: dict[str, PhonePlan] = {
     "MA": PhonePlan("212", "0", "00", r"[5-8][0-9]{8}"),
 }
 
-# ---- Fixed values: default profanity lexicon, as stems and the endings each may take.
-PROFANE_STEMS: tuple[str, ...] = (
-    "arsehole", "asshole", "bastard", "bitch", "bollock", "bullshit", "cunt", "dickhead", "fuck",
-    "motherfuck", "piss", "prick", "shit", "slut", "twat", "wank", "whore",
+# ---- Fixed values: national numbers abroad, by calling code or group of calling codes.
+PHONE_ABROAD: tuple[tuple[str, str], ...] = (
+    ("7", "[3-9][0-9]{9}"),
+    ("20", "1[0-25][0-9]{8}|[2-9][0-9]{7,8}"),
+    ("21[1368]", "[1-9][0-9]{7,8}"),
+    ("22[0-9]", "[0-9]{7,10}"),
+    ("23[0-9]", "[1-9][0-9]{6,9}"),
+    ("24[0-9]", "[0-9]{7,9}"),
+    ("25[0-8]", "[1-9][0-9]{6,8}"),
+    ("26[0-9]", "[1-9][0-9]{6,8}"),
+    ("27", "[1-8][0-9]{8}"),
+    ("29[01789]", "[1-9][0-9]{5,6}"),
+    ("30", "[26][0-9]{9}"),
+    ("35[02-9]", "[1-9][0-9]{6,9}"),
+    ("36", "[1-9][0-9]{7,8}"),
+    ("37[0-8]", "[1-9][0-9]{6,8}"),
+    ("38[0-35-79]", "[1-9][0-9]{7,8}"),
+    ("40", "[2378][0-9]{8}"),
+    ("42[013]", "[1-9][0-9]{6,8}"),
+    ("43", "[1-9][0-9]{6,12}"),
+    ("45", "[2-9][0-9]{7}"),
+    ("46", "[1-9][0-9]{6,9}"),
+    ("47", "[2-9][0-9]{7}"),
+    ("48", "[1-9][0-9]{8}"),
+    ("50[1-9]", "[2-9][0-9]{6,7}"),
+    ("51", "[1-9][0-9]{7,8}"),
+    ("52", "[1-9][0-9]{9,10}"),
+    ("53", "[2-8][0-9]{7}"),
+    ("54", "[1-9][0-9]{9,10}"),
+    ("55", "[1-9]{2}[2-9][0-9]{7,8}"),
+    ("56", "[2-9][0-9]{8}"),
+    ("57", "[36][0-9]{9}"),
+    ("58", "[24][0-9]{9}"),
+    ("59[0-9]", "[1-9][0-9]{6,8}"),
+    ("60", "[1-9][0-9]{7,9}"),
+    ("61", "[2-478][0-9]{8}"),
+    ("62", "[1-9][0-9]{7,11}"),
+    ("63", "[2-9][0-9]{7,9}"),
+    ("64", "[2-9][0-9]{7,9}"),
+    ("65", "[3689][0-9]{7}"),
+    ("66", "[2-9][0-9]{7,8}"),
+    ("67[02-9]|68[0-35-9]|69[0-2]", "[1-9][0-9]{5,7}"),
+    ("81", "[1-9][0-9]{8,9}"),
+    ("82", "[1-9][0-9]{7,10}"),
+    ("84", "[1-9][0-9]{8,9}"),
+    ("85[02356]", "[1-9][0-9]{7,9}"),
+    ("86", "1[3-9][0-9]{9}|[2-9][0-9]{8,9}"),
+    ("88[06]", "[1-9][0-9]{7,9}"),
+    ("90", "[2-58][0-9]{9}"),
+    ("91", "[1-9][0-9]{9}"),
+    ("92", "[1-9][0-9]{8,9}"),
+    ("93", "[2-7][0-9]{8}"),
+    ("94", "[1-9][0-9]{8}"),
+    ("95", "[1-9][0-9]{6,9}"),
+    ("96[0-8]", "[1-9][0-9]{6,9}"),
+    ("97[0-7]", "[1-9][0-9]{6,9}"),
+    ("98", "[1-9][0-9]{9}"),
+    ("99[2-68]", "[1-9][0-9]{7,8}"),
 )
+
+# ---- Fixed values: default profanity lexicon, as stems (category, severity from 1 to 3) and the
+# ---- endings each may take.
+PROFANE_LEXICON: dict[str, tuple[str, int]] = {
+    "arsehole": ("insult", 2),
+    "asshole": ("insult", 2),
+    "bastard": ("insult", 1),
+    "bitch": ("insult", 2),
+    "bollock": ("crude", 1),
+    "bullshit": ("crude", 2),
+    "cunt": ("sexual", 3),
+    "dickhead": ("insult", 2),
+    "fuck": ("sexual", 3),
+    "motherfuck": ("sexual", 3),
+    "piss": ("crude", 1),
+    "prick": ("insult", 1),
+    "shit": ("crude", 2),
+    "slut": ("sexual", 3),
+    "twat": ("sexual", 2),
+    "wank": ("sexual", 2),
+    "whore": ("sexual", 3),
+}
+PROFANE_STEMS: tuple[str, ...] = tuple(PROFANE_LEXICON)
 PROFANE_ENDINGS: tuple[str, ...] = ("", "s", "es", "ed", "er", "ers", "ing", "in", "y")
 # Look-alikes folded before a word is looked up.
 LOOKALIKES: tuple[str, str] = ("013457@$", "oieastas")
@@ -102,6 +181,7 @@ def phone_pattern(region: str | None) -> str:
     for plan in PHONE_PLANS.values():
         trunk = f"(?:{plan.trunk})?" if plan.trunk else ""
         abroad[plan.calling_code] = f"{plan.calling_code}{trunk}(?:{plan.national})"
+    abroad |= {codes: f"(?:{codes})0?(?:{national})" for codes, national in PHONE_ABROAD}
     world = "|".join(abroad.values())
     forms = [rf"\+(?:{world})"]
     if region in PHONE_PLANS:
@@ -113,7 +193,21 @@ def phone_pattern(region: str | None) -> str:
     return "^(?:" + "|".join(forms) + ")$"
 
 
+def stretched(word: str) -> str:
+    """Regex for a word in which any letter may be drawn out: ``f+u+c+k+``, but ``l{2,}`` for ``ll``."""
+    parts = []
+    for run in re.finditer(r"(.)\1*", word, re.DOTALL):
+        n = len(run[0])
+        parts.append(re.escape(run[1]) + ("+" if n == 1 else f"{{{n},}}"))
+    return "".join(parts)
+
+
+def profane_stem(stems=PROFANE_STEMS) -> str:
+    """Regex for any of the stems, drawn out or not."""
+    return "(?:" + "|".join(stretched(s) for s in stems) + ")"
+
+
 def profane_pattern(stems=PROFANE_STEMS, endings=PROFANE_ENDINGS) -> str:
     """Anchored regex over a folded word."""
     tails = "|".join(e for e in endings if e)
-    return "^(?:" + "|".join(re.escape(s) for s in stems) + f")(?:{tails})?$"
+    return f"^{profane_stem(stems)}" + (f"(?:{tails})?$" if tails else "$")

@@ -23,6 +23,9 @@ def findings_table(df: DataFrame, keys: list[str], clean: str = "sanitized_text"
 def redaction_report(df: DataFrame, dims: list[str], clean: str = "sanitized_text") -> DataFrame:
     """Documents and findings per dimension value and rule, with all subtotals.
 
+    In a subtotal over a dimension ``<dim>_total`` is true and the dimension is null; a null with
+    ``<dim>_total`` false is a null of the data. The rule ``ALL`` counts documents and findings of any rule.
+
     Each text adds one row per rule plus one for the total, which replaces a distinct count.
     The cube runs over the small pre-aggregated table, not over the texts.
     """
@@ -37,16 +40,17 @@ def redaction_report(df: DataFrame, dims: list[str], clean: str = "sanitized_tex
         .groupBy(*dims, "f.rule")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("f.n").alias("n_findings"))
     )
-    cubed = base.withColumns({d: F.coalesce(F.col(d), F.lit("")) for d in dims}).cube(*dims, "rule").agg(
-        F.sum("n_docs").alias("n_docs"), F.sum("n_findings").alias("n_findings"), F.grouping("rule").alias("_g")
-    )
-    return cubed.where("_g = 0").select(
-        *[F.coalesce(F.col(d), F.lit(TOTAL)).alias(d) for d in dims], "rule", "n_docs", "n_findings"
+    cubed = base.cube(*dims, "rule").agg(
+        *[(F.grouping(d) == 1).alias(f"{d}_total") for d in dims],
+        F.sum("n_docs").alias("n_docs"),
+        F.sum("n_findings").alias("n_findings"),
+        F.grouping("rule").alias("_g"),
     )
+    return cubed.where("_g = 0").drop("_g")
 
 
 def token_report(df: DataFrame, dim: str, stats: str = "token_stats") -> DataFrame:
-    """Token saving per value of ``dim`` and overall, with quantiles of the reduction.
+    """Token saving per value of ``dim`` and overall (``<dim>_total``), with quantiles of the reduction.
 
     The reduction has one decimal, so at most 1,001 values per group: a histogram of it comes
     first, and exact quantiles cost no more than that.
@@ -54,7 +58,7 @@ def token_report(df: DataFrame, dim: str, stats: str = "token_stats") -> DataFra
     s = F.col(stats)
     histogram = (
         df.select(
-            F.coalesce(F.col(dim), F.lit("")).alias(dim), s["raw_tokens"].alias("raw"), s["saved_tokens"].alias("saved"),
+            dim, s["raw_tokens"].alias("raw"), s["saved_tokens"].alias("saved"),
             s["reduction_percent"].alias("pct"),
         )
         .groupBy(dim, "pct")
@@ -67,6 +71,7 @@ def token_report(df: DataFrame, dim: str, stats: str = "token_stats") -> DataFra
     return (
         histogram.rollup(dim)
         .agg(
+            (F.grouping(dim) == 1).alias(f"{dim}_total"),
             F.sum("n").alias("n_docs"),
             F.sum("raw").alias("raw_tokens"),
             F.sum("saved").alias("saved_tokens"),
@@ -74,7 +79,8 @@ def token_report(df: DataFrame, dim: str, stats: str = "token_stats") -> DataFra
             quantile(0.9).alias("p90_percent"),
         )
         .select(
-            F.coalesce(F.col(dim), F.lit(TOTAL)).alias(dim),
+            dim,
+            f"{dim}_total",
             "n_docs",
             "raw_tokens",
             "saved_tokens",

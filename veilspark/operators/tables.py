@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.profanity import WORD_PATTERN, fold_word
+from veilspark.functions.core import replace_where
+from veilspark.functions.profanity import WORD_PATTERN, starred, fold_word
 from veilspark.functions.sanitize import sanitize_text_column
 
 
@@ -49,17 +50,56 @@ def sanitize_conversations(
     )
 
 
-def flag_by_lexicon(df: DataFrame, keys: list[str], lexicon: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
-    """(keys, flagged) against a lexicon table of whole words of any size.
+def sanitize_turns(
+    df: DataFrame,
+    conversation: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    region: str | Column = "FR",
+) -> DataFrame:
+    """One sanitized row per turn, with the turn as its position: whole conversations without a shuffle."""
+    return df.select(conversation, turn, role, sanitize_text_column(text, region).alias(text))
 
-    Words are folded and made unique per text before they move; a hot word then costs one row
-    per text.  Spark broadcasts the lexicon if it is small and splits hot words if it is not.
-    """
-    terms = lexicon.select(fold_word(F.col(term)).alias("_word")).distinct()
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), F.lit(0)), fold_word))
-    hits = df.select(*keys, F.explode(words).alias("_word")).join(terms, "_word", "left_semi").select(*keys).distinct()
-    hits = hits.select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_hit"))
+
+def _same(keys: list[str]) -> Column:
+    """Keys equal to their copies ``_key``; nulls are equal."""
     same = F.lit(True)
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
-    return df.select(*keys).join(hits, same, "left").select(*keys, F.coalesce("_hit", F.lit(False)).alias("flagged"))
+    return same
+
+
+def _lexicon_hits(df: DataFrame, keys: list[str], lexicon: DataFrame, text: str, term: str) -> DataFrame:
+    """(_keys, _word): the folded words of each text that the lexicon has.
+
+    Words are made unique per text before they move; a hot word then costs one row per text.
+    Spark broadcasts the lexicon if it is small and splits hot words if it is not.
+    """
+    terms = lexicon.select(fold_word(F.col(term)).alias("_word")).distinct()
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), F.lit(0)), fold_word))
+    found = df.select(*keys, F.explode(words).alias("_word")).join(terms, "_word", "left_semi")
+    return found.select(*[F.col(k).alias(f"_{k}") for k in keys], "_word")
+
+
+def flag_by_lexicon(df: DataFrame, keys: list[str], lexicon: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
+    """(keys, flagged) against a lexicon table of whole words of any size."""
+    hits = _lexicon_hits(df, keys, lexicon, text, term).drop("_word").distinct().withColumn("_hit", F.lit(True))
+    return df.select(*keys).join(hits, _same(keys), "left").select(*keys, F.coalesce("_hit", F.lit(False)).alias("flagged"))
+
+
+def censor_by_lexicon(df: DataFrame, keys: list[str], lexicon: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
+    """(keys, text) with all words of a lexicon table starred but for their first character.
+
+    Only the words found in a text come back to it, so the size of the lexicon does not matter.
+    Rows that share all keys share their hits.
+    """
+    hits = _lexicon_hits(df, keys, lexicon, text, term)
+    hits = hits.groupBy(*[f"_{k}" for k in keys]).agg(F.collect_set("_word").alias("_words"))
+    both = df.select(*keys, text).join(hits, _same(keys), "left")
+
+    def star(word: Column) -> Column:
+        return F.when(F.array_contains("_words", fold_word(word)), starred(word)).otherwise(word)
+
+    censored = F.when(F.col("_words").isNotNull(), replace_where(F.col(text), WORD_PATTERN, star)).otherwise(F.col(text))
+    return both.select(*keys, censored.alias(text))

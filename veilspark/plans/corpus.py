@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.sources.texts import spread
@@ -22,7 +22,7 @@ SELECT event_id, ts, event_type AS source, event_id % 32 AS kind,
     WHEN 8 THEN concat('Authorization: bearer ', h)
     WHEN 9 THEN concat('https://hooks.slack.com/services/T', upper(substr(h, 1, 8)), '/B', upper(substr(g, 1, 8)), '/', substr(h, 9, 24))
     WHEN 10 THEN concat('xoxb-', substr(h, 1, 24))
-    WHEN 11 THEN concat('sk_', 'live_', substr(h, 1, 24))
+    WHEN 11 THEN concat('sk_live_', substr(h, 1, 24))
     WHEN 12 THEN concat('sid SK', h)
     WHEN 13 THEN concat('SG.', substr(h, 1, 22), '.', substr(concat(h, g), 1, 43))
     WHEN 14 THEN concat('AIza', substr(concat(h, g), 1, 35))
@@ -33,27 +33,28 @@ SELECT event_id, ts, event_type AS source, event_id % 32 AS kind,
     WHEN 19 THEN concat('postgres://u', u, ':', substr(h, 1, 10), '@db.internal:5432/prod')
     WHEN 20 THEN concat('data:image/png;base64,', h, g, '==')
     WHEN 21 THEN concat('eyJ', h, '.eyJ', g, '.', h)
-    WHEN 22 THEN concat('internal_token: aZ8kQ2mN9pR4vT7xW1yB6cD3eF5gH0jK2lM4nO', e)
+    WHEN 22 THEN concat('build cache entry Qw7Lr2Vx9Tn4Bz6Hc1Yp8Gd3Ks5Mf0Ja', e)
     WHEN 23 THEN concat('token = "', substr(concat(h, g), 1, 40), '"')
-    WHEN 24 THEN concat('2026-08-14T16:28:46Z Segfault at 0x', substr(h, 1, 12), ' in main')
+    WHEN 24 THEN concat('2031-05-09T07:11:02Z worker stopped at 0x', substr(h, 1, 12), ' while reading')
     WHEN 25 THEN concat('12:34:56.789 tick ', e)
     WHEN 26 THEN concat('SSN 123-45-', lpad(CAST(event_id % 10000 AS string), 4, '0'))
     WHEN 27 THEN concat('mail u', u, '@example.com and a..b@example.com')
-    WHEN 28 THEN concat('card 4532015112830366 ref 1234567890123456 n', e)
+    WHEN 28 THEN concat('card 4024007130551186 ref 7701234567890019 n', e)
     WHEN 29 THEN 'iban GB82WEST12345698765432 bad GB82WEST12345698765433'
-    WHEN 30 THEN concat('tel 06 12 34 56 78, intl +33 6 12 34 56 78, bad 0000000000 n', e, ' what a bastard')
+    WHEN 30 THEN concat('tel 06 12 34 56 78, intl +33 6 12 34 56 78, bad 0000000000 n', e, ' what a bastard, s h i t and bullshitter, call +81 90 1234 5678 or +48 512 345 678')
     ELSE concat('Error ', e, chr(10), 'retry', chr(10), 'retry', chr(10), '    at f (node_modules/a/b.js:1:2)', chr(10),
-                '    at g (node_modules/a/c.js:3:4)', chr(10), 'done', chr(10))
+                '    at g (node_modules/a/c.js:3:4)', chr(10), 'done', chr(10),
+                CASE WHEN event_id % 64 = 31 THEN concat('retry', chr(10)) ELSE '' END)
   END AS text
 FROM (SELECT *, CAST(event_id AS string) AS e, CAST(user_id AS string) AS u,
              md5(CAST(event_id AS string)) AS h, md5(concat('b', CAST(user_id AS string))) AS g FROM events)
 """
 
 CORPUS_SQL = """
-SELECT 'documents' AS corpus, doc_id AS id, source, lang, text FROM documents
-UNION ALL SELECT 'pages', page_id, 'web', 'html', html FROM pages
-UNION ALL SELECT 'conversations', conv_id * 100000 + turn, role, 'chat', text FROM conversations
-UNION ALL SELECT 'logs', event_id, source, 'log', text FROM logs
+SELECT 'documents' AS corpus, doc_id AS id, 0::BIGINT AS part, source, lang, text FROM documents
+UNION ALL SELECT 'pages', page_id, 0, 'web', 'html', html FROM pages
+UNION ALL SELECT 'conversations', conv_id, turn, role, 'chat', text FROM conversations
+UNION ALL SELECT 'logs', event_id, 0, source, 'log', text FROM logs
 """
 
 # A reply for every document: fenced text, chat form, too short a text, a fallback, a failure.
@@ -100,19 +101,21 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts as (corpus, id, source, lang, text)."""
-
-    def part(df: DataFrame, name: str, id, source, lang, text) -> DataFrame:
-        return df.select(F.lit(name).alias("corpus"), id.alias("id"), source.alias("source"), lang.alias("lang"), text.alias("text"))
-
+    """All texts as (corpus, id, part, source, lang, text); part is the turn of a conversation, else 0."""
     c, lit = F.col, F.lit
-    documents = part(texts(spark, sf_dir, "documents"), "documents", c("doc_id"), c("source"), c("lang"), c("text"))
-    pages = part(texts(spark, sf_dir, "pages"), "pages", c("page_id"), lit("web"), lit("html"), c("html"))
-    talks = part(
-        texts(spark, sf_dir, "conversations"), "conversations", c("conv_id") * 100000 + c("turn"), c("role"), lit("chat"), c("text")
+
+    def some(df: DataFrame, name: str, id: str, source: Column, lang: Column, text: str, part: Column = lit(0)) -> DataFrame:
+        return df.select(
+            lit(name).alias("corpus"), c(id).alias("id"), part.cast("bigint").alias("part"),
+            source.alias("source"), lang.alias("lang"), c(text).alias("text"),
+        )
+
+    return (
+        some(texts(spark, sf_dir, "documents"), "documents", "doc_id", c("source"), c("lang"), "text")
+        .unionByName(some(texts(spark, sf_dir, "pages"), "pages", "page_id", lit("web"), lit("html"), "html"))
+        .unionByName(some(texts(spark, sf_dir, "conversations"), "conversations", "conv_id", c("role"), lit("chat"), "text", c("turn")))
+        .unionByName(some(logs(spark, sf_dir), "logs", "event_id", c("source"), lit("log"), "text"))
     )
-    lines = part(logs(spark, sf_dir), "logs", c("event_id"), c("source"), lit("log"), c("text"))
-    return documents.unionByName(pages).unionByName(talks).unionByName(lines)
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:

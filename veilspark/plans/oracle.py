@@ -9,8 +9,16 @@ from __future__ import annotations
 from veilspark.functions import pii as P
 from veilspark.functions import rewrite as RW
 from veilspark.functions.lines import FRAME_PATTERN, INTERNAL_FRAGMENTS, PRUNED_PREFIX, PRUNED_SUFFIX
-from veilspark.functions.profanity import WORD_PATTERN
-from veilspark.functions.reference_data import LOOKALIKES, card_pattern, iban_pattern, phone_pattern, profane_pattern
+from veilspark.functions.profanity import SPACED_PATTERN, WORD_PATTERN
+from veilspark.functions.reference_data import (
+    LOOKALIKES,
+    PROFANE_LEXICON,
+    card_pattern,
+    iban_pattern,
+    phone_pattern,
+    profane_pattern,
+    profane_stem,
+)
 from veilspark.functions.rules import (
     ALL_RULES,
     HIGH_ENTROPY_BITS,
@@ -25,7 +33,7 @@ from veilspark.functions.rules import (
 from veilspark.functions.tokens import TOKEN_PATTERN, WORD_FACTOR
 from veilspark.plans.corpus import CORPUS_SQL, LOGS_SQL, REPLY_BODY_SQL, REPLY_SQL
 
-K = "corpus, id"
+K = "corpus, id, part"
 NL = "chr(10)"
 
 
@@ -118,12 +126,31 @@ _NUMBER = "concat(CASE WHEN starts_with(h, '+') THEN '+' ELSE '' END, regexp_rep
 PHONE = redact_where_sql("t", P.PHONE_CANDIDATE, f"regexp_matches({_NUMBER}, {q(phone_pattern('FR'))})", P.PHONE_MARKER)
 SSN = rule_sql("t", rule("ssn"))
 _FOLDED = f"translate(lower(h), {q(LOOKALIKES[0])}, {q(LOOKALIKES[1])})"
-PROFANE = replace_where_sql(
+_STARRED = "concat(substr(h, 1, 1), repeat('*', length(h) - 1))"
+PROFANE_WORDS = replace_where_sql(
+    "t", WORD_PATTERN, f"CASE WHEN regexp_matches({_FOLDED}, {q(profane_pattern())}) THEN {_STARRED} ELSE h END"
+)
+PROFANE_RUNS = replace_where_sql(
     "t",
-    WORD_PATTERN,
-    f"CASE WHEN regexp_matches({_FOLDED}, {q(profane_pattern())}) "
-    "THEN concat(substr(h, 1, 1), repeat('*', length(h) - 1)) ELSE h END",
+    SPACED_PATTERN,
+    rf"CASE WHEN regexp_matches(lower(regexp_replace(h, '[ ._\-]', '', 'g')), {q(profane_stem())}) "
+    "THEN concat(substr(h, 1, 1), regexp_replace(substr(h, 2), '[A-Za-z]', '*', 'g')) ELSE h END",
 )
+PROFANE_STEPS = (PROFANE_WORDS, PROFANE_RUNS)
+
+
+def lexicon_sql(field: int) -> str:
+    """Category or severity of a folded word ``w``: that of the severest kind that fits."""
+    kinds: dict = {}
+    for stem, kind in PROFANE_LEXICON.items():
+        kinds.setdefault(kind, []).append(stem)
+    order = sorted(kinds, key=lambda kind: (-kind[1], [-ord(c) for c in kind[0]]))
+    return "CASE " + " ".join(
+        f"WHEN regexp_matches(w, {q(profane_pattern(tuple(kinds[kind])))}) THEN {q(kind[0]) if field == 0 else kind[1]}"
+        for kind in order
+    ) + " END"
+
+
 # Without its final newline a text splits into its lines; chr(13) only matters before a newline.
 NORMAL = rf"regexp_replace(replace(t, concat(chr(13), {NL}), {NL}), '\n\z', '')"
 FRAME = f"(regexp_matches(line, {q(FRAME_PATTERN)}) AND (" + " OR ".join(
@@ -227,8 +254,9 @@ def sanitized_ctes(base: str | None = None, keys: str = K, p: str = "s", out: st
         parts.append(f"{p}_c{i + 1} AS (SELECT * REPLACE ({step} AS t) FROM {p}_c{i})")
     n = len(PII_STEPS)
     parts.append(f"{p}_c{n + 1} AS (SELECT *, t AS before_censor FROM {p}_c{n})")
-    parts.append(f"{p}_c{n + 2} AS (SELECT * REPLACE ({PROFANE} AS t) FROM {p}_c{n + 1})")
-    parts.append(f"{out} AS (SELECT *, t <> before_censor AS flagged_profanity FROM {p}_c{n + 2})")
+    parts.append(f"{p}_c{n + 2} AS (SELECT * REPLACE ({PROFANE_WORDS} AS t) FROM {p}_c{n + 1})")
+    parts.append(f"{p}_c{n + 3} AS (SELECT * REPLACE ({PROFANE_RUNS} AS t) FROM {p}_c{n + 2})")
+    parts.append(f"{out} AS (SELECT *, t <> before_censor AS flagged_profanity FROM {p}_c{n + 3})")
     return ", ".join(parts)
 
 
@@ -265,15 +293,23 @@ def accepted_sql(original: str, cleaned: str) -> str:
     return f"coalesce({cleaned} <> '' AND {cleaned} <> {original} AND strlen({cleaned}) >= {least}, false)"
 
 
-STAGED = sanitized_ctes(DOCS0, "doc_id")
-REWRITTEN = f"""{STAGED}, {REPLIES}, {READ}, {FENCES},
+def rewritten_ctes(base: str, keys: str, document: str) -> str:
+    """Replies merged into the stage-1 texts; ``document`` is true where c and f are of one document."""
+    return f"""{sanitized_ctes(base, keys)}, {REPLIES}, {READ}, {FENCES},
   merged AS (SELECT c.*, f.t AS rewrite, {eligible_sql('c.t')} AND {accepted_sql('c.t', 'f.t')} AS is_distilled
-             FROM clean c LEFT JOIN fenced f USING (doc_id)),
-  r0 AS (SELECT doc_id, rewrite AS t FROM merged WHERE is_distilled)"""
-SAFE = f"""{REWRITTEN}, {sanitized_ctes('', 'doc_id', 'r', 'again')},
-  safe AS (SELECT m.doc_id, m.text AS raw_text, m.t AS stage1_text, m.is_distilled, m.flagged_profanity,
-                  CASE WHEN m.is_distilled THEN a.t ELSE m.t END AS sanitized_text
-           FROM merged m LEFT JOIN again a USING (doc_id))"""
+             FROM clean c LEFT JOIN fenced f ON {document}),
+  r0 AS (SELECT {keys}, rewrite AS t FROM merged WHERE is_distilled)"""
+
+
+def safe_ctes(base: str, keys: str, document: str) -> str:
+    return f"""{rewritten_ctes(base, keys, document)}, {sanitized_ctes('', keys, 'r', 'again')},
+  safe AS (SELECT {', '.join(f'm.{k.strip()}' for k in keys.split(','))}, m.text AS raw_text, m.t AS stage1_text,
+                  m.is_distilled, m.flagged_profanity, CASE WHEN m.is_distilled THEN a.t ELSE m.t END AS sanitized_text
+           FROM merged m LEFT JOIN again a USING ({keys}))"""
+
+
+REWRITTEN = rewritten_ctes(DOCS0, "doc_id", "c.doc_id = f.doc_id")
+SAFE = safe_ctes(DOCS0, "doc_id", "c.doc_id = f.doc_id")
 
 
 def stats_select(source: str, raw: str, clean: str) -> str:
@@ -296,14 +332,54 @@ def found_ctes(source: str, keep: str) -> str:
 
 # ---- Diff: occurrence join, with the display order as a sort key ------------------------------
 
-DOCS_AS_CORPUS = "s0 AS (SELECT 'documents' AS corpus, doc_id AS id, text, text AS t FROM documents)"
-DIFF_STEPS = f"""
-  {split_ctes('old_lines', 'clean', K, 'text')}, {split_ctes('new_lines', 'clean', K, 't')},
+DOCS_AS_CORPUS = "s0 AS (SELECT 'documents' AS corpus, doc_id AS id, 0::BIGINT AS part, text, text AS t FROM documents)"
+
+
+def ends_ctes(name: str, source: str, keys: str = K, column: str = "t") -> str:
+    """Lines with their newlines as (keys, no, line)."""
+    return (
+        f"{name} AS (SELECT {keys}, unnest(ls) AS line, generate_subscripts(ls, 1)::BIGINT AS no FROM "
+        rf"(SELECT {keys}, regexp_extract_all({column}, '[^\n]*\n|[^\n]+') AS ls FROM {source} WHERE {column} <> ''))"
+    )
+
+
+def diff_ctes(source: str = "clean", raw: str = "text", clean: str = "t", split=split_ctes) -> str:
+    """The diff of two columns.
+
+    Texts whose occurrence pairs cross get the table of longest common subsequences of all prefixes,
+    row by row, and a walk back through it: up while the table does not change, else left while the
+    row above is still shorter.
+    """
+    return f"""
+  {split('old_lines', source, K, raw)}, {split('new_lines', source, K, clean)},
   o AS (SELECT *, row_number() OVER (PARTITION BY {K}, line ORDER BY no) AS occ FROM old_lines),
   w AS (SELECT *, row_number() OVER (PARTITION BY {K}, line ORDER BY no) AS occ FROM new_lines),
-  pairs AS (SELECT coalesce(o.corpus, w.corpus) AS corpus, coalesce(o.id, w.id) AS id,
-                   coalesce(o.line, w.line) AS content, o.no AS old_no, w.no AS new_no
-            FROM o FULL OUTER JOIN w ON o.corpus = w.corpus AND o.id = w.id AND o.line = w.line AND o.occ = w.occ),
+  occurs AS (SELECT {K}, coalesce(o.line, w.line) AS content, o.no AS old_no, w.no AS new_no
+             FROM o FULL OUTER JOIN w USING ({K}, line, occ)),
+  crossing AS (SELECT DISTINCT {K} FROM (
+      SELECT {K}, new_no < lag(new_no) OVER (PARTITION BY {K} ORDER BY old_no) AS back
+      FROM occurs WHERE old_no IS NOT NULL AND new_no IS NOT NULL) WHERE back),
+  sides AS (SELECT * FROM (SELECT {K}, list(line ORDER BY no) AS olds FROM old_lines SEMI JOIN crossing USING ({K}) GROUP BY {K})
+            JOIN (SELECT {K}, list(line ORDER BY no) AS news FROM new_lines SEMI JOIN crossing USING ({K}) GROUP BY {K}) USING ({K})),
+  grown AS (SELECT {K}, 0 AS i, list_transform(range(0, len(news) + 1), lambda j: 0) AS lens FROM sides
+            UNION ALL
+            SELECT {K}, i + 1, list_transform(range(1, len(cell) + 1), lambda j: list_max(cell[1:j])) FROM (
+              SELECT {K}, g.i, list_transform(range(1, len(s.news) + 2), lambda j: greatest(g.lens[j],
+                       CASE WHEN j > 1 AND s.news[j - 1] = s.olds[g.i + 1] THEN g.lens[j - 1] + 1 ELSE 0 END)) AS cell
+              FROM grown g JOIN sides s USING ({K}) WHERE g.i < len(s.olds))),
+  walk AS (SELECT {K}, len(olds) AS i, len(news) AS j, false AS pair FROM sides
+           UNION ALL
+           SELECT {K}, CASE WHEN up OR NOT aside THEN i - 1 ELSE i END, CASE WHEN up THEN j ELSE j - 1 END, NOT up AND NOT aside
+           FROM (SELECT {K}, k.i, k.j, a.lens[k.j + 1] = b.lens[k.j + 1] AS up, a.lens[k.j] > b.lens[k.j] AS aside
+                 FROM walk k JOIN grown a USING ({K}, i) JOIN (SELECT {K}, i + 1 AS i, lens FROM grown) b USING ({K}, i)
+                 WHERE k.i > 0 AND k.j > 0)),
+  aligned AS (SELECT {K}, i + 1 AS old_no, j + 1 AS new_no FROM walk WHERE pair),
+  pairs AS (SELECT * FROM occurs ANTI JOIN crossing USING ({K})
+            UNION ALL BY NAME
+            SELECT {K}, coalesce(x.line, y.line) AS content, x.no AS old_no, y.no AS new_no
+            FROM (SELECT l.*, a.new_no AS other FROM old_lines l SEMI JOIN crossing USING ({K})
+                  LEFT JOIN aligned a ON a.corpus = l.corpus AND a.id = l.id AND a.part = l.part AND a.old_no = l.no) x
+            FULL OUTER JOIN (SELECT *, no AS other FROM new_lines SEMI JOIN crossing USING ({K})) y USING ({K}, other)),
   ranked AS (SELECT *,
       count(CASE WHEN old_no IS NOT NULL AND new_no IS NOT NULL THEN 1 END) OVER (PARTITION BY {K} ORDER BY old_no NULLS LAST) AS by_old,
       count(CASE WHEN old_no IS NOT NULL AND new_no IS NOT NULL THEN 1 END) OVER (PARTITION BY {K} ORDER BY new_no NULLS LAST) AS by_new
@@ -311,19 +387,29 @@ DIFF_STEPS = f"""
   placed AS (SELECT *,
       CASE WHEN new_no IS NULL THEN 'delete' WHEN old_no IS NULL THEN 'add' ELSE 'equal' END AS change_type,
       CASE WHEN new_no IS NULL THEN by_old WHEN old_no IS NULL THEN by_new ELSE by_old - 1 END AS block,
-      CASE WHEN new_no IS NULL THEN 1 WHEN old_no IS NULL THEN 2 ELSE 3 END AS part
+      CASE WHEN new_no IS NULL THEN 1 WHEN old_no IS NULL THEN 2 ELSE 3 END AS kind
     FROM ranked),
-  diff AS (SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY block, part, coalesce(old_no, new_no)) AS pos,
+  diff AS (SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY block, kind, coalesce(old_no, new_no)) AS pos,
                   change_type, old_no::INT AS old_line_no, new_no::INT AS new_line_no, content FROM placed)"""
 
-DIFF = f"{sanitized_ctes()}, {DIFF_STEPS}"
+
+DIFF = f"{sanitized_ctes()}, {diff_ctes()}"
+COUNTED = f"""SELECT {K}, count(*) AS n_lines, count(*) FILTER (change_type = 'add') AS n_add,
+    count(*) FILTER (change_type = 'delete') AS n_delete, count(*) FILTER (change_type = 'equal') AS n_equal FROM diff GROUP BY {K}"""
 
 RENDERED = (
     "concat(coalesce(old_line_no::VARCHAR, ''), chr(9), coalesce(new_line_no::VARCHAR, ''), chr(9), "
     "CASE change_type WHEN 'delete' THEN '-' WHEN 'add' THEN '+' ELSE ' ' END, ' ', content)"
 )
 
-_LINES = f"{base_ctes()}, {split_ctes('all_lines', 's0')}, line_table AS (SELECT corpus AS source, id * 10000000 + no AS no, line FROM all_lines)"
+_LINES = f"""{base_ctes()}, {split_ctes('all_lines', 's0')}, line_table AS (SELECT corpus AS source, id, part, no AS line_no, line,
+    row_number() OVER (PARTITION BY corpus ORDER BY id, part, no) AS no FROM all_lines)"""
+_LINE_ROWS = "SELECT p.source, l.id, l.part, l.line_no, p.n, p.line FROM p JOIN line_table l USING (source, no)"
+
+LEXICON = f"""{base_ctes()},
+        terms AS (SELECT DISTINCT {_FOLDED} AS w FROM (SELECT unnest(regexp_extract_all(text, {q(WORD_PATTERN)})) AS h FROM benchmark)),
+        words AS (SELECT DISTINCT {K}, {_FOLDED} AS w FROM (SELECT {K}, unnest(regexp_extract_all(t, {q(WORD_PATTERN)})) AS h FROM s0)),
+        hits AS (SELECT * FROM words SEMI JOIN terms USING (w))"""
 
 LOG0 = f"logs AS ({LOGS_SQL}), s0 AS (SELECT *, text AS t FROM logs)"
 LOGS_CLEAN = sanitized_ctes(LOG0, "event_id")
@@ -338,7 +424,7 @@ ORACLE: dict[str, str] = {
     "latest_per_source": f"""WITH {LOGS_CLEAN}
         SELECT source, event_id, t AS text FROM clean
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC, event_id DESC) = 1""",
-    "result_json": f"""WITH {sanitized_ctes(DOCS_AS_CORPUS)}, {DIFF_STEPS}, stats AS {stats_select('clean', 'text', 't')},
+    "result_json": f"""WITH RECURSIVE {sanitized_ctes(DOCS_AS_CORPUS)}, {diff_ctes()}, stats AS {stats_select('clean', 'text', 't')},
         counted AS (SELECT id, count(*) AS n, count(*) FILTER (change_type = 'delete') AS d FROM diff GROUP BY id)
         SELECT s.id AS doc_id, s.text AS raw_text, s.t AS sanitized_text, s.t AS stage1_text, false AS is_distilled,
                raw_tokens, sanitized_tokens, saved_tokens, reduction_percent,
@@ -348,11 +434,21 @@ ORACLE: dict[str, str] = {
         SELECT id AS doc_id, concat({q(RW.INSTRUCTION)}, {NL}, {NL}, 'LOG:', {NL}, t) AS prompt,
         {RW.MAX_NEW_TOKENS}::BIGINT AS num_predict, {RW.TEMPERATURE}::DOUBLE AS temperature
         FROM clean WHERE {eligible_sql('t')}""",
+    "chat_rows": f"""WITH {sanitized_ctes(DOCS0, 'doc_id')}
+        SELECT doc_id, 'system' AS first_role, {q(RW.INSTRUCTION)} AS instruction, 'user' AS second_role, t AS text,
+               {RW.MAX_NEW_TOKENS}::BIGINT AS max_tokens, {RW.TEMPERATURE}::DOUBLE AS temperature
+        FROM clean WHERE {eligible_sql('t')}""",
     "nonblank_docs": f"WITH {base_ctes()} SELECT {K}, text FROM corpus WHERE NOT {blank_sql('text')}",
-    "diff_search": f"WITH {DIFF} SELECT * FROM diff WHERE contains(lower(content), 'redacted')",
+    "diff_search": f"WITH RECURSIVE {DIFF} SELECT * FROM diff WHERE contains(lower(content), 'redacted')",
     "distill_eligible": f"WITH {base_ctes()} SELECT {K}, {eligible_sql('text')} AS eligible FROM corpus",
-    "distill_guard": f"""WITH {REPLIES}, {READ}, {FENCES}
-        SELECT doc_id, {accepted_sql('d.text', 'f.t')} AS accepted FROM documents d JOIN fenced f USING (doc_id)""",
+    "distill_guard": f"""WITH {sanitized_ctes(DOCS0, 'doc_id')}, {REPLIES}, {READ}, {FENCES}
+        SELECT doc_id, {accepted_sql('c.t', 'f.t')} AS accepted FROM clean c JOIN fenced f USING (doc_id)""",
+    "record_full": f"""WITH RECURSIVE {safe_ctes(base_ctes(), K, "c.corpus = 'documents' AND c.id = f.doc_id")},
+        {diff_ctes('safe', 'raw_text', 'sanitized_text')}, counted AS ({COUNTED}), stats AS {stats_select('safe', 'raw_text', 'sanitized_text')}
+        SELECT {K}, raw_text, stage1_text, sanitized_text, is_distilled, flagged_profanity,
+               raw_tokens, sanitized_tokens, saved_tokens, reduction_percent,
+               coalesce(n_equal, 0) AS n_equal, coalesce(n_add, 0) AS n_add, coalesce(n_delete, 0) AS n_delete
+        FROM stats LEFT JOIN counted USING ({K})""",
     **{f"rule_{r.name}": mapped(rule_sql("t", r)) for r in ALL_RULES},
     "high_entropy": mapped(ENTROPY),
     "email": mapped(EMAIL),
@@ -360,33 +456,39 @@ ORACLE: dict[str, str] = {
     "iban": mapped(IBAN),
     "phone": mapped(PHONE),
     "entropy_scalar": mapped(f"round({entropy_sql('t')}, 6)", name="entropy"),
-    "profanity_flag": f"WITH {base_ctes()}, c AS (SELECT *, {PROFANE} AS censored FROM s0) SELECT {K}, censored <> t AS flagged FROM c",
-    "profanity_censor": mapped(PROFANE),
-    "lexicon_flag": f"""WITH {base_ctes()},
-        terms AS (SELECT DISTINCT {_FOLDED} AS w FROM (SELECT unnest(regexp_extract_all(text, {q(WORD_PATTERN)})) AS h FROM benchmark)),
-        words AS (SELECT DISTINCT {K}, {_FOLDED} AS w FROM (SELECT {K}, unnest(regexp_extract_all(t, {q(WORD_PATTERN)})) AS h FROM s0)),
-        hits AS (SELECT DISTINCT {K} FROM words WHERE w IN (SELECT w FROM terms))
-        SELECT c.corpus, c.id, h.id IS NOT NULL AS flagged FROM corpus c LEFT JOIN hits h ON c.corpus = h.corpus AND c.id = h.id""",
+    "profanity_flag": f"WITH {steps_ctes(PROFANE_STEPS)[0]} SELECT {K}, t <> text AS flagged FROM s2",
+    "profanity_censor": mapped(*PROFANE_STEPS),
+    "profanity_hits": f"""WITH {base_ctes()},
+        words AS (SELECT {K}, h AS word, {_FOLDED} AS w, no FROM (
+            SELECT {K}, unnest(hs) AS h, generate_subscripts(hs, 1) AS no FROM (SELECT {K}, regexp_extract_all(t, {q(WORD_PATTERN)}) AS hs FROM s0))),
+        graded AS (SELECT {K}, no, word, {lexicon_sql(0)} AS category, {lexicon_sql(1)} AS severity FROM words)
+        SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY no) AS pos, word, category, severity FROM graded WHERE category IS NOT NULL""",
+    "lexicon_flag": f"""WITH {LEXICON}
+        SELECT {K}, n IS NOT NULL AS flagged FROM corpus LEFT JOIN (SELECT {K}, count(*) AS n FROM hits GROUP BY {K}) USING ({K})""",
+    "lexicon_censor": f"""WITH {LEXICON}, held AS (SELECT {K}, list(w) AS ws FROM hits GROUP BY {K}),
+        texts AS (SELECT s0.*, ws FROM s0 LEFT JOIN held USING ({K}))
+        SELECT {K}, CASE WHEN ws IS NULL THEN t ELSE
+          {replace_where_sql('t', WORD_PATTERN, f"CASE WHEN list_contains(ws, {_FOLDED}) THEN {_STARRED} ELSE h END")} END AS text FROM texts""",
     "split_lines": f"WITH {base_ctes()}, {split_ctes('l', 's0')} SELECT {K}, no AS line_no, line FROM l",
     "prune_frames": f"WITH {base_ctes()}, {split_ctes('l', 's0')}, {prune_ctes('p', 'l')}, {join_ctes('j', 's0', 'p')} SELECT {K}, t AS text FROM j",
     "collapse_duplicates": f"WITH {base_ctes()}, {split_ctes('l', 's0')}, {collapse_ctes('p', 'l')}, {join_ctes('j', 's0', 'p')} SELECT {K}, t AS text FROM j",
-    "prune_rows": f"WITH {_LINES}, {prune_ctes('p', 'line_table', 'source')} SELECT source, no AS seq, n, line FROM p",
-    "collapse_rows": f"WITH {_LINES}, {collapse_ctes('p', 'line_table', 'source')} SELECT source, no AS seq, n, line FROM p",
+    "prune_rows": f"WITH {_LINES}, {prune_ctes('p', 'line_table', 'source')} {_LINE_ROWS}",
+    "collapse_rows": f"WITH {_LINES}, {collapse_ctes('p', 'line_table', 'source')} {_LINE_ROWS}",
     "token_estimate": mapped(f"({tokens_sql('t')})::BIGINT", name="tokens"),
     "token_words": mapped(WORDS, name="tokens"),
     "token_stats": f"WITH {STATS} SELECT {K}, raw_tokens, sanitized_tokens, saved_tokens, reduction_percent FROM stats",
     "stats_label": f"""WITH {STATS} SELECT {K}, concat('Stage 1 Rule | ', raw_tokens, ' → ', sanitized_tokens, ' tokens | -',
         CASE WHEN reduction_percent = floor(reduction_percent) THEN reduction_percent::BIGINT::VARCHAR
              ELSE reduction_percent::VARCHAR END, '%') AS label FROM stats""",
-    "diff_lines": f"WITH {DIFF} SELECT * FROM diff",
-    "diff_summary": f"""WITH {DIFF}, counted AS (SELECT {K}, count(*) AS n_lines,
-          count(*) FILTER (change_type = 'add') AS n_add, count(*) FILTER (change_type = 'delete') AS n_delete,
-          count(*) FILTER (change_type = 'equal') AS n_equal FROM diff GROUP BY {K})
-        SELECT c.corpus, c.id, coalesce(n_lines, 0) AS n_lines, coalesce(n_add, 0) AS n_add,
+    "diff_lines": f"WITH RECURSIVE {DIFF} SELECT * FROM diff",
+    "diff_terminated": f"""WITH RECURSIVE {sanitized_ctes()}, {diff_ctes(split=ends_ctes)}
+        SELECT * REPLACE (replace(content, {NL}, '') AS content) FROM diff""",
+    "diff_summary": f"""WITH RECURSIVE {DIFF}, counted AS ({COUNTED})
+        SELECT {K}, coalesce(n_lines, 0) AS n_lines, coalesce(n_add, 0) AS n_add,
                coalesce(n_delete, 0) AS n_delete, coalesce(n_equal, 0) AS n_equal
         FROM clean c LEFT JOIN counted USING ({K})""",
-    "diff_render": f"""WITH {DIFF}, joined AS (SELECT {K}, string_agg({RENDERED}, {NL} ORDER BY pos) AS unified FROM diff GROUP BY {K})
-        SELECT c.corpus, c.id, coalesce(unified, '') AS unified FROM clean c LEFT JOIN joined USING ({K})""",
+    "diff_render": f"""WITH RECURSIVE {DIFF}, joined AS (SELECT {K}, string_agg({RENDERED}, {NL} ORDER BY pos) AS unified FROM diff GROUP BY {K})
+        SELECT {K}, coalesce(unified, '') AS unified FROM clean c LEFT JOIN joined USING ({K})""",
     "apply_rewrites": f"WITH {REWRITTEN} SELECT doc_id, CASE WHEN is_distilled THEN rewrite WHEN {blank_sql('t')} THEN '' ELSE t END AS text, is_distilled FROM merged",
     "strip_fences": f"WITH {REPLIES}, {READ}, {FENCES} SELECT doc_id, t AS text FROM fenced",
     "reply_text": f"WITH {REPLIES}, {READ} SELECT doc_id, t AS text FROM read",
@@ -396,14 +498,11 @@ ORACLE: dict[str, str] = {
     "sanitize_full": f"WITH {sanitized_ctes()} SELECT {K}, t AS text, flagged_profanity FROM clean",
     "findings": f"WITH {sanitized_ctes()}, {found_ctes('clean', K)} SELECT {K}, rule, n FROM found",
     "redaction_report": f"""WITH {sanitized_ctes()}, {found_ctes('clean', K + ', source, lang')},
-        per_rule AS (SELECT coalesce(source, 'ALL') AS source, coalesce(lang, 'ALL') AS lang, rule,
-                            count(*) AS n_docs, sum(n)::BIGINT AS n_findings
-                     FROM found GROUP BY CUBE (source, lang), rule),
-        overall AS (SELECT coalesce(source, 'ALL') AS source, coalesce(lang, 'ALL') AS lang, 'ALL' AS rule,
-                           count(DISTINCT (corpus, id)) AS n_docs, sum(n)::BIGINT AS n_findings
-                    FROM found GROUP BY CUBE (source, lang))
-        SELECT * FROM per_rule UNION ALL SELECT * FROM overall""",
-    "token_report": f"""WITH {STATS} SELECT coalesce(source, 'ALL') AS source, count(*) AS n_docs, sum(raw_tokens)::BIGINT AS raw_tokens,
+        total AS (SELECT {K}, source, lang, 'ALL' AS rule, sum(n) AS n FROM found GROUP BY {K}, source, lang)
+        SELECT source, lang, rule, grouping(source) = 1 AS source_total, grouping(lang) = 1 AS lang_total,
+               count(*) AS n_docs, sum(n)::BIGINT AS n_findings
+        FROM (SELECT * FROM found UNION ALL BY NAME SELECT * FROM total) GROUP BY CUBE (source, lang), rule""",
+    "token_report": f"""WITH {STATS} SELECT source, grouping(source) = 1 AS source_total, count(*) AS n_docs, sum(raw_tokens)::BIGINT AS raw_tokens,
           sum(saved_tokens)::BIGINT AS saved_tokens,
           CASE WHEN sum(raw_tokens) > 0 THEN round(sum(saved_tokens)::DOUBLE / sum(raw_tokens)::DOUBLE * 100 * 10) / 10 ELSE 0.0 END AS reduction_percent,
           round(quantile_cont(reduction_percent, 0.5), 4) AS median_percent, round(quantile_cont(reduction_percent, 0.9), 4) AS p90_percent
@@ -411,16 +510,21 @@ ORACLE: dict[str, str] = {
     "publishable": f"""WITH {sanitized_ctes()}, g0 AS (SELECT {K}, t AS kept, t FROM clean),
         {steps_ctes((rules_sql('t', STAGE1_RULES), ENTROPY, *PII_STEPS), '', 'g')[0]}
         SELECT {K}, kept AS text FROM g{2 + len(PII_STEPS)} WHERE t = kept""",
+    "leak_gate": f"""WITH {base_ctes()}, g0 AS (SELECT {K}, text, t FROM s0),
+        {steps_ctes((rules_sql('t', STAGE1_RULES), ENTROPY, *PII_STEPS), '', 'g')[0]}
+        SELECT {K}, text FROM g{2 + len(PII_STEPS)} WHERE t = text""",
     "noisiest_docs": f"""WITH {steps_ctes(STAGE1_STEPS)[0]}, {split_ctes('l', 's3')}, {prune_ctes('p', 'l')}, {collapse_ctes('c', 'p')},
         before_n AS (SELECT {K}, count(*) AS b FROM l GROUP BY {K}), after_n AS (SELECT {K}, count(*) AS a FROM c GROUP BY {K}),
-        shares AS (SELECT s.corpus, s.id, coalesce(b, 0)::BIGINT AS lines_before, coalesce(a, 0)::BIGINT AS lines_after,
+        shares AS (SELECT {K}, coalesce(b, 0)::BIGINT AS lines_before, coalesce(a, 0)::BIGINT AS lines_after,
                           CASE WHEN coalesce(b, 0) > 0 THEN round((b - a) / b, 6) ELSE 0.0 END AS noise_share
                    FROM s3 s LEFT JOIN before_n USING ({K}) LEFT JOIN after_n USING ({K}))
-        SELECT * FROM shares ORDER BY noise_share DESC, corpus, id LIMIT 50""",
+        SELECT * FROM shares ORDER BY noise_share DESC, {K} LIMIT 50""",
     "sanitize_conversations": f"""WITH {sanitized_ctes('s0 AS (SELECT *, text AS t FROM conversations)', 'conv_id, turn')}
         SELECT conv_id, floor(turn / 256)::BIGINT AS segment, count(*) AS n_turns,
                string_agg(concat(role, ': ', t), {NL} ORDER BY turn, concat(role, ': ', t)) AS transcript
         FROM clean GROUP BY 1, 2""",
+    "conversation_turns": f"""WITH {sanitized_ctes('s0 AS (SELECT *, text AS t FROM conversations)', 'conv_id, turn')}
+        SELECT conv_id, turn, role, t AS text FROM clean""",
     "stream_collapse": """WITH g AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS fresh FROM events
              WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM g)

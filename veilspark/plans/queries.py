@@ -13,8 +13,8 @@ from veilspark.functions import diff as D
 from veilspark.functions.core import is_nonblank, shannon_entropy
 from veilspark.functions.lines import collapse_duplicates, prune_frames, split_lines
 from veilspark.functions.pii import redact_card, redact_email, redact_iban, redact_phone, redact_pii
-from veilspark.functions.profanity import WORD_PATTERN, censor_profanity, flag_profanity
-from veilspark.functions.rewrite import distill_eligible, prompt_request, reply_text, rewrite_accepted, strip_fences
+from veilspark.functions.profanity import WORD_PATTERN, censor_profanity, flag_profanity, profanity_hits
+from veilspark.functions.rewrite import chat_request, distill_eligible, prompt_request, reply_text, rewrite_accepted, strip_fences
 from veilspark.functions.rules import ALL_RULES
 from veilspark.functions.sanitize import sanitize_text_column
 from veilspark.functions.secrets import clean_stage1, redact_high_entropy
@@ -29,14 +29,14 @@ from veilspark.operators.sanitize import (
     safety_pass,
     sanitize_table,
 )
-from veilspark.operators.tables import flag_by_lexicon, latest_per_source, sanitize_conversations
+from veilspark.operators.tables import censor_by_lexicon, flag_by_lexicon, latest_per_source, sanitize_conversations, sanitize_turns
 from veilspark.plans.corpus import corpus, logs, logs_from, replies, table, texts
 from veilspark.sources.texts import load_texts, new_dir, nonblank, spread_tasks, write_texts
 from veilspark.streaming import jobs as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-KEYS = ["corpus", "id"]
+KEYS = ["corpus", "id", "part"]
 
 
 def _mapped(fn: Callable[[Column], Column], name: str = "text") -> Query:
@@ -115,19 +115,30 @@ def lexicon_flag(spark, sf):
     return flag_by_lexicon(corpus(spark, sf), KEYS, lexicon)
 
 
+def lexicon_censor(spark, sf):
+    words = F.explode(F.regexp_extract_all(F.col("text"), F.lit(WORD_PATTERN), F.lit(0))).alias("term")
+    return censor_by_lexicon(corpus(spark, sf), KEYS, table(spark, sf, "benchmark").select(words))
+
+
+LINE_ORDER = ["id", "part", "line_no"]
+
+
 def _line_table(spark, sf) -> DataFrame:
     """Lines of all texts, one per row, as a log table would hold them: one source per corpus part."""
-    return split_lines_query(spark, sf).select(
-        F.col("corpus").alias("source"), (F.col("id") * 10000000 + F.col("line_no")).alias("seq"), "line"
-    )
+    return split_lines_query(spark, sf).select(F.col("corpus").alias("source"), *LINE_ORDER, "line")
 
 
 def prune_rows_query(spark, sf):
-    return prune_rows(_line_table(spark, sf), ["source"], ["seq"], "line", F.floor(F.col("seq") / 2000000000))
+    return prune_rows(_line_table(spark, sf), ["source"], LINE_ORDER, "line", F.floor(F.col("id") / 200))
 
 
 def collapse_rows_query(spark, sf):
-    return collapse_rows(_line_table(spark, sf), ["source"], ["seq"], "line", F.floor(F.col("seq") / 2000000000))
+    return collapse_rows(_line_table(spark, sf), ["source"], LINE_ORDER, "line", F.floor(F.col("id") / 200))
+
+
+def profanity_hits_query(spark, sf):
+    hits = F.posexplode(profanity_hits(F.col("text"))).alias("pos", "h")
+    return corpus(spark, sf).select(*KEYS, hits).select(*KEYS, (F.col("pos") + 1).cast("long").alias("pos"), "h.*")
 
 
 def token_stats_query(spark, sf):
@@ -148,6 +159,14 @@ def diff_lines(spark, sf):
     )
 
 
+def diff_terminated(spark, sf):
+    """The diff of lines with their terminators."""
+    both = _sanitized(spark, sf).select(*KEYS, "text", "sanitized_text")
+    return D.with_diff(both, keep_ends=True).select(*KEYS, F.posexplode("diff_lines").alias("pos", "d")).select(
+        *KEYS, (F.col("pos") + 1).cast("long").alias("pos"), "d.*"
+    )
+
+
 def diff_search(spark, sf):
     return diff_lines(spark, sf).where(D.diff_matches(F.col("content"), "redacted"))
 
@@ -171,8 +190,24 @@ def _staged(spark, sf) -> DataFrame:
 
 def distill_guard(spark, sf):
     read = replies(spark, sf).select("doc_id", strip_fences(reply_text(F.col("reply"))).alias("cleaned"))
-    both = table(spark, sf, "documents").join(read, "doc_id")
-    return both.select("doc_id", rewrite_accepted(F.col("text"), F.col("cleaned")).alias("accepted"))
+    both = _staged(spark, sf).join(read, "doc_id")
+    return both.select("doc_id", rewrite_accepted(F.col("stage1_text"), F.col("cleaned")).alias("accepted"))
+
+
+def record_full(spark, sf):
+    """Stages, rewrites, safety pass, token stats and diff over all texts."""
+    answers = replies(spark, sf).select(
+        F.lit("documents").alias("corpus"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("part"), "reply"
+    )
+    done = process_table(corpus(spark, sf), KEYS, rewrites=answers)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("diff_lines", lambda d: d["change_type"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return done.select(
+        *KEYS, "raw_text", "stage1_text", "sanitized_text", "is_distilled", "flagged_profanity", "token_stats.*",
+        count("equal"), count("add"), count("delete"),
+    )
 
 
 def apply_rewrites_query(spark, sf):
@@ -193,12 +228,15 @@ def reply_text_query(spark, sf):
     return replies(spark, sf).select("doc_id", reply_text(F.col("reply")).alias("text"))
 
 
-def prompt_rows(spark, sf):
+def _eligible(spark, sf) -> DataFrame:
     """Requests hold cleaned text only."""
     cleaned = table(spark, sf, "documents").select("doc_id", sanitize_text_column("text").alias("text"))
-    eligible = cleaned.where(distill_eligible(F.col("text")))
+    return cleaned.where(distill_eligible(F.col("text")))
+
+
+def prompt_rows(spark, sf):
     request = prompt_request(F.col("text"), "any-model")
-    return eligible.select("doc_id", request.alias("request")).select(
+    return _eligible(spark, sf).select("doc_id", request.alias("request")).select(
         "doc_id",
         F.get_json_object("request", "$.prompt").alias("prompt"),
         F.get_json_object("request", "$.options.num_predict").cast("long").alias("num_predict"),
@@ -206,6 +244,19 @@ def prompt_rows(spark, sf):
     )
 
 
+def chat_rows(spark, sf):
+    request = chat_request(F.col("text"), "any-model")
+    return _eligible(spark, sf).select("doc_id", request.alias("request")).select(
+        "doc_id",
+        F.get_json_object("request", "$.messages[0].role").alias("first_role"),
+        F.get_json_object("request", "$.messages[0].content").alias("instruction"),
+        F.get_json_object("request", "$.messages[1].role").alias("second_role"),
+        F.get_json_object("request", "$.messages[1].content").alias("text"),
+        F.get_json_object("request", "$.max_tokens").cast("long").alias("max_tokens"),
+        F.get_json_object("request", "$.temperature").cast("double").alias("temperature"),
+    )
+
+
 def findings_query(spark, sf):
     return R.findings_table(_sanitized(spark, sf), KEYS)
 
@@ -222,6 +273,11 @@ def publishable(spark, sf):
     return R.publishable(_sanitized(spark, sf), raw="text").select(*KEYS, F.col("sanitized_text").alias("text"))
 
 
+def leak_gate(spark, sf):
+    """The gate before raw texts, which it must refuse where they hold a secret or personal data."""
+    return R.publishable(corpus(spark, sf), clean="text").select(*KEYS, "text")
+
+
 def noisiest_docs(spark, sf):
     return R.noisiest(corpus(spark, sf), KEYS, 50)
 
@@ -230,6 +286,10 @@ def conversations(spark, sf):
     return sanitize_conversations(texts(spark, sf, "conversations"), segment_turns=256)
 
 
+def conversation_turns(spark, sf):
+    return sanitize_turns(texts(spark, sf, "conversations"))
+
+
 def _events_stream(spark, sf) -> DataFrame:
     events = table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
@@ -277,6 +337,7 @@ def stream_latest(spark, sf):
 QUERIES: dict[str, Query] = {
     "scan_documents": scan_documents,
     "sanitize_pipeline": sanitize_pipeline,
+    "record_full": record_full,
     "sink_roundtrip": sink_roundtrip,
     "stream_sanitize": stream_sanitize,
     "latest_per_source": latest,
@@ -294,7 +355,9 @@ QUERIES: dict[str, Query] = {
     "entropy_scalar": _mapped(lambda t: F.round(shannon_entropy(t), 6), "entropy"),
     "profanity_flag": _mapped(flag_profanity, "flagged"),
     "profanity_censor": _mapped(censor_profanity),
+    "profanity_hits": profanity_hits_query,
     "lexicon_flag": lexicon_flag,
+    "lexicon_censor": lexicon_censor,
     "split_lines": split_lines_query,
     "prune_frames": _mapped(prune_frames),
     "collapse_duplicates": _mapped(collapse_duplicates),
@@ -305,12 +368,14 @@ QUERIES: dict[str, Query] = {
     "token_stats": token_stats_query,
     "stats_label": stats_label_query,
     "diff_lines": diff_lines,
+    "diff_terminated": diff_terminated,
     "diff_summary": diff_summary,
     "diff_render": diff_render,
     "apply_rewrites": apply_rewrites_query,
     "strip_fences": strip_fences_query,
     "reply_text": reply_text_query,
     "prompt_rows": prompt_rows,
+    "chat_rows": chat_rows,
     "safety_pass": safety_pass_query,
     "clean_stage1": _mapped(clean_stage1),
     "redact_pii": _mapped(redact_pii),
@@ -319,8 +384,10 @@ QUERIES: dict[str, Query] = {
     "redaction_report": redaction_report,
     "token_report": token_report,
     "publishable": publishable,
+    "leak_gate": leak_gate,
     "noisiest_docs": noisiest_docs,
     "sanitize_conversations": conversations,
+    "conversation_turns": conversation_turns,
     "stream_collapse": stream_collapse,
     "stream_marker_counts": stream_marker_counts,
     "stream_latest": stream_latest,

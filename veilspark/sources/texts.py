@@ -23,17 +23,19 @@ def load_texts(
 ) -> DataFrame:
     """Texts as (id, text, *keep) from parquet, ORC, JSON, CSV or plain text files.
 
-    For ``fmt='text'`` a row is a whole file (``wholetext``) unless the option says otherwise,
-    and the id defaults to the file's path.
+    For ``fmt='text'`` a row is a whole file and its id the file's path. Other formats need ``id``,
+    as an id made up while reading would be another one in every run.
     """
     if fmt == "text":
-        options.setdefault("wholetext", "true")
+        if keep or str(options.setdefault("wholetext", "true")).lower() != "true":
+            raise ValueError("a text file is one row of id and text")
         df = spark.read.format("text").options(**options).load(path)
         return df.select(F.input_file_name().alias("id"), F.col("value").alias("text"))
+    if id is None:
+        raise ValueError("name the column that identifies a text")
     reader = spark.read.format(fmt).options(**options)
     df = (reader.schema(schema) if schema else reader).load(path)
-    key = F.col(id) if id else F.expr("uuid()")
-    return df.select(key.alias("id"), F.col(text).alias("text"), *keep)
+    return df.select(F.col(id).alias("id"), F.col(text).alias("text"), *keep)
 
 
 SPREAD_BYTES = 64 << 20
