@@ -69,7 +69,7 @@ def test_entry(spark):
 
 SAMPLE = [
     "sanitize_full", "sanitize_pipeline", "diff_lines", "redaction_report", "token_report", "collapse_rows",
-    "sanitize_conversations", "noisiest_docs", "record_full", "diff_terminated", "leak_gate", "lexicon_censor", "profanity_hits", "result_json", "prompt_rows", "stream_collapse", "entropy_scalar",
+    "sanitize_conversations", "noisiest_docs", "record_full", "leak_gate", "result_json", "prompt_rows", "stream_collapse", "entropy_scalar",
 ]
 
 
