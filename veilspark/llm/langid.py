@@ -29,12 +29,27 @@ _LETTER = regex.compile(r"\p{L}")
 def dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
     """(lang, dictionary), the commonest language first, from rows (doc_id, text, lang) without nulls.
 
-    The texts are those with the smallest hash of their id and text: at most LEARN_ROWS of a language
-    leave a task, and DICTIONARY bytes of them reach the driver.
+    The texts are those with the smallest hash of their id and text, repeated rows once. Only hashes under
+    a bound that leaves about 4 * LEARN_ROWS rows of a language, however many it has, are ranked, and
+    DICTIONARY bytes of them reach the driver.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "text")
+    order = Window.partitionBy("lang").orderBy("hash", "text")
+    labelled = labelled.withColumn("hash", F.xxhash64("doc_id", "text"))
+    fits = F.octet_length("text").between(1, LEARN_BYTES)
+    counts = (
+        labelled.groupBy("lang")
+        .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(fits, F.col("hash"))).alias("fitting"))
+        .collect()
+    )
+    sizes = {r["lang"]: r["n"] for r in counts}
+    most = [(r["lang"], min(2**63 - 1, (4 * LEARN_ROWS << 64) // max(1, r["fitting"]) - 2**63)) for r in counts]
+    bounds = labelled.sparkSession.createDataFrame(most, "lang string, most bigint")
     sample = (
-        labelled.where(F.octet_length("text").between(1, LEARN_BYTES))
+        labelled.where(fits)
+        .join(F.broadcast(bounds), "lang")  # one row per language, as on the driver
+        .where("hash <= most")
+        .select("lang", "hash", "text")
+        .distinct()
         .withColumn("no", F.row_number().over(order))
         .where(F.col("no") <= LEARN_ROWS)
         .withColumn("upto", F.sum(F.octet_length("text") + 1).over(order))
@@ -43,7 +58,6 @@ def dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
     texts: dict[str, list[bytes]] = {}
     for row in sample.select("lang", "no", "text").orderBy("lang", "no").toLocalIterator():
         texts.setdefault(row["lang"], []).append(row["text"].lower().encode())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(((k, b"\n".join(v)) for k, v in texts.items()), key=lambda x: (-sizes[x[0]], x[0]))
 
 
