@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veilspark.llm.backoff_lm import backoff_scores
+from veilspark.llm.collocations import collocations
 from veilspark.llm.decontaminate import benchmark_leaks
 from veilspark.llm.exact_dedup import exact_groups
 from veilspark.llm.fim import fill_in_middle, restored
@@ -81,6 +82,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_language(table(spark, sf_dir, "documents"), held_out)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -104,6 +109,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op12_collocations": op12_collocations,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
@@ -196,6 +202,26 @@ ORACLE = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS c FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS keep_id, count(*) OVER (PARTITION BY c) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY c) AS kept, sha256(c) AS text_sha256 FROM t""",
+    "op12_collocations": r"""
+        WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, s, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM
+              (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(s))),
+        f AS (SELECT lang, s, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE s = 1 GROUP BY lang),
+        c AS (SELECT lang, s, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE s > 1 AND f >= 10),
+        m AS (SELECT lang, sub, max(a) AS b FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')])
+              AS sub FROM c WHERE s = 3) GROUP BY ALL),
+        k AS (SELECT c.*, unnest(range(1, s)) AS k FROM c LEFT JOIN m ON m.lang = c.lang AND m.sub = c.phrase
+              WHERE b IS NULL OR 100 * b < 50 * a),
+        x AS (SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+              FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k], ' ')
+              JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+        y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n, score FROM y JOIN n USING (lang) QUALIFY rank <= 2000""",
     "op13_fill_in_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h,
                           regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
