@@ -19,6 +19,7 @@ from veilspark.llm.quality import quality_weights
 from veilspark.llm.storage import new_path, written
 from veilspark.llm.substring_dedup import remove_repeats
 from veilspark.llm.token_rollup import Rollup, count_tokens, signed
+from veilspark.llm.toxicity import toxicity
 
 #: The vocabulary that op2 counts with.
 VOCABULARY = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -82,6 +83,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_language(table(spark, sf_dir, "documents"), held_out)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -109,6 +115,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op11_toxicity": op11_toxicity,
     "op12_collocations": op12_collocations,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
