@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from veilspark.llm.storage import written
 from veilspark.llm.words import filled, mix, pieces
 
-#: Bytes of text mined at once; a task holds some 25 times as much.
-SHARD_BYTES = 16 << 20
+#: Bytes of text mined at once; a task holds some 25 times as much beside its batches.
+SHARD_BYTES = 6 << 20
 #: The bitmap of candidates has 2 ** BITS bits (16 MB), however many candidates there are.
 BITS = 27
 
