@@ -1,35 +1,32 @@
 """Stage 3: flag and censor profanity.
 
-A word is profane if, folded, it is a stem of the lexicon with one of its endings; letters may be
-drawn out. A run of single letters between separators (``x.y.z w``) is profane if the letters
+A word is profane if its skeleton (``functions/skeleton.py``) is a stem of the lexicon with one of its
+endings; letters may be drawn out. A run of single letters between separators (``x.y.z w``) is profane if the letters
 spell a stem somewhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions.core import let, replace_where, when_guarded
-from veilspark.functions.reference_data import (
-    LOOKALIKES,
-    PROFANE_ENDINGS,
-    PROFANE_LEXICON,
-    PROFANE_STEMS,
-    profane_pattern,
-    profane_stem,
-)
-
-WORD_PATTERN = r"[\p{L}\p{N}@$]+"
+from veilspark.functions.reference_data import PROFANE_ENDINGS, PROFANE_LEXICON, PROFANE_STEMS, profane_pattern, profane_search
+from veilspark.functions.skeleton import SIGNS, WORD_PATTERN, skeleton
+
 #: Four or more single letters with one blank, dot, dash or underscore between each.
 SPACED_PATTERN = r"\b[A-Za-z](?:[ ._\-][A-Za-z]){3,}\b"
-# A look-alike next to a letter; starts with the rare character so that most positions fail at once.
-_MIXED_PATTERN = r"[013457@$](?:(?<=\p{L}[013457@$])|(?=\p{L}))"
+_SIGNS = "".join(pair[0] for pair in SIGNS.split())
+# A sign next to a letter (starts with the rare character, so that most positions fail at once), or a
+# character outside ASCII.
+_DISGUISE_PATTERN = rf"[{_SIGNS}](?:(?<=\p{{L}}[{_SIGNS}])|(?=\p{{L}}))|[^\x00-\x7F]"
 
 
 def fold_word(word: Column) -> Column:
-    """Lower case, with look-alike digits and signs turned into letters."""
-    return F.translate(F.lower(word), *LOOKALIKES)
+    """Lower case, without marks, and with look-alikes turned into letters; a plain word is only lowered."""
+    return F.when(word.rlike("^[A-Za-z]*+$"), F.lower(word)).otherwise(skeleton(word))
 
 
 def starred(word: Column) -> Column:
@@ -40,7 +37,7 @@ def starred(word: Column) -> Column:
 def _has_profane(text: Column, stem: str) -> Column:
     """A necessary condition for a profane word."""
     plain = F.lower(text).rlike(stem)
-    return plain | (text.rlike(_MIXED_PATTERN) & fold_word(text).rlike(stem))
+    return plain | (text.rlike(_DISGUISE_PATTERN) & skeleton(text).rlike(stem))
 
 
 def _spells(run: Column, stem: str) -> Column:
@@ -51,7 +48,7 @@ def censor_profanity(
     text: Column, stems: tuple[str, ...] = PROFANE_STEMS, endings: tuple[str, ...] = PROFANE_ENDINGS
 ) -> Column:
     """Keep the first character of each offending word or run of letters and star the rest."""
-    pattern, stem = profane_pattern(stems, endings), profane_stem(stems)
+    pattern, stem = profane_pattern(stems, endings), profane_search(stems)
 
     def star(word: Column) -> Column:
         return F.when(fold_word(word).rlike(pattern), starred(word)).otherwise(word)
@@ -68,7 +65,7 @@ def flag_profanity(
     text: Column, stems: tuple[str, ...] = PROFANE_STEMS, endings: tuple[str, ...] = PROFANE_ENDINGS
 ) -> Column:
     """True if ``censor_profanity`` has something to star."""
-    pattern, stem = profane_pattern(stems, endings), profane_stem(stems)
+    pattern, stem = profane_pattern(stems, endings), profane_search(stems)
 
     def hit(v: Column) -> Column:
         words = F.exists(F.regexp_extract_all(v, F.lit(WORD_PATTERN), F.lit(0)), lambda w: fold_word(w).rlike(pattern))
@@ -81,23 +78,35 @@ def flag_profanity(
 def profanity_hits(
     text: Column, lexicon: dict[str, tuple[str, int]] = PROFANE_LEXICON, endings: tuple[str, ...] = PROFANE_ENDINGS
 ) -> Column:
-    """Profane words in order, as structs of word, category and severity; a word that fits several
-    stems has the greatest severity (and the last category) of them. Null in, null out."""
+    """Profane words in order, then runs of single letters that spell a stem, as structs of word, category and
+    severity. A word that fits several stems has the greatest severity (and the last category) of them.
+    There are hits where ``flag_profanity`` is true. Null in, null out."""
     kinds: dict[tuple[int, str], list[str]] = {}
     for stem, (category, severity) in lexicon.items():
         kinds.setdefault((severity, category), []).append(stem)
+    kind_type = "struct<word:string,category:string,severity:int>"
 
-    def graded(word: Column) -> Column:
-        out = F.lit(None).cast("struct<word:string,category:string,severity:int>")
+    def graded(word: Column, fits: Callable[[tuple[str, ...]], Column]) -> Column:
+        out = F.lit(None).cast(kind_type)
         for severity, category in sorted(kinds):
             kind = F.struct(word.alias("word"), F.lit(category).alias("category"), F.lit(severity).alias("severity"))
-            out = F.when(fold_word(word).rlike(profane_pattern(tuple(kinds[severity, category]), endings)), kind).otherwise(out)
+            out = F.when(fits(tuple(kinds[severity, category])), kind).otherwise(out)
         return out
 
+    def word_kind(word: Column) -> Column:
+        return let(fold_word(word), lambda f: graded(word, lambda stems: f.rlike(profane_pattern(stems, endings))))
+
+    def run_kind(run: Column) -> Column:
+        return graded(run, lambda stems: _spells(run, profane_search(stems)))
+
+    def found(v: Column, pattern: str, kind: Callable[[Column], Column]) -> Column:
+        return F.filter(F.transform(F.regexp_extract_all(v, F.lit(pattern), F.lit(0)), kind), lambda h: h.isNotNull())
+
+    none = F.array().cast(f"array<{kind_type}>")
+    stem = profane_search(tuple(lexicon))
+
     def hits(v: Column) -> Column:
-        words = F.regexp_extract_all(v, F.lit(WORD_PATTERN), F.lit(0))
-        return F.filter(F.transform(words, graded), lambda h: h.isNotNull())
+        words = F.when(_has_profane(v, stem), found(v, WORD_PATTERN, word_kind)).otherwise(none)
+        return F.concat(words, F.when(v.rlike(SPACED_PATTERN), found(v, SPACED_PATTERN, run_kind)).otherwise(none))
 
-    none = F.array().cast("array<struct<word:string,category:string,severity:int>>")
-    stem = profane_stem(tuple(lexicon))
-    return let(text, lambda v: F.when(v.isNotNull(), F.when(_has_profane(v, stem), hits(v)).otherwise(none)))
+    return let(text, lambda v: F.when(v.isNotNull(), hits(v)))

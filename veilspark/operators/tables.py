@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.core import replace_where
-from veilspark.functions.profanity import WORD_PATTERN, starred, fold_word
+from veilspark.functions.profanity import fold_word, starred
+from veilspark.functions.skeleton import WORD_PATTERN
 from veilspark.functions.sanitize import sanitize_text_column
 
 

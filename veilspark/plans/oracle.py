@@ -9,9 +9,8 @@ from __future__ import annotations
 from veilspark.functions import pii as P
 from veilspark.functions import rewrite as RW
 from veilspark.functions.lines import FRAME_PATTERN, INTERNAL_FRAGMENTS, PRUNED_PREFIX, PRUNED_SUFFIX
-from veilspark.functions.profanity import SPACED_PATTERN, WORD_PATTERN
+from veilspark.functions.profanity import SPACED_PATTERN
 from veilspark.functions.reference_data import (
-    LOOKALIKES,
     PROFANE_LEXICON,
     card_pattern,
     iban_pattern,
@@ -30,6 +29,7 @@ from veilspark.functions.rules import (
     Rule,
     rule,
 )
+from veilspark.functions.skeleton import LOOKALIKES, WORD_PATTERN
 from veilspark.functions.tokens import TOKEN_PATTERN, WORD_FACTOR
 from veilspark.plans.corpus import CORPUS_SQL, LOGS_SQL, REPLY_BODY_SQL, REPLY_SQL
 
@@ -125,7 +125,14 @@ IBAN = redact_where_sql(
 _NUMBER = "concat(CASE WHEN starts_with(h, '+') THEN '+' ELSE '' END, regexp_replace(h, '[^0-9]', '', 'g'))"
 PHONE = redact_where_sql("t", P.PHONE_CANDIDATE, f"regexp_matches({_NUMBER}, {q(phone_pattern('FR'))})", P.PHONE_MARKER)
 SSN = rule_sql("t", rule("ssn"))
-_FOLDED = f"translate(lower(h), {q(LOOKALIKES[0])}, {q(LOOKALIKES[1])})"
+# Most words need no table, and most others only that part of it that covers Latin-1.
+_NEAR = [pair for pair in zip(*LOOKALIKES) if pair[0] <= "\xff"]
+_FOLDED = (
+    "CASE WHEN regexp_matches(h, '^[A-Za-z]*$') THEN lower(h) "
+    rf"WHEN regexp_matches(h, '^[\x{{21}}-\x{{7E}}\x{{C0}}-\x{{FF}}]*$') "
+    f"THEN translate(lower(h), {q(''.join(a for a, _ in _NEAR))}, {q(''.join(b for _, b in _NEAR))}) "
+    f"ELSE translate(lower(h), {q(LOOKALIKES[0])}, {q(LOOKALIKES[1])}) END"
+)
 _STARRED = "concat(substr(h, 1, 1), repeat('*', length(h) - 1))"
 PROFANE_WORDS = replace_where_sql(
     "t", WORD_PATTERN, f"CASE WHEN regexp_matches({_FOLDED}, {q(profane_pattern())}) THEN {_STARRED} ELSE h END"
@@ -139,14 +146,14 @@ PROFANE_RUNS = replace_where_sql(
 PROFANE_STEPS = (PROFANE_WORDS, PROFANE_RUNS)
 
 
-def lexicon_sql(field: int) -> str:
+def lexicon_sql(field: int, pattern=profane_pattern) -> str:
     """Category or severity of a folded word ``w``: that of the severest kind that fits."""
     kinds: dict = {}
     for stem, kind in PROFANE_LEXICON.items():
         kinds.setdefault(kind, []).append(stem)
     order = sorted(kinds, key=lambda kind: (-kind[1], [-ord(c) for c in kind[0]]))
     return "CASE " + " ".join(
-        f"WHEN regexp_matches(w, {q(profane_pattern(tuple(kinds[kind])))}) THEN {q(kind[0]) if field == 0 else kind[1]}"
+        f"WHEN regexp_matches(w, {q(pattern(tuple(kinds[kind])))}) THEN {q(kind[0]) if field == 0 else kind[1]}"
         for kind in order
     ) + " END"
 
@@ -461,7 +468,10 @@ ORACLE: dict[str, str] = {
     "profanity_hits": f"""WITH {base_ctes()},
         words AS (SELECT {K}, h AS word, {_FOLDED} AS w, no FROM (
             SELECT {K}, unnest(hs) AS h, generate_subscripts(hs, 1) AS no FROM (SELECT {K}, regexp_extract_all(t, {q(WORD_PATTERN)}) AS hs FROM s0))),
-        graded AS (SELECT {K}, no, word, {lexicon_sql(0)} AS category, {lexicon_sql(1)} AS severity FROM words)
+        runs AS (SELECT {K}, h AS word, lower(regexp_replace(h, '[ ._\\-]', '', 'g')) AS w, no FROM (
+            SELECT {K}, unnest(hs) AS h, generate_subscripts(hs, 1) + 1000000000 AS no FROM (SELECT {K}, regexp_extract_all(t, {q(SPACED_PATTERN)}) AS hs FROM s0))),
+        graded AS (SELECT {K}, no, word, {lexicon_sql(0)} AS category, {lexicon_sql(1)} AS severity FROM words UNION ALL
+                   SELECT {K}, no, word, {lexicon_sql(0, profane_stem)}, {lexicon_sql(1, profane_stem)} FROM runs)
         SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY no) AS pos, word, category, severity FROM graded WHERE category IS NOT NULL""",
     "lexicon_flag": f"""WITH {LEXICON}
         SELECT {K}, n IS NOT NULL AS flagged FROM corpus LEFT JOIN (SELECT {K}, count(*) AS n FROM hits GROUP BY {K}) USING ({K})""",

@@ -13,10 +13,11 @@ from veilspark.functions import diff as D
 from veilspark.functions.core import is_nonblank, shannon_entropy
 from veilspark.functions.lines import collapse_duplicates, prune_frames, split_lines
 from veilspark.functions.pii import redact_card, redact_email, redact_iban, redact_phone, redact_pii
-from veilspark.functions.profanity import WORD_PATTERN, censor_profanity, flag_profanity, profanity_hits
+from veilspark.functions.profanity import censor_profanity, flag_profanity, profanity_hits
 from veilspark.functions.rewrite import chat_request, distill_eligible, prompt_request, reply_text, rewrite_accepted, strip_fences
 from veilspark.functions.rules import ALL_RULES
 from veilspark.functions.sanitize import sanitize_text_column
+from veilspark.functions.skeleton import WORD_PATTERN
 from veilspark.functions.secrets import clean_stage1, redact_high_entropy
 from veilspark.functions.tokens import count_pretokens, count_words, stats_label, token_stats
 from veilspark.operators import report as R
