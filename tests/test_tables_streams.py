@@ -9,7 +9,7 @@ from veilspark.functions.sanitize import sanitize_text
 from veilspark.operators.report import publishable, redaction_report, token_report
 from veilspark.operators.runs import find_runs
 from veilspark.operators.sanitize import apply_rewrites
-from veilspark.operators.tables import censor_by_lexicon, flag_by_lexicon, latest_per_source, sanitize_conversations, sanitize_turns
+from veilspark.operators.tables import censor_by_lexicon, find_by_lexicon, flag_by_lexicon, latest_per_source, sanitize_conversations, sanitize_turns
 from veilspark.sources.texts import load_texts, new_dir, nonblank, write_texts
 from veilspark.streaming import jobs as S
 
@@ -139,6 +139,25 @@ def test_lexicon_censors_every_word_it_has(spark):
     assert got == {1: "So D*** bad, d***", None: "d*** it", 3: None, 4: ""}
 
 
+def test_terms_of_several_words(spark):
+    rows = [(1, "Old  SCUM, bag and scúm-bag"), (2, "bag scum"), (3, None), (4, "scum bag"), (5, "a b c a b"), (6, "")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    terms = [("scum bag", "insult", 2), ("Old", "age", 1), ("a b c", "abc", 3), ("b", "b", 1), ("!!", "none", 1), ("b c a b x y", "", 0)]
+    lexicon = spark.createDataFrame(terms, "term string, category string, severity int")
+    with pytest.raises(Exception, match="more than 3 words"):
+        find_by_lexicon(docs, ["id"], lexicon).collect()
+    lexicon = lexicon.where("severity > 0")
+    got = {(r.id, r.pos, r.n_words, r.term, r.category, r.severity) for r in find_by_lexicon(docs, ["id"], lexicon).collect()}
+    assert got == {
+        (1, 1, 1, "old", "age", 1), (1, 2, 2, "scum bag", "insult", 2), (1, 5, 2, "scum bag", "insult", 2),
+        (4, 1, 2, "scum bag", "insult", 2), (5, 1, 3, "a b c", "abc", 3), (5, 2, 1, "b", "b", 1), (5, 5, 1, "b", "b", 1),
+    }
+    flags = {r.id: r.flagged for r in flag_by_lexicon(docs, ["id"], lexicon, longest=3).collect()}
+    assert flags == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False}
+    clean = {r.id: r.text for r in censor_by_lexicon(docs, ["id"], lexicon, longest=3).collect()}
+    assert clean == {1: "O**  S***, b** and s***-b**", 2: "bag scum", 3: None, 4: "s*** b**", 5: "a b c a b", 6: ""}
+
+
 def test_turns_of_long_conversations_stay(spark):
     turns = [(c, i, "user", f"m{i} a@b.com") for c in (1, None) for i in (0, 100_000, 1 << 40)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")

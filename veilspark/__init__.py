@@ -17,7 +17,14 @@ from veilspark.functions.tokens import count_pretokens, count_words, stats_label
 from veilspark.operators.report import findings_table, noisiest, publishable, redaction_report, token_report
 from veilspark.operators.runs import collapse_rows, find_runs, prune_rows
 from veilspark.operators.sanitize import apply_rewrites, process_table, result_json, safety_pass, sanitize_table
-from veilspark.operators.tables import censor_by_lexicon, flag_by_lexicon, latest_per_source, sanitize_conversations, sanitize_turns
+from veilspark.operators.tables import (
+    censor_by_lexicon,
+    find_by_lexicon,
+    flag_by_lexicon,
+    latest_per_source,
+    sanitize_conversations,
+    sanitize_turns,
+)
 from veilspark.sources.texts import load_texts, nonblank, spread, write_texts
 from veilspark.streaming.jobs import (
     collapse_stream,
@@ -31,7 +38,7 @@ from veilspark.streaming.jobs import (
 __all__ = [
     "apply_rewrites", "apply_rule", "censor_by_lexicon", "censor_profanity", "chat_request", "clean_lines", "clean_stage1",
     "collapse_duplicates", "collapse_rows", "collapse_stream", "count_pretokens", "count_words", "diff_matches",
-    "distill_eligible", "find_runs", "findings", "findings_table", "flag_by_lexicon", "flag_profanity",
+    "distill_eligible", "find_by_lexicon", "find_runs", "findings", "findings_table", "flag_by_lexicon", "flag_profanity",
     "latest_per_source", "latest_stream", "load_texts", "marker_count_stream", "noisiest", "nonblank",
     "normalize_values", "process_table", "profanity_hits", "prompt_request", "prune_frames", "prune_rows", "publishable",
     "read_collapsed", "read_updates", "redact_card", "redact_email", "redact_high_entropy", "redact_iban",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.core import replace_where
+from veilspark.functions.core import let, replace_where
 from veilspark.functions.profanity import fold_word, starred
 from veilspark.functions.skeleton import WORD_PATTERN
 from veilspark.functions.sanitize import sanitize_text_column
@@ -71,36 +71,109 @@ def _same(keys: list[str]) -> Column:
     return same
 
 
-def _lexicon_hits(df: DataFrame, keys: list[str], lexicon: DataFrame, text: str, term: str) -> DataFrame:
-    """(_keys, _word): the folded words of each text that the lexicon has.
+def _folded_words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), fold_word)
 
-    Words are made unique per text before they move; a hot word then costs one row per text.
+
+def _phrases(words: Column, size: int) -> Column:
+    """All stretches of ``size`` words, each as one string, in order."""
+    if size == 1:
+        return words
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+
+def _terms(lexicon: DataFrame, term: str, longest: int, *kept: str) -> DataFrame:
+    """The lexicon by folded term; an entry of more words than are looked for is an error."""
+    words = _folded_words(F.col(term))
+    long = F.concat(F.lit(f"a term has more than {longest} words: "), F.col(term))
+    key = F.when(F.size(words) > longest, F.raise_error(long)).otherwise(F.array_join(words, " "))
+    return lexicon.select(key.alias("_term"), *kept).where("_term <> ''")
+
+
+def _lexicon_hits(df: DataFrame, keys: list[str], lexicon: DataFrame, text: str, term: str, longest: int) -> DataFrame:
+    """(_keys, _term): the folded terms of each text that the lexicon has.
+
+    Terms are made unique per text before they move; a hot word then costs one row per text.
     Spark broadcasts the lexicon if it is small and splits hot words if it is not.
     """
-    terms = lexicon.select(fold_word(F.col(term)).alias("_word")).distinct()
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), F.lit(0)), fold_word))
-    found = df.select(*keys, F.explode(words).alias("_word")).join(terms, "_word", "left_semi")
-    return found.select(*[F.col(k).alias(f"_{k}") for k in keys], "_word")
+    terms = _terms(lexicon, term, longest).distinct()
+    found = let(
+        _folded_words(F.col(text)),
+        lambda words: F.array_distinct(F.concat(*(_phrases(words, n) for n in range(1, longest + 1)))),
+    )
+    found = df.select(*keys, F.explode(found).alias("_term")).join(terms, "_term", "left_semi")
+    return found.select(*[F.col(k).alias(f"_{k}") for k in keys], "_term")
+
 
+def flag_by_lexicon(
+    df: DataFrame, keys: list[str], lexicon: DataFrame, text: str = "text", term: str = "term", longest: int = 1
+) -> DataFrame:
+    """(keys, flagged) against a lexicon table of any size, of terms of up to ``longest`` words.
 
-def flag_by_lexicon(df: DataFrame, keys: list[str], lexicon: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
-    """(keys, flagged) against a lexicon table of whole words of any size."""
-    hits = _lexicon_hits(df, keys, lexicon, text, term).drop("_word").distinct().withColumn("_hit", F.lit(True))
+    Words are compared by their skeleton; the words of a term follow each other, whatever stands between.
+    """
+    hits = _lexicon_hits(df, keys, lexicon, text, term, longest).drop("_term").distinct().withColumn("_hit", F.lit(True))
     return df.select(*keys).join(hits, _same(keys), "left").select(*keys, F.coalesce("_hit", F.lit(False)).alias("flagged"))
 
 
-def censor_by_lexicon(df: DataFrame, keys: list[str], lexicon: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
-    """(keys, text) with all words of a lexicon table starred but for their first character.
+def find_by_lexicon(
+    df: DataFrame, keys: list[str], lexicon: DataFrame, text: str = "text", term: str = "term", longest: int = 3
+) -> DataFrame:
+    """(keys, pos, n_words, term, other columns of the lexicon): one row for each place at which a term stands.
 
-    Only the words found in a text come back to it, so the size of the lexicon does not matter.
+    ``pos`` counts words from 1; ``term`` is the folded form. Overlapping terms are all found, and a term
+    that the lexicon has several times gives a row for each.
+    """
+    kept = [c for c in lexicon.columns if c != term]
+
+    def at(size: int) -> Column:
+        def place(term: Column, i: Column) -> Column:
+            return F.struct((i + 1).cast("long").alias("pos"), F.lit(size).alias("n_words"), term.alias("_term"))
+
+        return F.transform(_phrases(F.col("_words"), size), place)
+
+    places = F.concat(*(at(n) for n in range(1, longest + 1)))
+    words = df.select(*keys, F.explode(F.array(_folded_words(F.col(text)))).alias("_words"))
+    places = words.select(*keys, F.explode(places).alias("p")).select(*keys, "p.*")
+    terms = _terms(lexicon, term, longest, *kept)
+    return places.join(terms, "_term").select(*keys, "pos", "n_words", F.col("_term").alias("term"), *kept)
+
+
+def censor_by_lexicon(
+    df: DataFrame, keys: list[str], lexicon: DataFrame, text: str = "text", term: str = "term", longest: int = 1
+) -> DataFrame:
+    """(keys, text) with all words of the terms of a lexicon table starred but for their first character.
+
+    Only the terms found in a text come back to it, so the size of the lexicon does not matter.
     Rows that share all keys share their hits.
     """
-    hits = _lexicon_hits(df, keys, lexicon, text, term)
-    hits = hits.groupBy(*[f"_{k}" for k in keys]).agg(F.collect_set("_word").alias("_words"))
+    hits = _lexicon_hits(df, keys, lexicon, text, term, longest)
+    hits = hits.groupBy(*[f"_{k}" for k in keys]).agg(F.collect_set("_term").alias("_found"))
     both = df.select(*keys, text).join(hits, _same(keys), "left")
 
-    def star(word: Column) -> Column:
-        return F.when(F.array_contains("_words", fold_word(word)), starred(word)).otherwise(word)
+    def starred_at(covered: Column) -> Column:
+        gaps = F.split(F.col(text), WORD_PATTERN, -1)
+        words = F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), F.lit(0))
+        shown = F.transform(words, lambda w, i: F.when(F.array_contains(covered, i), starred(w)).otherwise(w))
+        return F.array_join(F.flatten(F.zip_with(gaps, shown, lambda g, w: F.array(g, w))), "")
+
+    def covered(words: Column) -> Column:
+        """Positions, from 0, of the words that lie in a found term."""
+
+        def spans(size: int) -> Column:
+            def span(term: Column, i: Column) -> Column:
+                none = F.array().cast("array<int>")
+                return F.when(F.array_contains("_found", term), F.sequence(i, i + (size - 1))).otherwise(none)
+
+            return F.flatten(F.transform(_phrases(words, size), span))
+
+        return F.concat(*(spans(n) for n in range(1, longest + 1)))
 
-    censored = F.when(F.col("_words").isNotNull(), replace_where(F.col(text), WORD_PATTERN, star)).otherwise(F.col(text))
-    return both.select(*keys, censored.alias(text))
+    if longest == 1:  # a word tells by itself, without its position
+        censored = replace_where(
+            F.col(text), WORD_PATTERN, lambda w: F.when(F.array_contains("_found", fold_word(w)), starred(w)).otherwise(w)
+        )
+    else:
+        censored = let(let(_folded_words(F.col(text)), covered), starred_at)
+    return both.select(*keys, F.when(F.col("_found").isNotNull(), censored).otherwise(F.col(text)).alias(text))

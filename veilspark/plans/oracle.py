@@ -479,6 +479,18 @@ ORACLE: dict[str, str] = {
         texts AS (SELECT s0.*, ws FROM s0 LEFT JOIN held USING ({K}))
         SELECT {K}, CASE WHEN ws IS NULL THEN t ELSE
           {replace_where_sql('t', WORD_PATTERN, f"CASE WHEN list_contains(ws, {_FOLDED}) THEN {_STARRED} ELSE h END")} END AS text FROM texts""",
+    "lexicon_phrases": f"""WITH {base_ctes()},
+        item_words AS (SELECT item_id, {_FOLDED} AS w, no FROM (SELECT item_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS no
+            FROM (SELECT item_id, regexp_extract_all(text, {q(WORD_PATTERN)}) AS hs FROM benchmark))),
+        pairs AS (SELECT item_id, concat(w, ' ', lead(w) OVER i) AS term, lead(w) OVER i AS more FROM item_words
+            WINDOW i AS (PARTITION BY item_id ORDER BY no)),
+        terms AS (SELECT term, count(DISTINCT item_id) AS n FROM pairs WHERE more IS NOT NULL GROUP BY term),
+        words AS (SELECT {K}, {_FOLDED} AS w, no FROM (SELECT {K}, unnest(hs) AS h, generate_subscripts(hs, 1) AS no
+            FROM (SELECT {K}, regexp_extract_all(t, {q(WORD_PATTERN)}) AS hs FROM s0))),
+        found AS (SELECT {K}, no, concat(w, ' ', lead(w) OVER i) AS term, lead(w) OVER i AS more FROM words
+            WINDOW i AS (PARTITION BY {K} ORDER BY no))
+        SELECT {K}, no::BIGINT AS pos, 2 AS n_words, term, CASE WHEN n > 1 THEN 'shared' ELSE 'single' END AS category,
+               least(n, 3)::INT AS severity FROM found JOIN terms USING (term) WHERE more IS NOT NULL""",
     "split_lines": f"WITH {base_ctes()}, {split_ctes('l', 's0')} SELECT {K}, no AS line_no, line FROM l",
     "prune_frames": f"WITH {base_ctes()}, {split_ctes('l', 's0')}, {prune_ctes('p', 'l')}, {join_ctes('j', 's0', 'p')} SELECT {K}, t AS text FROM j",
     "collapse_duplicates": f"WITH {base_ctes()}, {split_ctes('l', 's0')}, {collapse_ctes('p', 'l')}, {join_ctes('j', 's0', 'p')} SELECT {K}, t AS text FROM j",

@@ -13,7 +13,7 @@ from veilspark.functions import diff as D
 from veilspark.functions.core import is_nonblank, shannon_entropy
 from veilspark.functions.lines import collapse_duplicates, prune_frames, split_lines
 from veilspark.functions.pii import redact_card, redact_email, redact_iban, redact_phone, redact_pii
-from veilspark.functions.profanity import censor_profanity, flag_profanity, profanity_hits
+from veilspark.functions.profanity import censor_profanity, flag_profanity, fold_word, profanity_hits
 from veilspark.functions.rewrite import chat_request, distill_eligible, prompt_request, reply_text, rewrite_accepted, strip_fences
 from veilspark.functions.rules import ALL_RULES
 from veilspark.functions.sanitize import sanitize_text_column
@@ -30,7 +30,14 @@ from veilspark.operators.sanitize import (
     safety_pass,
     sanitize_table,
 )
-from veilspark.operators.tables import censor_by_lexicon, flag_by_lexicon, latest_per_source, sanitize_conversations, sanitize_turns
+from veilspark.operators.tables import (
+    censor_by_lexicon,
+    find_by_lexicon,
+    flag_by_lexicon,
+    latest_per_source,
+    sanitize_conversations,
+    sanitize_turns,
+)
 from veilspark.plans.corpus import corpus, logs, logs_from, replies, table, texts
 from veilspark.sources.texts import load_texts, new_dir, nonblank, spread_tasks, write_texts
 from veilspark.streaming import jobs as S
@@ -121,6 +128,20 @@ def lexicon_censor(spark, sf):
     return censor_by_lexicon(corpus(spark, sf), KEYS, table(spark, sf, "benchmark").select(words))
 
 
+def lexicon_phrases(spark, sf):
+    """Where texts hold a two-word term: here all pairs of neighbours of the benchmark texts, graded by how
+    many items have them."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD_PATTERN), F.lit(0))
+    pairs = F.transform(F.slice(words, 2, F.size(words)), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
+    items = table(spark, sf, "benchmark").select(F.explode(F.array_distinct(F.transform(pairs, fold_word))).alias("term"))
+    lexicon = items.groupBy("term").agg(F.count(F.lit(1)).alias("n")).select(
+        "term",
+        F.when(F.col("n") > 1, "shared").otherwise("single").alias("category"),
+        F.least("n", F.lit(3)).cast("int").alias("severity"),
+    )
+    return find_by_lexicon(corpus(spark, sf), KEYS, lexicon, longest=2)
+
+
 LINE_ORDER = ["id", "part", "line_no"]
 
 
@@ -359,6 +380,7 @@ QUERIES: dict[str, Query] = {
     "profanity_hits": profanity_hits_query,
     "lexicon_flag": lexicon_flag,
     "lexicon_censor": lexicon_censor,
+    "lexicon_phrases": lexicon_phrases,
     "split_lines": split_lines_query,
     "prune_frames": _mapped(prune_frames),
     "collapse_duplicates": _mapped(collapse_duplicates),
