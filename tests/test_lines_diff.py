@@ -81,6 +81,41 @@ def test_runs_over_rows_do_not_depend_on_slices(spark):
         assert runs.agg(F.sum("n")).first()[0] == len(rows)
 
 
+def test_runs_over_a_tree_of_slices(spark):
+    """One source of 10,000 slices, some of whose runs span many slices and levels; no window over the source."""
+    rng = random.Random(6)
+    lines, at = [], 0
+    while at < 40_000:
+        n = rng.choice([1, 1, 1, 2, 3, 40, 2500])
+        lines += [rng.choice(["a", "b", FRAME, None])] * n
+        at += n
+    df = spark.createDataFrame(list(enumerate(lines)), "seq long, line string").withColumn("source", F.lit("hot"))
+    df = df.repartition(8)
+    fine, middle, coarse = (F.floor(F.col("seq") / k) for k in (4, 200, 10_000))
+    want = [(len(list(run)), line) for line, run in groupby(lines)]
+    for cut in ([fine, middle, coarse], [fine], [fine, middle], F.lit(1)):
+        runs = find_runs(df, ["source"], ["seq"], "line", cut).orderBy("first").collect()
+        assert [(r.n, r.line) for r in runs] == want
+        assert [r.is_last for r in runs] == [False] * (len(want) - 1) + [True]
+        assert all(r.last.seq - r.first.seq + 1 == r.n for r in runs)
+        frames = prune_rows(df, ["source"], ["seq"], "line", cut).orderBy("seq").collect()
+        assert [r.line for r in frames] == pruned([x or "" for x in lines]) or [r.line or "" for r in frames] == pruned([x or "" for x in lines])
+    weights = [rng.randrange(1, 9) for _ in range(500)]
+    rows = [(i, "x" if i % 7 else "y", w) for i, w in enumerate(weights)]
+    heavy = spark.createDataFrame(rows, "seq long, line string, w int").withColumn("source", F.lit(None).cast("string"))
+    runs = find_runs(heavy, ["source"], ["seq"], "line", [F.floor(F.col("seq") / 3), F.floor(F.col("seq") / 30)], weight="w").orderBy("first")
+    assert [r.n for r in runs.collect()] == [sum(r[2] for r in run) for _, run in groupby(rows, key=lambda r: r[1])]
+
+
+def test_a_gap_ends_a_run(spark):
+    seconds = [0, 10, 20, 80, 81, 200, 260, 261]
+    df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(seconds)], "seq long, s long, line string")
+    df = df.withColumn("ts", F.timestamp_seconds("s")).withColumn("source", F.lit(1))
+    for cut in (F.lit(0), F.col("seq"), [F.col("seq"), F.floor(F.col("seq") / 3)]):
+        got = collapse_rows(df, ["source"], ["seq"], "line", cut, time="ts", gap="1 minute").orderBy("seq").collect()
+        assert [(r.seq, r.n) for r in got] == [(0, 5), (5, 3)]
+
+
 def lcs_length(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

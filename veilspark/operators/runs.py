@@ -1,12 +1,15 @@
 """Runs over tables that hold one line per row, where one source may own most of the rows.
 
-A run is a maximal stretch of neighbouring rows that belong together.  Rows are cut into
-slices along their order, so a source of any size is spread over many groups.  Runs are
-found per slice, and only the first and last run of each slice meet again to be stitched.
+A run is a maximal stretch of neighbouring rows that belong together. Rows are cut into slices along
+their order, so a source of any size is spread over many groups. Each slice finds its own runs. Only
+its first and last run can go on in a neighbour, so these alone go up a tree of coarser slices, where
+neighbours are merged in the same way: merging is associative, and no step sees a whole source.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,88 +17,109 @@ from pyspark.sql import functions as F
 from veilspark.functions.lines import PRUNED_PREFIX, PRUNED_SUFFIX, is_framework_frame
 
 
+def _merged(rows: DataFrame, by: list[str], equal_lines: bool, gap: Column | None) -> DataFrame:
+    """Neighbouring rows of each group merged to runs, which are rows of the same form.
+
+    ``first`` and ``last`` order the rows; a row that is not ``head`` never joins the one before it, as
+    rows between the two were left out. A run is ``head`` if it may go on before the group, ``tail`` if
+    it may after it. One shuffle and one sort: all windows are the same.
+    """
+    along = W.partitionBy(*by).orderBy("first")
+    goes_on = F.col("head") & F.col("joinable") & F.lag("joinable").over(along)
+    if equal_lines:
+        # The row before always exists here: without one, the lag of joinable is null.
+        goes_on = goes_on & F.col("line").eqNullSafe(F.lag("line").over(along))
+    if gap is not None:
+        goes_on = goes_on & (F.col("_at") - F.lag("_until").over(along) <= gap)
+    marked = rows.withColumn("_on", F.coalesce(goes_on, F.lit(False))).select(
+        "*",
+        (~F.coalesce(F.lead("_on").over(along), F.lit(False))).alias("_end"),
+        F.sum("n").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_upto"),
+    )
+    # Only the two ends of a run stay; the first learns from the row after it where the run ends.
+    here = F.struct("last", "_until", "_upto")
+    ends = marked.where(~F.col("_on") | F.col("_end"))
+    ends = ends.withColumn("_stop", F.when(F.col("_end"), here).otherwise(F.lead(here).over(along)))
+    runs = ends.where(~F.col("_on")).select(
+        "*",
+        F.lag("n").over(along).isNull().alias("_front"),
+        F.lead("n").over(along).isNull().alias("tail"),
+    )
+    kept = [c for c in rows.columns if c not in ("n", "last", "_until", "head", "tail")]
+    return runs.select(
+        *kept,
+        (F.col("_stop._upto") - F.col("_upto") + F.col("n")).alias("n"),
+        F.col("_stop.last").alias("last"),
+        F.col("_stop._until").alias("_until"),
+        (F.col("head") & F.col("_front")).alias("head"),
+        "tail",
+    )
+
+
 def find_runs(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     line: str,
-    slice_by: Column,
+    slice_by: Column | Sequence[Column],
     joinable: Column | None = None,
     equal_lines: bool = True,
     weight: str | None = None,
+    time: str | None = None,
+    gap: str | None = None,
 ) -> DataFrame:
     """Runs as (keys, line, n, first, last, joinable, is_last).
 
-    ``order`` must be unique within a key; ``slice_by`` must not decrease along it and should
-    cut a key into pieces that fit one task.  Neighbours form one run if both are
-    ``joinable`` and, unless ``equal_lines`` is off, hold the same line.  ``weight`` names a
-    column with the number of rows that an input row stands for.
+    ``order`` must be unique within a key. ``slice_by`` must not decrease along it and should cut a key
+    into pieces that fit one task; several columns go from fine to coarse, each slice within one of the
+    next, and the coarsest should leave a few thousand slices of a key at most. Neighbours form one run
+    if both are ``joinable`` and, unless ``equal_lines`` is off, hold the same line; with ``gap`` (an
+    interval such as ``1 hour``) also if no more time than that lies between them by the timestamp
+    ``time``. ``weight`` names a column with the number of rows that an input row stands for.
 
-    Both branches of the final union read the same columns, so they share one shuffle.
+    Rows are shuffled once, and the first and last run of each slice once for each further level.
     """
+    slices = [slice_by] if isinstance(slice_by, Column) else list(slice_by)
+    names = [f"_slice{i}" for i in range(len(slices))]
+    moment = F.unix_micros(F.col(time)) if gap is not None else F.lit(None).cast("long")
+    limit = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {gap}")) if gap is not None else None
     rows = df.select(
         *keys,
-        F.struct(*order).alias("at"),
+        *(c.alias(n) for c, n in zip(slices, names, strict=True)),
+        F.struct(*order).alias("first"),
+        F.struct(*order).alias("last"),
+        moment.alias("_at"),
+        moment.alias("_until"),
         F.col(line).alias("line"),
         (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("n"),
-        (F.lit(True) if joinable is None else joinable).alias("joinable"),
-        slice_by.alias("_slice"),
-    )
-
-    def starts(window) -> Column:
-        joins = F.col("joinable") & F.lag("joinable").over(window)
-        if equal_lines:
-            # The row before always exists here: without one, the lag of joinable is null.
-            joins = joins & F.col("line").eqNullSafe(F.lag("line").over(window))
-        return ~F.coalesce(joins, F.lit(False))
-
-    in_slice = W.partitionBy(*keys, "_slice").orderBy("at")
-    numbered = rows.withColumn("_start", starts(in_slice).cast("long")).withColumn(
-        "_run", F.sum("_start").over(in_slice.rowsBetween(W.unboundedPreceding, W.currentRow))
-    )
-    partial = (
-        numbered.groupBy(*keys, "_slice", "_run")
-        .agg(
-            F.sum("n").alias("n"),
-            F.min("at").alias("first"),
-            F.max("at").alias("last"),
-            F.min_by("line", "at").alias("line"),
-            F.first("joinable").alias("joinable"),
-        )
-        .withColumn("_runs", F.max("_run").over(W.partitionBy(*keys, "_slice")))
-    )
-    inner = partial.where((F.col("_run") > 1) & (F.col("_run") < F.col("_runs")))
-    edges = partial.where((F.col("_run") == 1) | (F.col("_run") == F.col("_runs")))
-    by_key = W.partitionBy(*keys).orderBy("first")
-    stitched = (
-        edges.withColumn("_new", (starts(by_key) | (F.col("_run") > 1)).cast("long"))
-        .withColumn("_run", F.sum("_new").over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .groupBy(*keys, "_run")
-        .agg(
-            F.sum("n").alias("n"),
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-            F.min_by("line", "first").alias("line"),
-            F.first("joinable").alias("joinable"),
-        )
-        .withColumn("is_last", F.col("_run") == F.max("_run").over(W.partitionBy(*keys)))
+        (F.lit(True) if joinable is None else F.coalesce(joinable, F.lit(False))).alias("joinable"),
+        F.lit(True).alias("head"),
     )
     columns = [*keys, "line", "n", "first", "last", "joinable"]
-    return inner.select(*columns, F.lit(False).alias("is_last")).unionByName(
-        stitched.select(*columns, "is_last")
-    )
+    done = []
+    for name in names:
+        runs = _merged(rows, [*keys, name], equal_lines, limit).drop(name)
+        done.append(runs.where(~F.col("head") & ~F.col("tail")).select(*columns, F.lit(False).alias("is_last")))
+        rows = runs.where(F.col("head") | F.col("tail")).drop("tail")
+    out = _merged(rows, keys, equal_lines, limit).select(*columns, F.col("tail").alias("is_last"))
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
-def collapse_rows(df: DataFrame, keys: list[str], order: list[str], line: str, slice_by: Column) -> DataFrame:
+def collapse_rows(
+    df: DataFrame, keys: list[str], order: list[str], line: str, slice_by: Column | Sequence[Column],
+    time: str | None = None, gap: str | None = None,
+) -> DataFrame:
     """Repeats that follow each other within a key, as one row ``line (Repeated kx)``."""
-    runs = find_runs(df, keys, order, line, slice_by)
+    runs = find_runs(df, keys, order, line, slice_by, time=time, gap=gap)
     shown = F.when(
         F.col("n") > 1, F.concat(F.col("line"), F.lit(" (Repeated "), F.col("n").cast("string"), F.lit("x)"))
     ).otherwise(F.col("line"))
     return runs.select(*keys, F.col("first.*"), "n", shown.alias(line))
 
 
-def prune_rows(df: DataFrame, keys: list[str], order: list[str], line: str, slice_by: Column) -> DataFrame:
+def prune_rows(df: DataFrame, keys: list[str], order: list[str], line: str, slice_by: Column | Sequence[Column]) -> DataFrame:
     """Framework frames that follow each other within a key, as one summary row."""
     frame = is_framework_frame(F.col(line))
     runs = find_runs(df, keys, order, line, slice_by, joinable=frame, equal_lines=False)

@@ -145,17 +145,22 @@ def lexicon_phrases(spark, sf):
 LINE_ORDER = ["id", "part", "line_no"]
 
 
+def _line_slices() -> list[Column]:
+    """From fine to coarse: some thousand lines to a slice, and 100 slices to each of the next."""
+    return [F.floor(F.col("id") / size) for size in (200, 20_000, 2_000_000)]
+
+
 def _line_table(spark, sf) -> DataFrame:
     """Lines of all texts, one per row, as a log table would hold them: one source per corpus part."""
     return split_lines_query(spark, sf).select(F.col("corpus").alias("source"), *LINE_ORDER, "line")
 
 
 def prune_rows_query(spark, sf):
-    return prune_rows(_line_table(spark, sf), ["source"], LINE_ORDER, "line", F.floor(F.col("id") / 200))
+    return prune_rows(_line_table(spark, sf), ["source"], LINE_ORDER, "line", _line_slices())
 
 
 def collapse_rows_query(spark, sf):
-    return collapse_rows(_line_table(spark, sf), ["source"], LINE_ORDER, "line", F.floor(F.col("id") / 200))
+    return collapse_rows(_line_table(spark, sf), ["source"], LINE_ORDER, "line", _line_slices())
 
 
 def profanity_hits_query(spark, sf):
