@@ -8,7 +8,7 @@ neighbours are merged in the same way: merging is associative, and no step sees
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,34 +25,41 @@ def _merged(rows: DataFrame, by: list[str], equal_lines: bool, gap: Column | Non
     it may after it. One shuffle and one sort: all windows are the same.
     """
     along = W.partitionBy(*by).orderBy("first")
-    goes_on = F.col("head") & F.col("joinable") & F.lag("joinable").over(along)
-    if equal_lines:
-        # The row before always exists here: without one, the lag of joinable is null.
-        goes_on = goes_on & F.col("line").eqNullSafe(F.lag("line").over(along))
-    if gap is not None:
-        goes_on = goes_on & (F.col("_at") - F.lag("_until").over(along) <= gap)
-    marked = rows.withColumn("_on", F.coalesce(goes_on, F.lit(False))).select(
+
+    def joined(before: Callable[[str], Column], after: Callable[[str], Column]) -> Column:
+        """Whether two neighbours are of one run; beyond the ends of the group ``joinable`` is null."""
+        same = after("head") & after("joinable") & before("joinable")
+        if equal_lines:
+            same = same & after("line").eqNullSafe(before("line"))
+        if gap is not None:
+            same = same & (after("_at") - before("_until") <= gap)
+        return F.coalesce(same, F.lit(False))
+
+    def behind(name: str) -> Column:
+        return F.lag(name).over(along)
+
+    def ahead(name: str) -> Column:
+        return F.lead(name).over(along)
+
+    marked = rows.select(
         "*",
-        (~F.coalesce(F.lead("_on").over(along), F.lit(False))).alias("_end"),
+        joined(behind, F.col).alias("_on"),
+        (~joined(F.col, ahead)).alias("_end"),
+        behind("n").isNull().alias("_front"),
+        ahead("n").isNull().alias("_back"),
         F.sum("n").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_upto"),
     )
     # Only the two ends of a run stay; the first learns from the row after it where the run ends.
-    here = F.struct("last", "_until", "_upto")
-    ends = marked.where(~F.col("_on") | F.col("_end"))
-    ends = ends.withColumn("_stop", F.when(F.col("_end"), here).otherwise(F.lead(here).over(along)))
-    runs = ends.where(~F.col("_on")).select(
-        "*",
-        F.lag("n").over(along).isNull().alias("_front"),
-        F.lead("n").over(along).isNull().alias("tail"),
-    )
-    kept = [c for c in rows.columns if c not in ("n", "last", "_until", "head", "tail")]
-    return runs.select(
+    ends = marked.where(~F.col("_on") | F.col("_end")).withColumn("_here", F.struct("last", "_until", "_upto", "_back"))
+    ends = ends.withColumn("_stop", F.when(F.col("_end"), F.col("_here")).otherwise(ahead("_here")))
+    kept = [c for c in rows.columns if c not in ("n", "last", "_until", "head")]
+    return ends.where(~F.col("_on")).select(
         *kept,
         (F.col("_stop._upto") - F.col("_upto") + F.col("n")).alias("n"),
         F.col("_stop.last").alias("last"),
         F.col("_stop._until").alias("_until"),
         (F.col("head") & F.col("_front")).alias("head"),
-        "tail",
+        F.col("_stop._back").alias("tail"),
     )
 
 
@@ -83,10 +90,12 @@ def find_runs(
     names = [f"_slice{i}" for i in range(len(slices))]
     moment = F.unix_micros(F.col(time)) if gap is not None else F.lit(None).cast("long")
     limit = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {gap}")) if gap is not None else None
+    # The coarser slices travel in the ordering column: unused columns would be pruned from one branch of
+    # the union below and not from the other, which could then not share one shuffle.
     rows = df.select(
         *keys,
-        *(c.alias(n) for c, n in zip(slices, names, strict=True)),
-        F.struct(*order).alias("first"),
+        slices[0].alias(names[0]),
+        F.struct(*order, *(c.alias(n) for c, n in zip(slices[1:], names[1:], strict=True))).alias("first"),
         F.struct(*order).alias("last"),
         moment.alias("_at"),
         moment.alias("_until"),
@@ -95,9 +104,12 @@ def find_runs(
         (F.lit(True) if joinable is None else F.coalesce(joinable, F.lit(False))).alias("joinable"),
         F.lit(True).alias("head"),
     )
-    columns = [*keys, "line", "n", "first", "last", "joinable"]
+    begin = F.struct(*(F.col("first")[o].alias(o) for o in order)).alias("first")
+    columns = [*keys, "line", "n", begin, "last", "joinable"]
     done = []
-    for name in names:
+    for i, name in enumerate(names):
+        if i:
+            rows = rows.withColumn(name, F.col("first")[name])
         runs = _merged(rows, [*keys, name], equal_lines, limit).drop(name)
         done.append(runs.where(~F.col("head") & ~F.col("tail")).select(*columns, F.lit(False).alias("is_last")))
         rows = runs.where(F.col("head") | F.col("tail")).drop("tail")

@@ -146,8 +146,8 @@ LINE_ORDER = ["id", "part", "line_no"]
 
 
 def _line_slices() -> list[Column]:
-    """From fine to coarse: some thousand lines to a slice, and 100 slices to each of the next."""
-    return [F.floor(F.col("id") / size) for size in (200, 20_000, 2_000_000)]
+    """From fine to coarse: some thousand lines to a slice, and 100 slices to one of the next."""
+    return [F.floor(F.col("id") / size) for size in (200, 20_000)]
 
 
 def _line_table(spark, sf) -> DataFrame:
