@@ -45,11 +45,17 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: The classifier and the registers have no SQL form; tests hold each stage against a plain version.
+#: The classifier and the registers have no SQL form; a test holds ``run`` against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, from ``documents``, ``labels`` and ``benchmark`` in ``sf_dir``.
+
+    Each stage's rows are written to the shared folder and read again as the next one's documents. What a stage
+    does with nulls, empty texts, ties, repeated rows and empty tables stands with its operator; tables without
+    rows give a result without rows. Ids are integers.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), "stage")

@@ -91,6 +91,26 @@ def test_near_groups_of_odd_tables(spark):
     ]
 
 
+def test_one_row_of_each_near_group_stays(spark):
+    x, y = "one two three four five six", "some other words that are long enough"
+    rows = [(2, x, "p"), (5, y, "q"), (5, x, "r"), (5, y, "s"), (None, y, "t"), (None, "", "u"), (None, "z", "v"), (None, "z", "w"), (7, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, component_id string")
+    first = sorted((str(r.doc_id), str(r.text), r.component_id) for r in drop_near_copies(df).collect())
+    assert [r[:2] for r in first] == [("2", x), ("5", y), ("7", "None"), ("None", ""), ("None", "z")]
+    again = drop_near_copies(df.repartition(7))
+    assert sorted((str(r.doc_id), str(r.text), r.component_id) for r in again.collect()) == first and again.columns == df.columns
+    assert drop_near_copies(df.where("false")).count() == 0
+
+
+def test_copies_that_differ_elsewhere(spark):
+    rows = [(1, "a  b", "p", {"k": 1}), (1, "a b", "q", None), (1, "a b", "r", {}), (2, "a b", "s", {}), (None, "c", "t", {}), (None, "c", "u", {})]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _kept_id string, m map<string,int>")
+    first = sorted(str(r) for r in drop_copies(df).collect())
+    assert len(first) == 2 and "text='a  b'" in first[1] or "text='a  b'" in first[0]
+    assert all(sorted(str(r) for r in drop_copies(df.repartition(n)).collect()) == first for n in (1, 5))
+    assert drop_copies(df).columns == df.columns and drop_copies(df.where("false")).count() == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     links = links.union(spark.createDataFrame([(100, 101), (102, 101)], "a bigint, b bigint"))
@@ -190,6 +210,8 @@ def test_backoff_scores(spark, rows, bytes_):
 
 
 def leaks(docs, items):
+    """The best similarity of an item to all windows of its length, wherever they lie, and the windows that have it."""
+
     def grams(words):
         return [tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
 
@@ -198,17 +220,13 @@ def leaks(docs, items):
         iw = WORD.findall((itext or "").lower())
         for doc, text in docs:
             w = WORD.findall((text or "").lower())
-            dg, ig = grams(w), grams(iw)
-            for p, a in enumerate(dg):
-                for o, b in enumerate(ig):
-                    if a == b and doc is not None:
-                        start = max(0, min(p - o, len(w) - len(iw)))
-                        x, y = Counter(grams(w[start : start + len(iw)])), Counter(ig)
-                        value = (x & y).total() / (x | y).total()
-                        if value >= 0.75:
-                            best = out.get((doc, item), (0, 0))
-                            out[doc, item] = max(best, (value, -start))
-    return {k: (round(v, 9), -s) for k, (v, s) in out.items()}
+            y = Counter(grams(iw))
+            for start in range(max(0, len(w) - len(iw)) + 1) if iw and w and doc is not None else []:
+                x = Counter(grams(w[start : start + len(iw)]))
+                value = (x & y).total() / (x | y).total()
+                if value >= 0.75:
+                    out.setdefault((doc, item), []).append((round(value, 9), start))
+    return {k: (max(v)[0], {s for x, s in v if x == max(v)[0]}) for k, v in out.items()}
 
 
 def test_benchmark_leaks(spark, rows):
@@ -219,16 +237,24 @@ def test_benchmark_leaks(spark, rows):
         (91, " ".join(prose(8, 10) + edited + prose(7, 3)).upper()),
         (92, " ".join(item[:15] + prose(9, 50))),
         (93, " ".join(item[:37])),
+        (94, " ".join(prose(6, 30) + item[20:] + item[:20] + prose(7, 30))),  # halves swapped
+        (95, " ".join(prose(6, 33) + item[3:])),  # ends with the text
+        (96, " ".join(["same"] * 60)),
+        (96, "a clean text with the id of another"),
         (None, " ".join(item)),
     ]
     items = [(1, " ".join(item)), (2, " ".join(prose(2, 60)[5:45])), (3, "one two"), (4, None), (5, ""), (6, " ".join(["same"] * 20)), (1, " ".join(item))]
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
     df = table(spark, docs)
     got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start) for r in benchmark_leaks(df, bench).collect()}
-    assert got == leaks(docs, items)
-    assert {(90, 1), (91, 1), (93, 1), (44, 2), (73, 3)} <= set(got) and (92, 1) not in got
-    kept = drop_leaks(df, bench)
-    assert kept.columns == df.columns
-    assert kept.count() == len(docs) - len({d for d, _ in got})
+    want = leaks(docs, items)
+    assert {k: v for k, (v, _) in got.items()} == {k: v for k, (v, _) in want.items()}
+    assert all(start in want[k][1] for k, (_, start) in got.items())
+    assert {(90, 1), (91, 1), (93, 1), (94, 1), (95, 1), (96, 6), (44, 2), (73, 3)} <= set(got) and (92, 1) not in got
+    kept = drop_leaks(df.withColumn("_leak_a", F.lit(1)), bench)
+    assert kept.columns == [*df.columns, "_leak_a"]
+    bad = {t for i, t in docs if (i, t) != (96, "a clean text with the id of another") and (i in {d for d, _ in got} or i is None)}
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in docs if t not in bad)
+    assert drop_leaks(empty(spark), bench).count() == 0 and drop_leaks(df, bench.where("false")).count() == len(docs)
     assert benchmark_leaks(empty(spark), bench).count() == 0
     assert benchmark_leaks(df, bench.where("false")).count() == 0

@@ -71,7 +71,10 @@ def test_quality(spark):
     rest = drop_poor(df, labels)
     assert rest.columns == df.columns and rest.count() == 62
     assert all(r.kept == (r.n_grams > 0) for r in quality_weights(df, labels.where("false")).collect())
-    assert quality_weights(empty(spark), labels).count() == 0
+    assert quality_weights(empty(spark), labels).count() == 0 and drop_poor(empty(spark), labels).count() == 0
+    named = df.withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))
+    marks = labels.withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))
+    assert drop_poor(named, marks).count() == 62
     assert quality_weights(df, labels, keep=0.25).where("kept").count() == round(0.25 * 92)
 
 

@@ -1,8 +1,9 @@
 """Benchmark passages in documents: SimHash fingerprints of item-sized windows, indexed by Hamming blocks.
 
-A window is as long as a benchmark item. Where a window shares no shingle with an item, they are not
-alike at all, so windows are laid only where a shingle of the document is one of an item, in line with
-it. Each window and item has a 64-bit SimHash of its shingles, repeats counted. Fingerprints within
+A window is as long as a benchmark item. Of all windows that are as like an item as any, one begins with a
+shingle of the benchmark or ends with the text: a window that begins with another shingle loses nothing by
+moving on. So windows are laid there, and where too few such shingles lie ahead for the similarity wanted,
+they are passed over. Each window and item has a 64-bit SimHash of its shingles, repeats counted. Fingerprints within
 ``RADIUS`` bits agree in at least one of ``RADIUS + 1`` blocks, which makes the join key, beside the
 length; candidates within the radius are verified by their shingles. Only DataFrame and SQL functions.
 """
@@ -67,7 +68,7 @@ def benchmark_leaks(
 
     similarity is the weighted Jaccard similarity of shingles (lower case, ``size`` words, weighted by
     their number) of the item and the most similar window of its length, ``start`` the window's first
-    word (the earliest of equal ones). A document shorter than the item is one window. Texts with fewer
+    word (the earliest of equal ones that begin with a shingle of the benchmark or end with the text). A document shorter than the item is one window. Texts with fewer
     words than a shingle are one shingle; null, empty and blank texts are like nothing. Rows without
     doc_id are not looked at. Rows that share a doc_id are looked at each; the best window counts.
     """
@@ -79,16 +80,29 @@ def benchmark_leaks(
         .withColumn("item_print", F.expr(_SIMHASH.format(s="item_shingles"))),
         "items",
     )
-    known = written(items.select("length", F.posexplode("item_shingles").alias("o", "h")).distinct(), "shingles")
+    known = written(items.select("length", F.explode("item_shingles").alias("h")).distinct(), "shingles")
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # Not plain posexplode: the filter on empty arrays that it brings would compute all shingles twice.
     found = (
         rows.select("doc_id", _words(F.col("text")).alias("words"))
         .select("doc_id", F.size("words").alias("n"), F.posexplode_outer(_shingles("words", size)).alias("p", "h"))
         .join(_checked(known), "h")
-        .select("doc_id", "length", F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("n") - F.col("length"))).alias("start"))
-        .distinct()
+        .groupBy("doc_id", "length", "n")
+        .agg(F.array_sort(F.collect_set("p")).alias("at"))
+    )
+    # A window of a shingles and an item of b share this many at least, each at a place of its own.
+    sizes = [F.greatest(F.lit(1), x - (size - 1)) for x in (F.least("length", "n"), F.col("length"))]
+    found = found.withColumn("inside", sizes[0]).withColumn(
+        "need", F.greatest(F.lit(1), F.ceil((sizes[0] + sizes[1]) * (least / (1 + least)) - 1e-9).cast("int"))
     )
+    last = F.greatest(F.lit(0), F.col("n") - F.col("length"))
+    starts = F.filter("at", lambda p, i: (p <= last) & (F.get("at", i + F.col("need") - 1) < p + F.col("inside")))
+    at_end = F.get("at", F.size("at") - F.col("need")) >= last
+    found = found.select(
+        "doc_id",
+        "length",
+        F.explode(F.array_distinct(F.when(at_end, F.concat(starts, F.array(last))).otherwise(starts))).alias("start"),
+    ).distinct()
     found = written(found, "windows")
     windows = written(
         rows.join(_checked(found), "doc_id")
@@ -120,7 +134,20 @@ def benchmark_leaks(
     )
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no passage of the benchmark, with all their columns; rows without id stay."""
-    leaks = benchmark_leaks(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(leaks, docs[doc_id] == leaks["_leak_id"], "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents that hold no passage of the benchmark, with all their columns.
+
+    A text decides, not its id: equal texts go or stay together, rows without id as well. Null and blank texts
+    stay, all rows stay if the benchmark is empty, and an empty table stays empty; columns may have any names.
+    Texts are told apart by 128 bits.
+    """
+    def key(value: Column) -> Column:
+        return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b"))
+
+    value = F.col(f"`{text}`").cast("string")
+    keyed = docs.where(value.isNotNull()).select(key(value).alias("key"), value.alias("text"))
+    leaks = benchmark_leaks(keyed, benchmark, doc_id="key", **options)
+    leaks = leaks.select(F.col("doc_id.a").alias("_leak_a"), F.col("doc_id.b").alias("_leak_b")).distinct()
+    own = docs[text].cast("string")
+    same = (F.xxhash64(own) == leaks["_leak_a"]) & (F.xxhash64(F.lit(1), own) == leaks["_leak_b"])
+    return docs.join(leaks, same, "left_anti")

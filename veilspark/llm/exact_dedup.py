@@ -72,12 +72,17 @@ def exact_groups(
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = 16) -> DataFrame:
     """The documents that stay, one row each, with all their columns.
 
-    Of rows that share id and text one stays, whichever Spark meets first if their other columns differ.
+    Of rows that share id and normalised text the smallest text stays, and of equal ones the one that
+    ``one_of_each`` names, so reruns agree. A null text equals an empty one; of a group without ids one
+    row stays. An empty table stays empty; columns may have any names.
     """
     kept = exact_groups(docs, text, doc_id, salts).where("kept").select(
         F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")
     )
-    digest = "_digest_of_text"
-    marked = docs.withColumn(digest, sha256(normalised(F.col(text))))
-    same = marked[doc_id].eqNullSafe(kept["_kept_id"]) & (marked[digest] == kept["_kept_digest"])
-    return marked.join(kept, same, "left_semi").dropDuplicates([doc_id, digest]).drop(digest)
+    content = F.struct(docs[doc_id].alias("id"), sha256(normalised(docs[text])).alias("digest"))
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), content.alias("key"))
+    same = F.col("key.id").eqNullSafe(F.col("_kept_id")) & (F.col("key.digest") == F.col("_kept_digest"))
+    stay = marked.join(kept, same, "left_semi")
+    others = F.to_json("whole")
+    order = F.struct(F.col("whole")[text].alias("text"), F.sha2(others, 256).alias("rest"))
+    return stay.groupBy("key").agg(F.min_by("whole", order).alias("whole")).select("whole.*")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.components import components
-from veilspark.llm.storage import written
+from veilspark.llm.storage import one_of_each, written
 from veilspark.llm.words import Words, _constants, filled, mix, ngrams, pieces, words_of
 
 BANDS, ROWS = 32, 4
@@ -84,12 +84,12 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, whole: bool) -> Iterator
             if not whole:
                 last = [r.tobytes() for r in registers(values, first)]
             yield pa.record_batch(
-                [piece.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(last, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "last"],
+                [piece.column("doc_id"), piece.column("row"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(last, pa.binary())],
+                ["doc_id", "row", "n_shingles", "digest", "last"],
             )
 
 
-_SETS = "doc_id bigint, n_shingles bigint, digest binary, last binary"
+_SETS = "doc_id bigint, row bigint, n_shingles bigint, digest binary, last binary"
 
 
 def likeliest(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, steps: int = 101) -> np.ndarray:
@@ -180,7 +180,13 @@ def near_groups(
     id has no component_id unless another row with an equal set has an id, and is kept if it has none.
     Pairs at the threshold share no band with probability of about 5e-6. Other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return _grouped(docs, size, percent, text, doc_id).drop("row")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, text: str, doc_id: str) -> DataFrame:
+    """``near_groups`` with the hash ``row`` of each row's text."""
+    value = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(value).alias("row"), value.alias("text"))
     sketches = written(rows.mapInArrow(lambda b: _sets(b, size, False), _SETS), "sketches")
     classes = written(
         sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -261,12 +267,22 @@ def near_groups(
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
     return (
         sketches.join(named, sketches["digest"] == named["_digest"], "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        .select("doc_id", "row", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 75, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents of which ``near_groups`` keeps one per component, with all their columns."""
-    kept = near_groups(docs, size, percent, text, doc_id).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One document of each component of ``near_groups``, with all its columns.
+
+    The row that stays is one with the component's id. If several rows have it (a repeated id), the text with
+    the smallest hash stays, and of rows that share id and text the one that ``one_of_each`` names. Rows
+    without id stay where ``near_groups`` keeps them, once for each text. Texts without words are components
+    of their own. An empty table stays empty; columns may have any names.
+    """
+    found = _grouped(docs, size, percent, text, doc_id).where("kept")
+    kept = found.groupBy(F.col("doc_id").alias("_kept_id"), F.when(F.col("doc_id").isNull(), F.col("row")).alias("_text")).agg(
+        F.min("row").alias("_kept_row")
+    )
+    same = docs[doc_id].cast("bigint").eqNullSafe(kept["_kept_id"]) & (F.xxhash64(docs[text].cast("string")) == kept["_kept_row"])
+    return one_of_each(docs.join(kept, same, "left_semi"), [doc_id, text])

@@ -135,9 +135,10 @@ def quality_weights(
     ratio = np.log((target + 0.5) / (target.sum() + 0.5 * CELLS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * CELLS))
     if not target.any():
         ratio[:] = 0.0
+    kind = dict(rows.dtypes)["doc_id"]
     uniform = (F.shiftrightunsigned("row", 11).cast("double") + 0.5) / F.lit(2.0**53)
     weighed = written(
-        rows.mapInArrow(lambda b: _scored(b, ratio), "doc_id bigint, row bigint, n_grams bigint, score double").withColumn(
+        rows.mapInArrow(lambda b: _scored(b, ratio), f"doc_id {kind}, row bigint, n_grams bigint, score double").withColumn(
             "weight", F.col("score") * SHARPNESS - F.log(-F.log(uniform))
         ),
         "weights",
@@ -179,7 +180,11 @@ def kth_largest(df: DataFrame, column: str, part: float, bins: int = 4096) -> fl
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that ``quality_weights`` keeps, with all their columns."""
+    """The documents that ``quality_weights`` keeps, with all their columns.
+
+    Texts without words go, null ones included; repeated rows go or stay together. Without rows of both labels
+    all others stay. An empty table stays empty; columns may have any names, ids any type.
+    """
     seed = options.setdefault("seed", 11)
     kept = quality_weights(docs, labels, text=text, doc_id=doc_id, **options).where("kept")
     kept = kept.select(F.col("row").alias("_kept_row")).distinct()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from veilspark.llm.backoff_lm import backoff_scores
 from veilspark.llm.collocations import collocations
 from veilspark.llm.decontaminate import benchmark_leaks
@@ -118,7 +117,6 @@ QUERIES = {
     "op11_toxicity": op11_toxicity,
     "op12_collocations": op12_collocations,
     "op13_fill_in_middle": op13_fill_in_middle,
-    "pipeline": corpus_pipeline.run,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each combination of ``keys`` (nulls are equal): that whose other columns, as JSON, have the
+    smallest SHA-256. So reruns agree, whatever types the other columns have."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    order = F.sha2(F.to_json(F.struct(*others)), 256) if others else F.lit("")
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    picked = df.groupBy(*(F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys))).agg(F.min_by(whole, order).alias("_row"))
+    return picked.select("_row.*")
