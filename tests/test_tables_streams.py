@@ -12,6 +12,8 @@ from veilspark.operators.sanitize import apply_rewrites
 from veilspark.operators.tables import censor_by_lexicon, find_by_lexicon, flag_by_lexicon, latest_per_source, sanitize_conversations, sanitize_turns
 from veilspark.sources.texts import load_texts, new_dir, nonblank, write_texts
 from veilspark.streaming import jobs as S
+from veilspark.streaming.collapse import collapse_event_stream, read_event_runs
+from veilspark.streaming.sinks import merge_folders, read_updates, saved
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -103,12 +105,12 @@ def test_stream_windows_and_latest(spark, tmp_path):
     stream = _stream(spark, path).withColumn("ts", F.timestamp_seconds("sec"))
     out = str(tmp_path / "w")
     S.marker_count_stream(stream, out, out + "cp").awaitTermination()
-    got = S.read_updates(spark, out, ["window_start", "window_end", "source", "rule"])
+    got = read_updates(spark, out, ["window_start", "window_end", "source", "rule"])
     assert got.agg(F.sum("n")).first()[0] == 48
     assert got.where("rule = 'email'").groupBy("window_start").agg(F.sum("n").alias("n")).collect()[0].n == 6
     out = str(tmp_path / "l")
     S.latest_stream(stream.select("id", "ts", "source", "text"), out, out + "cp", ["ts", "id"]).awaitTermination()
-    latest = {r.source: r.id for r in S.read_updates(spark, out, ["source"]).collect()}
+    latest = {r.source: r.id for r in read_updates(spark, out, ["source"], ["ts", "id"]).collect()}
     assert latest == {"s1": 23, "s2": 21}
 
 
@@ -198,3 +200,85 @@ def test_texts_need_an_id(spark, tmp_path):
         load_texts(spark, str(tmp_path / "t"))
     with pytest.raises(ValueError):
         load_texts(spark, str(tmp_path / "t"), fmt="text", keep=("lang",))
+
+
+def _event_runs(spark, rows):
+    """Runs of the whole by a batch job, for the same gap."""
+    df = spark.createDataFrame(rows, "source string, s long, id long, line string").withColumn("ts", F.timestamp_seconds("s"))
+    runs = find_runs(df, ["source"], ["ts", "id"], "line", F.lit(0), time="ts", gap="10 minutes")
+    return sorted((str(r.source), r.first.id, r.last.id, str(r.line), r.n) for r in runs.collect())
+
+
+def test_event_runs_equal_the_batch_result(spark, tmp_path):
+    """Runs span batches; rows come out of order and twice; a silent source is closed by its timer."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot", "hot", None]), i * 20 + rng.randrange(20), i, rng.choice(["a", "a", "a", "b", None])) for i in range(160)]
+    rows = [r for r in rows if not 1200 < r[1] < 2200] + [("silent", 100, 900, "x"), ("silent", 130, 901, "x")]
+    rows.sort(key=lambda r: r[1])
+    batches = [rows[i : i + 20] for i in range(0, len(rows), 20)]
+    for batch in batches:
+        rng.shuffle(batch)
+    mixed = [list(b) for b in batches]
+    mixed[2].append(batches[1][0])  # replayed within the delay or after it: either way without effect
+    mixed[-1] += batches[-1][:3]
+    # A row moved one batch on is still in time: 20 rows span less than the delay.
+    mixed[4].append(mixed[3].pop())
+    path, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    schema = "source string, s long, id long, line string"
+
+    def start():
+        stream = _stream(spark, path).withColumn("ts", F.timestamp_seconds("s"))
+        query = collapse_event_stream(stream, out, cp, ["source"], "ts", ["id"], "line", delay="10 minutes", gap="10 minutes")
+        query.awaitTermination()
+        return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+    _write_batches(spark, path, mixed[:5], schema)
+    start()
+    runs = read_event_runs(spark, out, ["source"], "ts")
+    part = [r for b in mixed[:5] for r in b]
+    got = sorted((str(r.source), r.first_id, r.last_id, str(r.line), r.n) for r in runs.collect())
+    assert got == _event_runs(spark, list(dict.fromkeys(part)))
+    _write_batches(spark, path, mixed[5:], schema)
+    start()
+    runs = read_event_runs(spark, out, ["source"], "ts").collect()
+    got = sorted((str(r.source), r.first_id, r.last_id, str(r.line), r.n) for r in runs)
+    assert got == _event_runs(spark, list(dict.fromkeys(r for b in mixed for r in b)))
+    assert [(r.n, r.closed) for r in runs if r.source == "silent"] == [(2, True)]
+    _write_batches(spark, path, [[("hot", 1, 5000, "late"), ("silent", 2, 5001, "late"), ("new", 3, 5002, "late")]], schema)
+    assert start() == 3
+    again = read_event_runs(spark, out, ["source"], "ts").collect()
+    assert sorted(map(str, again)) == sorted(map(str, runs))
+
+
+def test_sinks_keep_few_folders(spark, tmp_path):
+    """Many micro-batches, a death in the middle of a merge, replays: the same rows, and few folders."""
+    out, rng, want = str(tmp_path / "sink"), random.Random(3), {}
+
+    def folders():
+        return [p.name for p in (tmp_path / "sink").rglob("*=*")]
+
+    def rows_of(number):
+        draw = random.Random(number)
+        return [(draw.randrange(9), draw.randrange(1000), f"b{number}-{i}") for i in range(4)]
+
+    def save(number):
+        df = spark.createDataFrame(rows_of(number), "k int, at int, v string").coalesce(1)
+        saved(df.groupBy("k").agg(F.max(F.struct("at", "v")).alias("x")).select("k", "x.*"), number, out, ["k"], ["at"], 4)
+
+    for number in range(30):
+        save(number)
+        for k, at, v in rows_of(number):
+            want[k] = max(want.get(k, (-1, -1, "")), (at, number, v))
+        if number in (6, 7, 19):  # a replay, also of a batch that has just been merged
+            save(number)
+        if number == 13:  # a merge that died: its folder is not complete
+            (tmp_path / "sink" / "_merged" / "upto=13").mkdir()
+            (tmp_path / "sink" / "_merged" / "upto=13" / "part-0.parquet").write_bytes(b"broken")
+        assert len(folders()) <= 2 * 4 + 3
+    got = {r.k: (r.at, r.v) for r in read_updates(spark, out, ["k"], ["at"]).collect()}
+    assert got == {k: (at, v) for k, (at, _, v) in want.items()}
+    merge_folders(spark, out, ["k"], ["at"], 29)
+    merge_folders(spark, out, ["k"], ["at"], 29)
+    assert {r.k: (r.at, r.v) for r in read_updates(spark, out, ["k"], ["at"]).collect()} == got
+    with pytest.raises(ValueError):
+        read_updates(spark, str(tmp_path / "none"), ["k"])

@@ -26,22 +26,17 @@ from veilspark.operators.tables import (
     sanitize_turns,
 )
 from veilspark.sources.texts import load_texts, nonblank, spread, write_texts
-from veilspark.streaming.jobs import (
-    collapse_stream,
-    latest_stream,
-    marker_count_stream,
-    read_collapsed,
-    read_updates,
-    sanitize_stream,
-)
+from veilspark.streaming.collapse import collapse_event_stream, read_event_runs
+from veilspark.streaming.jobs import collapse_stream, latest_stream, marker_count_stream, read_collapsed, sanitize_stream
+from veilspark.streaming.sinks import read_updates
 
 __all__ = [
     "apply_rewrites", "apply_rule", "censor_by_lexicon", "censor_profanity", "chat_request", "clean_lines", "clean_stage1",
-    "collapse_duplicates", "collapse_rows", "collapse_stream", "count_pretokens", "count_words", "diff_matches",
+    "collapse_duplicates", "collapse_event_stream", "collapse_rows", "collapse_stream", "count_pretokens", "count_words", "diff_matches",
     "distill_eligible", "find_by_lexicon", "find_runs", "findings", "findings_table", "flag_by_lexicon", "flag_profanity",
     "latest_per_source", "latest_stream", "load_texts", "marker_count_stream", "noisiest", "nonblank",
     "normalize_values", "process_table", "profanity_hits", "prompt_request", "prune_frames", "prune_rows", "publishable",
-    "read_collapsed", "read_updates", "redact_card", "redact_email", "redact_high_entropy", "redact_iban",
+    "read_collapsed", "read_event_runs", "read_updates", "redact_card", "redact_email", "redact_high_entropy", "redact_iban",
     "redact_phone", "redact_pii", "redact_secrets", "redact_ssn", "redaction_report", "render_diff", "reply_text",
     "result_json", "rewrite_accepted", "rules_table", "safety_pass", "sanitize", "sanitize_conversations",
     "sanitize_stream", "sanitize_table", "sanitize_text", "sanitize_turns", "split_lines", "spread", "stats_label", "strip_fences",

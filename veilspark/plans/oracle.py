@@ -552,6 +552,12 @@ ORACLE: dict[str, str] = {
         i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM g)
         SELECT user_id AS source, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event,
                any_value(event_type) AS line, count(*) AS n FROM i GROUP BY user_id, island""",
+    "stream_event_runs": """WITH g AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w
+                  AND ts::TIMESTAMP - lag(ts::TIMESTAMP) OVER w <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS fresh FROM events
+             WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM g)
+        SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_event_id, arg_max(event_id, (ts, event_id)) AS last_event_id,
+               any_value(event_type) AS line, count(*) AS n FROM i GROUP BY user_id, island""",
     "stream_marker_counts": f"""WITH {LOGS_CLEAN}, {found_ctes('clean', 'event_id, ts, source')}
         SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, source, rule, sum(n)::BIGINT AS n
         FROM found GROUP BY 1, 2, 3""",

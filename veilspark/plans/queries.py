@@ -41,6 +41,8 @@ from veilspark.operators.tables import (
 from veilspark.plans.corpus import corpus, logs, logs_from, replies, table, texts
 from veilspark.sources.texts import load_texts, new_dir, nonblank, spread_tasks, write_texts
 from veilspark.streaming import jobs as S
+from veilspark.streaming.collapse import collapse_event_stream, read_event_runs
+from veilspark.streaming.sinks import read_updates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -349,7 +351,7 @@ def stream_collapse(spark, sf):
 def stream_marker_counts(spark, sf):
     out = new_dir(spark, "stream-markers")
     S.marker_count_stream(logs_from(_events_stream(spark, sf)), out, out + "-checkpoint", window="1 day").awaitTermination()
-    state = S.read_updates(spark, out, ["window_start", "window_end", "source", "rule"])
+    state = read_updates(spark, out, ["window_start", "window_end", "source", "rule"])
     return state.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "source", "rule", "n"
     )
@@ -358,7 +360,20 @@ def stream_marker_counts(spark, sf):
 def stream_latest(spark, sf):
     out = new_dir(spark, "stream-latest")
     S.latest_stream(logs_from(_events_stream(spark, sf)), out, out + "-checkpoint", ["ts", "event_id"]).awaitTermination()
-    return S.read_updates(spark, out, ["source"]).select("source", "event_id", F.col("sanitized_text").alias("text"))
+    state = read_updates(spark, out, ["source"], ["ts", "event_id"])
+    return state.select("source", "event_id", F.col("sanitized_text").alias("text"))
+
+
+def stream_event_runs(spark, sf):
+    """Repeated event types of each user along event time; a day's silence ends a run."""
+    out = new_dir(spark, "stream-runs")
+    events = _events_stream(spark, sf).select("user_id", "ts", "event_id", "event_type")
+    job = collapse_event_stream(
+        events, out, out + "-checkpoint", ["user_id"], "ts", ["event_id"], "event_type", delay="1 hour", gap="1 day"
+    )
+    job.awaitTermination()
+    runs = read_event_runs(spark, out, ["user_id"], "ts")
+    return runs.select("user_id", "first_event_id", "last_event_id", "line", "n")
 
 
 QUERIES: dict[str, Query] = {
@@ -419,4 +434,5 @@ QUERIES: dict[str, Query] = {
     "stream_collapse": stream_collapse,
     "stream_marker_counts": stream_marker_counts,
     "stream_latest": stream_latest,
+    "stream_event_runs": stream_event_runs,
 }

@@ -10,6 +10,7 @@ from veilspark.functions.findings import findings
 from veilspark.functions.sanitize import sanitize_text_column
 from veilspark.operators.runs import find_runs
 from veilspark.operators.sanitize import sanitize_table
+from veilspark.streaming.sinks import batch_sink
 
 
 def _trigger(writer, every: str | None):
@@ -23,23 +24,6 @@ def sanitize_stream(stream: DataFrame, out: str, checkpoint: str, every: str | N
     return _trigger(writer.outputMode("append"), every).start()
 
 
-def _update_sink(stream: DataFrame, out: str, checkpoint: str, every: str | None) -> StreamingQuery:
-    """Write each micro-batch of updates to a folder of its own; a replay overwrites it."""
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return _trigger(writer.foreachBatch(save), every).start()
-
-
-def read_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Current state of an update sink: the last update of each key."""
-    updates = spark.read.parquet(out)
-    values = [c for c in updates.columns if c not in (*keys, "batch")]
-    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
-
-
 def marker_count_stream(
     stream: DataFrame,
     out: str,
@@ -61,18 +45,23 @@ def marker_count_stream(
         .agg(F.sum("f.n").alias("n"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), source, "rule", "n")
     )
-    return _update_sink(counts, out, checkpoint, every)
+    return batch_sink(counts, out, checkpoint, every, keys=["window_start", "window_end", source, "rule"])
 
 
 def latest_stream(
     stream: DataFrame, out: str, checkpoint: str, order: list[str], source: str = "source", every: str | None = None
 ) -> StreamingQuery:
-    """Latest sanitized text per source.
+    """Latest sanitized text per source along ``order``, whenever its row arrives.
 
-    The newest raw row is kept as state, and only the rows that win a micro-batch are cleaned.
+    The stream keeps no state: a micro-batch yields its newest row of each source, cleaned, and the sink keeps
+    the newest of those (read with ``read_updates(spark, out, [source], order)``).
     """
-    latest = stream.groupBy(source).agg(F.max(F.struct(*order, "text")).alias("v")).select(source, "v.*")
-    return _update_sink(sanitize_table(latest).drop("text"), out, checkpoint, every)
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        latest = batch.groupBy(source).agg(F.max(F.struct(*order, "text")).alias("v")).select(source, "v.*")
+        return sanitize_table(latest).drop("text")
+
+    return batch_sink(stream, out, checkpoint, every, keys=[source], order=order, prepare=prepare, mode="append")
 
 
 def collapse_stream(
