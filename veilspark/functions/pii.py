@@ -5,11 +5,13 @@ Order matters and is fixed: SSN, e-mail, card, IBAN, phone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions.core import let, luhn_ok, mod97, redact_where, when_guarded
-from veilspark.functions.reference_data import PHONE_PLANS, card_pattern, iban_pattern, phone_pattern
+from veilspark.functions.reference_data import PHONE_PLANS, card_pattern, iban_pattern, phone_national, phone_pattern
 from veilspark.functions.rules import PII_RULES
 
 # ---- Fixed values: candidate shapes and markers.
@@ -58,8 +60,16 @@ def is_iban(hit: Column) -> Column:
     return F.when(hit.rlike(iban_pattern()), mod97(hit) == 1).otherwise(False)
 
 
+def _of_region(value: Callable[[str], str]) -> Column:
+    """A constant map from each region with a plan."""
+    return F.create_map(*(F.lit(x) for name in PHONE_PLANS for x in (name, value(name))))
+
+
 def is_phone(hit: Column, region: str | Column) -> Column:
-    """A number of a known plan; without a country code it must belong to ``region``."""
+    """A number of a known plan; without a country code it must belong to ``region``.
+
+    A region given as text must have a plan; in a column, a region without one matches international numbers only.
+    """
     number = F.concat(
         F.when(hit.startswith("+"), F.lit("+")).otherwise(F.lit("")), F.regexp_replace(hit, "[^0-9]", "")
     )
@@ -67,10 +77,11 @@ def is_phone(hit: Column, region: str | Column) -> Column:
     def test(n: Column) -> Column:
         if isinstance(region, str):
             return n.rlike(phone_pattern(region))
-        abroad = n.rlike(phone_pattern(None))
-        for name in PHONE_PLANS:
-            abroad = F.when(region == name, n.rlike(phone_pattern(name))).otherwise(abroad)
-        return abroad
+        # The plan of the row's region is looked up, so the expression does not grow with the regions.
+        own = F.try_element_at(_of_region(lambda name: f"^(?:{phone_national(name)})$"), region)
+        dial_out = F.try_element_at(_of_region(lambda name: PHONE_PLANS[name].dial_out), region)
+        beyond = F.when(n.startswith(dial_out), F.concat(F.lit("+"), F.substr(n, F.char_length(dial_out) + 1))).otherwise(n)
+        return beyond.rlike(phone_pattern(None)) | F.coalesce(F.rlike(n, own), F.lit(False))
 
     return let(number, test)
 

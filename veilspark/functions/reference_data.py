@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 # ---- Fixed values: payment card issuers, as (leading digits, allowed lengths).
 CARD_ISSUERS: dict[str, tuple[str, str]] = {
@@ -42,7 +43,93 @@ IBAN_STRUCTURES: dict[str, str] = {
 }
 
 
-# ---- Fixed values: numbering plans (calling code, trunk prefix, international prefix, national number).
+# ---- Fixed values: numbering plans, as region, calling code, trunk prefix and international prefix (- for
+# ---- none) and national numbers.
+NUMBERING = r"""
+AE 971 0 00 5[024-68][0-9]{7}|[2-4679][0-9]{7}
+AR 54 0 00 11[0-9]{8}|[23][0-9]{9}|9(?:11|[23][0-9])[0-9]{8}
+AT 43 0 00 1[0-9]{6,12}|[2-57][0-9]{7,11}|6[4-9][0-9]{8,10}|8[0-9]{8,9}|9[0-9]{8,9}
+AU 61 0 0011 [23478][0-9]{8}
+BD 880 0 00 1[3-9][0-9]{8}|[2-9][0-9]{6,9}
+BE 32 0 00 4[5-9][0-9]{7}|[1-9][0-9]{7}
+BG 359 0 00 2[0-9]{6,7}|[3-79][0-9]{6,8}|8[7-9][0-9]{7}
+BH 973 - 00 [1367][0-9]{7}
+BR 55 0 00 [1-9][1-9]9[0-9]{8}|[1-9][1-9][2-5][0-9]{7}
+BY 375 8 810 (?:25|29|33|44)[0-9]{7}|1[5-7][0-9]{7}|2[1-4][0-9]{7}
+CA 1 1 011 [2-9][0-9]{2}[2-9][0-9]{6}
+CH 41 0 00 [2-9][0-9]{8}
+CL 56 - 00 [2-9][0-9]{8}
+CN 86 0 00 1[3-9][0-9]{9}|10[0-9]{8}|2[0-9]{9}|[3-9][0-9]{9,10}
+CO 57 - 00 3[0-9]{9}|60[1-8][0-9]{7}
+CZ 420 - 00 [2-9][0-9]{8}
+DE 49 0 00 1(?:5[0-9]|6[023]|7[0-9])[0-9]{7,8}|[2-9][0-9]{6,10}
+DK 45 - 00 [2-9][0-9]{7}
+DZ 213 0 00 [5-7][0-9]{8}|[1-4][0-9]{7}
+EC 593 0 00 9[0-9]{8}|[2-7][0-9]{7}
+EE 372 - 00 5[0-9]{6,7}|[3467][0-9]{6}|8[0-9]{7}
+EG 20 0 00 1[0125][0-9]{8}|2[0-9]{8}|3[0-9]{7}|[4-9][0-9]{7,8}
+ES 34 - 00 [5-9][0-9]{8}
+FI 358 0 00 4[0-9]{5,10}|50[0-9]{4,8}|[1-35689][0-9]{5,9}
+FR 33 0 00 [1-7][0-9]{8}|8[0-2689][0-9]{7}|9[0-9]{8}
+GB 44 0 00 1[0-9]{8,9}|2[0-9]{9}|3[0-9]{9}|7[1-57-9][0-9]{8}|8[047][0-9]{8}|9[0-9]{9}
+GH 233 0 00 [235][0-9]{8}
+GR 30 - 00 2[0-9]{9}|69[0-9]{8}
+HK 852 - 001 [235-9][0-9]{7}
+HR 385 0 00 1[0-9]{7}|[2-5][0-9]{7}|9[0-9]{7,8}
+HU 36 06 00 1[0-9]{7}|(?:20|30|31|50|70)[0-9]{7}|[2-9][0-9]{7}
+ID 62 0 00 8[1-9][0-9]{7,10}|[2-79][0-9]{7,9}
+IE 353 0 00 1[0-9]{7}|2[1-9][0-9]{5,7}|[4-7][0-9]{6,8}|8[3-9][0-9]{7}|9[0-9]{6,8}
+IL 972 0 00 5[0-9]{8}|7[2-9][0-9]{7}|[2-489][0-9]{7}
+IN 91 0 00 [1-9][0-9]{9}
+IS 354 - 00 [4-9][0-9]{6}|3[0-9]{8}
+IT 39 - 00 0[0-9]{7,10}|3[0-9]{8,9}
+JO 962 0 00 7[7-9][0-9]{7}|[2356][0-9]{7}
+JP 81 0 010 [5789]0[0-9]{8}|[1-9][0-9]{8}
+KE 254 0 000 [17][0-9]{8}|[2-6][0-9]{6,8}
+KR 82 0 00 1[0-9]{8,9}|2[0-9]{7,8}|[3-6][1-5][0-9]{7,8}|70[0-9]{8}
+KW 965 - 00 [2569][0-9]{7}
+KZ 7 8 810 7[0-9]{9}
+LB 961 0 00 [13-9][0-9]{6}|7[0-9]{7}|81[0-9]{6}
+LK 94 0 00 [1-9][0-9]{8}
+LT 370 0 00 [3-9][0-9]{7}
+LU 352 - 00 6[2679][18][0-9]{6}|[2-57-9][0-9]{5,7}
+LV 371 - 00 [269][0-9]{7}|8[01][0-9]{6}
+MA 212 0 00 [5-8][0-9]{8}
+MX 52 - 00 [2-9][0-9]{9}
+MY 60 0 00 1[0-9]{8,9}|[3-9][0-9]{7,8}
+NG 234 0 009 (?:70|80|81|90|91)[0-9]{8}|[1-9][0-9]{6,7}
+NL 31 0 00 [1-7][0-9]{8}|8[58][0-9]{7}
+NO 47 - 00 [2-9][0-9]{7}
+NZ 64 0 00 2[0-9]{7,9}|[34679][0-9]{7}
+OM 968 - 00 [279][0-9]{7}
+PE 51 0 00 9[0-9]{8}|[14-8][0-9]{7}
+PH 63 0 00 9[0-9]{9}|[2-8][0-9]{8}
+PK 92 0 00 3[0-9]{9}|[24-9][0-9]{8,9}
+PL 48 - 00 (?:1[2-8]|2[2-69]|3[2-4]|4[1-468]|5[0-9]|6[0-35-9]|7[1-9]|8[1-9]|9[145])[0-9]{7}
+PT 351 - 00 [29][0-9]{8}
+QA 974 - 00 [3-7][0-9]{7}
+RO 40 0 00 [237][0-9]{8}|8[0-9]{8}|9[0-9]{8}
+RS 381 0 00 6[0-9]{7,9}|[1-3][0-9]{6,9}
+RU 7 8 810 [3489][0-9]{9}
+SA 966 0 00 5[0-9]{8}|1[1-467][0-9]{7}
+SE 46 0 00 7[02369][0-9]{7}|8[0-9]{6,8}|[1-69][0-9]{7,8}
+SG 65 - 000 [3689][0-9]{7}
+SI 386 0 00 [1-7][0-9]{7}
+SK 421 0 00 [2-59][0-9]{8}
+TH 66 0 001 [689][0-9]{8}|[2-7][0-9]{7}
+TN 216 - 00 [2-57-9][0-9]{7}
+TR 90 0 00 (?:2[1-9]|3[1-9]|4[1-9]|5[0-9]|8[058])[0-9]{8}
+TW 886 0 002 9[0-9]{8}|[2-8][0-9]{7,8}
+UA 380 0 00 [3-79][0-9]{8}
+US 1 1 011 [2-9][0-9]{2}[2-9][0-9]{6}
+UY 598 0 00 9[0-9]{7}|[24][0-9]{7}
+VE 58 0 00 [24][0-9]{9}
+VN 84 0 00 [35789][0-9]{8}|2[0-9]{9}
+ZA 27 0 00 [1-8][0-9]{8}
+"""
+# ---- End of fixed values.
+
+
 @dataclass(frozen=True)
 class PhonePlan:
     calling_code: str
@@ -52,21 +139,12 @@ class PhonePlan:
 
 
 PHONE_PLANS: dict[str, PhonePlan] = {
-    "FR": PhonePlan("33", "0", "00", r"[1-7][0-9]{8}|8[0-2689][0-9]{7}|9[0-9]{8}"),
-    "US": PhonePlan("1", "1", "011", r"[2-9][0-9]{2}[2-9][0-9]{6}"),
-    "CA": PhonePlan("1", "1", "011", r"[2-9][0-9]{2}[2-9][0-9]{6}"),
-    "GB": PhonePlan("44", "0", "00", r"1[0-9]{8,9}|2[0-9]{9}|3[0-9]{9}|7[1-57-9][0-9]{8}|8[047][0-9]{8}|9[0-9]{9}"),
-    "DE": PhonePlan("49", "0", "00", r"1(?:5[0-9]|6[023]|7[0-9])[0-9]{7,8}|[2-9][0-9]{6,10}"),
-    "ES": PhonePlan("34", "", "00", r"[5-9][0-9]{8}"),
-    "IT": PhonePlan("39", "", "00", r"0[0-9]{7,10}|3[0-9]{8,9}"),
-    "BE": PhonePlan("32", "0", "00", r"4[5-9][0-9]{7}|[1-9][0-9]{7}"),
-    "CH": PhonePlan("41", "0", "00", r"[2-9][0-9]{8}"),
-    "NL": PhonePlan("31", "0", "00", r"[1-7][0-9]{8}|8[58][0-9]{7}"),
-    "PT": PhonePlan("351", "", "00", r"[29][0-9]{8}"),
-    "MA": PhonePlan("212", "0", "00", r"[5-8][0-9]{8}"),
+    region: PhonePlan(code, trunk.strip("-"), dial_out, national)
+    for region, code, trunk, dial_out, national in (row.split(" ") for row in NUMBERING.split("\n") if row)
 }
 
-# ---- Fixed values: national numbers abroad, by calling code or group of calling codes.
+# ---- Fixed values: national numbers of the other calling codes, by code or group of codes; codes with a plan of
+# ---- their own above do not count here.
 PHONE_ABROAD: tuple[tuple[str, str], ...] = (
     ("7", "[3-9][0-9]{9}"),
     ("20", "1[0-25][0-9]{8}|[2-9][0-9]{7,8}"),
@@ -173,21 +251,37 @@ def iban_pattern() -> str:
     return "^(?:" + "|".join(parts) + ")$"
 
 
-def phone_pattern(region: str | None) -> str:
-    """Anchored regex over ``+`` and digits: any known country code, or the region's own forms."""
-    abroad: dict[str, str] = {}
+@lru_cache(maxsize=1)
+def phone_world() -> str:
+    """Regex over the digits of an international number: calling code and national number, not anchored."""
+    planned: dict[str, list[str]] = {}
     for plan in PHONE_PLANS.values():
         trunk = f"(?:{plan.trunk})?" if plan.trunk else ""
-        abroad[plan.calling_code] = f"{plan.calling_code}{trunk}(?:{plan.national})"
-    abroad |= {codes: f"(?:{codes})0?(?:{national})" for codes, national in PHONE_ABROAD}
-    world = "|".join(abroad.values())
-    forms = [rf"\+(?:{world})"]
-    if region in PHONE_PLANS:
-        plan = PHONE_PLANS[region]
-        trunk = f"(?:{plan.trunk})?" if plan.trunk else ""
-        forms.append(f"{trunk}(?:{plan.national})")
-        forms.append(f"{plan.calling_code}(?:{plan.national})")
-        forms.append(f"{plan.dial_out}(?:{world})")
+        form = f"{trunk}(?:{plan.national})"
+        if form not in planned.setdefault(plan.calling_code, []):
+            planned[plan.calling_code].append(form)
+    world = [f"{code}(?:{'|'.join(forms)})" for code, forms in planned.items()]
+    for codes, national in PHONE_ABROAD:
+        other = [c for c in map(str, range(20, 1000)) if re.fullmatch(codes, c) and c not in planned]
+        if other:
+            world.append(f"(?:{'|'.join(other)})0?(?:{national})")
+    return "|".join(world)
+
+
+def phone_national(region: str) -> str:
+    """Regex over the digits of a number as written inside its region, with or without its calling code."""
+    plan = PHONE_PLANS[region]
+    trunk = f"(?:{plan.trunk})?" if plan.trunk else ""
+    return f"{trunk}(?:{plan.national})|{plan.calling_code}(?:{plan.national})"
+
+
+def phone_pattern(region: str | None) -> str:
+    """Anchored regex over ``+`` and digits: any known country code, or the region's own forms."""
+    if region is not None and region not in PHONE_PLANS:
+        raise ValueError(f"no numbering plan for the region {region!r}")
+    forms = [rf"\+(?:{phone_world()})"]
+    if region is not None:
+        forms += [phone_national(region), f"{PHONE_PLANS[region].dial_out}(?:{phone_world()})"]
     return "^(?:" + "|".join(forms) + ")$"
 
 
