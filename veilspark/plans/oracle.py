@@ -503,6 +503,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN reduction_percent = floor(reduction_percent) THEN reduction_percent::BIGINT::VARCHAR
              ELSE reduction_percent::VARCHAR END, '%') AS label FROM stats""",
     "diff_lines": f"WITH RECURSIVE {DIFF} SELECT * FROM diff",
+    "diff_rows": f"""WITH RECURSIVE {DIFF} SELECT {K}, old_line_no, new_line_no, change_type, content FROM diff""",
     "diff_terminated": f"""WITH RECURSIVE {sanitized_ctes()}, {diff_ctes(split=ends_ctes)}
         SELECT * REPLACE (replace(content, {NL}, '') AS content) FROM diff""",
     "diff_summary": f"""WITH RECURSIVE {DIFF}, counted AS ({COUNTED})

@@ -21,6 +21,7 @@ from veilspark.functions.skeleton import WORD_PATTERN
 from veilspark.functions.secrets import clean_stage1, redact_high_entropy
 from veilspark.functions.tokens import count_pretokens, count_words, stats_label, token_stats
 from veilspark.operators import report as R
+from veilspark.operators.diff_rows import diff_rows
 from veilspark.operators.runs import collapse_rows, prune_rows
 from veilspark.operators.sanitize import (
     RESULT_SCHEMA,
@@ -196,6 +197,18 @@ def diff_terminated(spark, sf):
     )
 
 
+def diff_rows_query(spark, sf):
+    """The diff of raw and cleaned lines, both as tables with one line per row."""
+    both = _sanitized(spark, sf).select(*KEYS, "text", "sanitized_text")
+
+    def lines(column: str) -> DataFrame:
+        return both.select(*KEYS, F.posexplode(split_lines(F.col(column))).alias("pos", "line")).select(
+            *KEYS, (F.col("pos") + 1).alias("line_no"), "line"
+        )
+
+    return diff_rows(lines("text"), lines("sanitized_text"), KEYS)
+
+
 def diff_search(spark, sf):
     return diff_lines(spark, sf).where(D.diff_matches(F.col("content"), "redacted"))
 
@@ -412,6 +425,7 @@ QUERIES: dict[str, Query] = {
     "stats_label": stats_label_query,
     "diff_lines": diff_lines,
     "diff_terminated": diff_terminated,
+    "diff_rows": diff_rows_query,
     "diff_summary": diff_summary,
     "diff_render": diff_render,
     "apply_rewrites": apply_rewrites_query,
