@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Notices of common licences.
+#: Notices of common licences, our choice.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
