@@ -8,7 +8,7 @@ from veilspark.functions.pii import redact_pii
 from veilspark.functions.sanitize import sanitize_text
 from veilspark.operators.report import publishable, redaction_report, token_report
 from veilspark.operators.runs import find_runs
-from veilspark.operators.sanitize import apply_rewrites
+from veilspark.operators.sanitize import apply_rewrites, process_table
 from veilspark.operators.tables import censor_by_lexicon, find_by_lexicon, flag_by_lexicon, latest_per_source, sanitize_conversations, sanitize_turns
 from veilspark.sources.texts import load_texts, new_dir, nonblank, write_texts
 from veilspark.streaming import jobs as S
@@ -132,6 +132,10 @@ def test_several_replies(spark):
     assert row.is_distilled and row.distilled_text == good
     with pytest.raises(Exception, match="several replies"):
         apply_rewrites(docs, replies, ["id"]).collect()
+    record = process_table(docs.withColumnRenamed("stage1_text", "text"), ["id"], rewrites=replies, order="no", diff=False).first()
+    assert record.is_distilled and record.sanitized_text == good
+    unnamed = apply_rewrites(docs.withColumn("id", F.lit(None).cast("int")), replies.withColumn("id", F.lit(None).cast("int")), ["id"], order="no")
+    assert unnamed.first().is_distilled
 
 
 def test_lexicon_censors_every_word_it_has(spark):

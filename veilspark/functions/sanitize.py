@@ -33,13 +33,13 @@ def sanitize_text(text: Column, region: str | Column = "FR", **lexicon) -> Colum
 
 
 @lru_cache(maxsize=64)
-def _built(whole: bool, name: str, region: str, gateway: int) -> Column:
+def _built(whole: bool, name: str, region: str, gateway: object) -> Column:
     return (sanitize if whole else sanitize_text)(F.col(name), region)
 
 
 def _column(whole: bool, name: str, region: str | Column, lexicon: dict) -> Column:
     if isinstance(region, str) and not lexicon:
-        return _built(whole, name, region, id(SparkContext._gateway))
+        return _built(whole, name, region, SparkContext._gateway)
     return (sanitize if whole else sanitize_text)(F.col(name), region, **lexicon)
 
 

@@ -69,12 +69,17 @@ def token_stats(raw_text: Column, clean_text: Column, tokenizer="pretoken") -> C
     )
 
 
+# ---- Fixed values: what the badge calls the stages.
+STAGE_LABELS = {True: "AI Distilled", False: "Stage 1 Rule"}
+# ---- End of fixed values.
+
+
 def stats_label(stats: Column, is_distilled: Column) -> Column:
     """Badge text: token change, reduction and the stage that produced the text."""
     percent = stats["reduction_percent"]
     shown = F.when(percent == F.floor(percent), F.floor(percent).cast("string")).otherwise(percent.cast("string"))
     return F.concat(
-        F.when(is_distilled, F.lit("AI Distilled")).otherwise(F.lit("Stage 1 Rule")),
+        F.when(is_distilled, F.lit(STAGE_LABELS[True])).otherwise(F.lit(STAGE_LABELS[False])),
         F.lit(" | "),
         stats["raw_tokens"].cast("string"),
         F.lit(" → "),

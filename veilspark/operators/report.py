@@ -94,7 +94,7 @@ def token_report(df: DataFrame, dim: str, stats: str = "token_stats") -> DataFra
 def publishable(
     df: DataFrame, clean: str = "sanitized_text", region: str | Column = "FR", raw: str | None = None
 ) -> DataFrame:
-    """Rows in whose clean text a second detection pass finds nothing to replace.
+    """Rows in whose clean text a second detection pass finds nothing to replace; a null text is not published.
 
     With the ``raw`` column at hand, texts that the first pass left as they were need no second
     one: no rule undoes another, so every rule has already found nothing in them.

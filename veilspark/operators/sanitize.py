@@ -38,7 +38,7 @@ def apply_rewrites(
     """Merge replies of an external rewriter; add ``distilled_text`` and ``is_distilled``.
 
     A reply counts for an eligible text only, after its fences are gone, and if it keeps
-    enough of the text; otherwise the text stays.  Of several replies to a key the last along
+    enough of the text; otherwise the text stays. A null key is a key of its own. Of several replies to a key the last along
     ``order`` counts; without ``order``, several different ones are an error.
     """
     several = F.raise_error(F.lit("several replies to a key: name the column that orders them"))
@@ -50,7 +50,7 @@ def apply_rewrites(
     )
     match = distill_eligible(F.col(text))
     for key in on:
-        match = match & (F.col(key) == F.col(f"_{key}"))
+        match = match & F.col(key).eqNullSafe(F.col(f"_{key}"))
     accepted = rewrite_accepted(F.col(text), F.col("_rewrite"))
     kept = F.when(is_nonblank(F.col(text)), F.col(text)).when(F.col(text).isNotNull(), F.lit(""))
     return (
@@ -76,9 +76,13 @@ def process_table(
     region: str | Column = "FR",
     tokenizer="pretoken",
     diff: bool = True,
+    order: str | None = None,
     **lexicon,
 ) -> DataFrame:
-    """The full record per text: stages, optional rewrite with safety pass, token stats, diff."""
+    """The full record per text: stages, optional rewrite with safety pass, token stats, diff.
+
+    ``order`` names the column of ``rewrites`` along which the last of several replies to a key counts.
+    """
     staged = (
         sanitize_table(df, text, region, **lexicon)
         .withColumnRenamed("sanitized_text", "stage1_text")
@@ -87,7 +91,7 @@ def process_table(
     if rewrites is None:
         merged = staged.withColumn("is_distilled", F.lit(False)).withColumn("sanitized_text", F.col("stage1_text"))
     else:
-        merged = safety_pass(apply_rewrites(staged, rewrites, on), region, **lexicon).drop("distilled_text")
+        merged = safety_pass(apply_rewrites(staged, rewrites, on, order=order), region, **lexicon).drop("distilled_text")
     counted = merged.withColumn(
         "token_stats", token_stats(F.col("raw_text"), F.col("sanitized_text"), tokenizer)
     )

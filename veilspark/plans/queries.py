@@ -54,10 +54,10 @@ def _mapped(fn: Callable[[Column], Column], name: str = "text") -> Query:
     """A query that maps every text of the corpus; the expression is put together once."""
 
     @lru_cache(maxsize=1)
-    def expression(gateway: int) -> Column:
+    def expression(gateway: object) -> Column:
         return fn(F.col("text")).alias(name)
 
-    return lambda spark, sf: corpus(spark, sf).select(*KEYS, expression(id(SparkContext._gateway)))
+    return lambda spark, sf: corpus(spark, sf).select(*KEYS, expression(SparkContext._gateway))
 
 
 def _sanitized(spark: SparkSession, sf: str) -> DataFrame:
