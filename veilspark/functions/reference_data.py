@@ -279,9 +279,8 @@ def phone_pattern(region: str | None) -> str:
     """Anchored regex over ``+`` and digits: any known country code, or the region's own forms."""
     if region is not None and region not in PHONE_PLANS:
         raise ValueError(f"no numbering plan for the region {region!r}")
-    forms = [rf"\+(?:{phone_world()})"]
-    if region is not None:
-        forms += [phone_national(region), f"{PHONE_PLANS[region].dial_out}(?:{phone_world()})"]
+    abroad = r"\+" if region is None else rf"(?:\+|{PHONE_PLANS[region].dial_out})"
+    forms = [f"{abroad}(?:{phone_world()})"] + ([phone_national(region)] if region else [])
     return "^(?:" + "|".join(forms) + ")$"
 
 
