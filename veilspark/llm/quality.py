@@ -188,4 +188,4 @@ def drop_poor(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
     seed = options.setdefault("seed", 11)
     kept = quality_weights(docs, labels, text=text, doc_id=doc_id, **options).where("kept")
     kept = kept.select(F.col("row").alias("_kept_row")).distinct()
-    return docs.join(kept, F.xxhash64(F.lit(seed), docs[doc_id], docs[text].cast("string")) == F.col("_kept_row"), "left_semi")
+    return docs.join(kept, F.xxhash64(F.lit(seed), docs[doc_id], docs[text].cast("string")) == kept["_kept_row"], "left_semi")
