@@ -92,43 +92,26 @@ def has_piece(value: Column, width: int) -> Column:
 
 
 def shannon_entropy(value: Column) -> Column:
-    """Shannon entropy of the characters, in bits per character; 0 for the empty text."""
+    """Shannon entropy of the characters, in bits per character; 0 for the empty text.
+
+    The characters are sorted and cut into runs, so the cost does not grow with the alphabet.
+    """
 
     def bits(count: Column, size: Column) -> Column:
         share = count / size
         return -share * F.log2(share)
 
-    def few(v: Column, size: Column, chars: Column) -> Column:
-        def count(char: Column) -> Column:
-            return size - F.char_length(F.replace(v, char, F.lit("")))
-
-        return F.aggregate(chars, F.lit(0.0), lambda acc, char: acc + bits(count(char), size))
-
-    def many(v: Column, size: Column) -> Column:
-        # One pass per character would be slow over a large alphabet; sort and cut instead.
-        def over(chars: Column) -> Column:
-            starts = F.filter(
-                F.sequence(F.lit(0), size - 1),
-                lambda i: (i == 0) | (F.get(chars, i) != F.get(chars, i - 1)),
-            )
+    def over(chars: Column) -> Column:
+        size = F.size(chars)
+        starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(chars, i) != F.get(chars, i - 1)))
 
-            def lengths(cut: Column) -> Column:
-                return F.transform(cut, lambda start, k: F.coalesce(F.get(cut, k + 1), size) - start)
+        def total(cut: Column) -> Column:
+            counts = F.transform(cut, lambda start, k: F.coalesce(F.get(cut, k + 1), size) - start)
+            return F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + bits(n, size))
 
-            return F.aggregate(let(starts, lengths), F.lit(0.0), lambda acc, n: acc + bits(n, size))
+        return let(starts, total)
 
-        return let(F.sort_array(F.split(v, "")), over)
-
-    def body(v: Column) -> Column:
-        size = F.char_length(v)
-        return let(
-            F.array_distinct(F.split(v, "")),
-            lambda chars: F.when(size == 0, F.lit(0.0))
-            .when(F.size(chars) <= 256, few(v, size, chars))
-            .when(size > 0, many(v, size)),
-        )
-
-    return let(value, body)
+    return let(value, lambda v: F.when(v == "", F.lit(0.0)).when(v.isNotNull(), let(F.sort_array(F.split(v, "")), over)))
 
 
 def luhn_ok(digits: Column) -> Column:
