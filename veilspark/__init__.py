@@ -13,6 +13,7 @@ from veilspark.functions.rewrite import chat_request, distill_eligible, prompt_r
 from veilspark.functions.rules import apply_rule, rules_table
 from veilspark.functions.sanitize import sanitize, sanitize_text
 from veilspark.functions.secrets import clean_stage1, normalize_values, redact_high_entropy, redact_secrets
+from veilspark.functions.spans import spans_table
 from veilspark.functions.tokens import count_pretokens, count_words, stats_label, token_stats
 from veilspark.operators.diff_rows import diff_rows
 from veilspark.operators.report import findings_table, noisiest, publishable, redaction_report, token_report
@@ -40,6 +41,6 @@ __all__ = [
     "read_collapsed", "read_event_runs", "read_updates", "redact_card", "redact_email", "redact_high_entropy", "redact_iban",
     "redact_phone", "redact_pii", "redact_secrets", "redact_ssn", "redaction_report", "render_diff", "reply_text",
     "result_json", "rewrite_accepted", "rules_table", "safety_pass", "sanitize", "sanitize_conversations",
-    "sanitize_stream", "sanitize_table", "sanitize_text", "sanitize_turns", "split_lines", "spread", "stats_label", "strip_fences",
+    "sanitize_stream", "sanitize_table", "sanitize_text", "sanitize_turns", "spans_table", "split_lines", "spread", "stats_label", "strip_fences",
     "token_report", "token_stats", "with_diff", "write_texts",
 ]

@@ -30,6 +30,7 @@ from veilspark.functions.rules import (
     rule,
 )
 from veilspark.functions.skeleton import LOOKALIKES, WORD_PATTERN
+from veilspark.functions.spans import FIRST, FURTHER, KEPT, SPAN_RULES
 from veilspark.functions.tokens import TOKEN_PATTERN, WORD_FACTOR
 from veilspark.plans.corpus import CORPUS_SQL, LOGS_SQL, REPLY_BODY_SQL, REPLY_SQL
 
@@ -267,6 +268,60 @@ def sanitized_ctes(base: str | None = None, keys: str = K, p: str = "s", out: st
     return ", ".join(parts)
 
 
+
+
+# ---- Places of findings: hits become stand-ins of their length, places are window sums over pieces -----------
+
+
+def stand_in_sql(x: str, name: str) -> str:
+    k = SPAN_RULES.index(name)
+    return f"concat(chr({FIRST + k}), repeat(chr({FURTHER + k}), (length({x}) - 1)::BIGINT))"
+
+
+def marked_rule_sql(r: Rule) -> str:
+    pattern = ("(?i)" if r.ignore_case else "") + r.pattern
+    front, back = KEPT.get(r.name, ("", ""))
+    if not front:
+        return replace_where_sql("t", pattern, stand_in_sql("h", r.name))
+    kept = f"regexp_replace(h, {q(pattern)}, {q(front.replace('$', chr(92)))})"
+    value = f"substr(h, length({kept}) + 1, length(h) - length({kept}) - {len(back)})"
+    return replace_where_sql("t", pattern, f"concat({kept}, {stand_in_sql(value, r.name)}, {q(back)})")
+
+
+def marked_ctes(out: str) -> str:
+    def unmarked(step: str, marker: str, name: str) -> str:
+        return step.replace(q(marker), stand_in_sql("h", name))
+
+    steps = [
+        rule_sql("t", STAGE1_RULES[0]),
+        *(marked_rule_sql(r) for r in STAGE1_RULES[1:]),
+        unmarked(ENTROPY, HIGH_ENTROPY_MARKER, "high_entropy"),
+        *(marked_rule_sql(r) for r in (*NORMALIZE_RULES, rule("ssn"))),
+        unmarked(EMAIL, P.EMAIL_MARKER, "email"),
+        unmarked(CARD, P.CARD_MARKER, "card"),
+        unmarked(IBAN, P.IBAN_MARKER, "iban"),
+        unmarked(PHONE, P.PHONE_MARKER, "phone"),
+    ]
+    ctes, last = steps_ctes(steps)
+    own, codes = rf"[\x{{{FIRST:X}}}-\x{{{FURTHER - 1:X}}}][\x{{{FURTHER:X}}}-\x{{{FURTHER + 127:X}}}]*", STAGE1_RULES[0].pattern
+
+    def pieces(name: str, column: str, pattern: str, source: str) -> str:
+        return f"""{name}_p AS (SELECT {K}, h, i, coalesce(length(g), 0) AS lead, coalesce(length(h), 0) AS len FROM
+            (SELECT {K}, unnest(regexp_extract_all({column}, {q(pattern)})) AS h, unnest(string_split_regex({column}, {q(pattern)})) AS g,
+                    generate_subscripts(string_split_regex({column}, {q(pattern)}), 1) AS i FROM {source} WHERE regexp_matches({column}, {q(pattern)})))"""
+
+    rules = "[" + ", ".join(q(name) for name in SPAN_RULES) + "]"
+    return f"""{ctes}, {pieces('hit', 't', own, last)}, {pieces('code', 'text', codes, 's0')},
+      hits AS (SELECT * FROM (SELECT {K}, h, len, sum(lead) OVER w + sum(len) OVER w - len AS at FROM hit_p
+               WINDOW w AS (PARTITION BY {K} ORDER BY i)) WHERE h IS NOT NULL),
+      codes AS (SELECT * FROM (SELECT {K}, h, len, sum(lead) OVER w AS at FROM code_p
+                WINDOW w AS (PARTITION BY {K} ORDER BY i)) WHERE h IS NOT NULL),
+      {out} AS (SELECT {K}, {rules}[unicode(hits.h) - {FIRST} + 1] AS rule,
+                (hits.at + coalesce(sum(codes.len) FILTER (codes.at <= hits.at), 0))::BIGINT AS span_start,
+                (hits.at + hits.len + coalesce(sum(codes.len) FILTER (codes.at < hits.at + hits.len), 0))::BIGINT AS span_end
+                FROM hits LEFT JOIN codes USING ({K}) GROUP BY {K}, hits.h, hits.at, hits.len)"""
+
+
 DOCS0 = "s0 AS (SELECT *, text AS t FROM documents)"
 REPLIES = f"replies AS (SELECT doc_id, {REPLY_SQL} AS reply FROM (SELECT *, {REPLY_BODY_SQL} AS body FROM documents))"
 
@@ -519,6 +574,7 @@ ORACLE: dict[str, str] = {
     "clean_stage1": f"WITH {clean_ctes('c')} SELECT {K}, t AS text FROM c",
     "redact_pii": mapped(*PII_STEPS),
     "sanitize_full": f"WITH {sanitized_ctes()} SELECT {K}, t AS text, flagged_profanity FROM clean",
+    "finding_spans": f"WITH {marked_ctes('spans')} SELECT * FROM spans",
     "findings": f"WITH {sanitized_ctes()}, {found_ctes('clean', K)} SELECT {K}, rule, n FROM found",
     "redaction_report": f"""WITH {sanitized_ctes()}, {found_ctes('clean', K + ', source, lang')},
         total AS (SELECT {K}, source, lang, 'ALL' AS rule, sum(n) AS n FROM found GROUP BY {K}, source, lang)

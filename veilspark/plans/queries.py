@@ -18,6 +18,7 @@ from veilspark.functions.rewrite import chat_request, distill_eligible, prompt_r
 from veilspark.functions.rules import ALL_RULES
 from veilspark.functions.sanitize import sanitize_text_column
 from veilspark.functions.skeleton import WORD_PATTERN
+from veilspark.functions.spans import spans_table
 from veilspark.functions.secrets import clean_stage1, redact_high_entropy
 from veilspark.functions.tokens import count_pretokens, count_words, stats_label, token_stats
 from veilspark.operators import report as R
@@ -303,6 +304,11 @@ def findings_query(spark, sf):
     return R.findings_table(_sanitized(spark, sf), KEYS)
 
 
+def finding_spans(spark, sf):
+    """Where in the raw texts each rule fires."""
+    return spans_table(corpus(spark, sf), KEYS)
+
+
 def redaction_report(spark, sf):
     return R.redaction_report(_sanitized(spark, sf), ["source", "lang"])
 
@@ -438,6 +444,7 @@ QUERIES: dict[str, Query] = {
     "redact_pii": _mapped(redact_pii),
     "sanitize_full": sanitize_full,
     "findings": findings_query,
+    "finding_spans": finding_spans,
     "redaction_report": redaction_report,
     "token_report": token_report,
     "publishable": publishable,
