@@ -258,3 +258,29 @@ def test_benchmark_leaks(spark, rows):
     assert drop_leaks(empty(spark), bench).count() == 0 and drop_leaks(df, bench.where("false")).count() == len(docs)
     assert benchmark_leaks(empty(spark), bench).count() == 0
     assert benchmark_leaks(df, bench.where("false")).count() == 0
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2^64."""
+    pairs = []
+    for n in (1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        pairs.append(("".join("ab"[b] for b in bits), "".join("ab"[1 - b] for b in bits)))
+    rest = " ".join(prose(9, 30))
+    rows = [(10 * i + j, f"{word} {rest}" if alone else " ".join([word] * 25)) for i, (pair, alone) in enumerate((p, a) for p in pairs for a in (0, 1)) for j, word in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    single = [(i, t) for i, t in rows if len(set(t.split())) == 1]
+    groups = near_groups(spark.createDataFrame(single, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in groups} == {i: i for i, _ in single}
+    kept = {r.doc_id: r.n_removed for r in remove_repeats(docs, width=20).collect()}
+    seen, expected = set(), {}
+    for i, text in rows:
+        words = text.split()
+        gone = set()
+        for p in range(len(words) - 19):
+            window = tuple(words[p : p + 20])
+            if window in seen:
+                gone |= set(range(p, p + 20))
+            seen.add(window)
+        expected[i] = len(gone)
+    assert kept == expected

@@ -1,9 +1,11 @@
 """Mixing, quality, languages, licences and token counts."""
 
 import base64
+import re
 from collections import Counter
 
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from tests.llm.test_dedup import empty, prose, table
@@ -11,7 +13,7 @@ from veilspark.llm.langid import detect_language
 from veilspark.llm.licenses import bigrams, dice, scan_licenses
 from veilspark.llm.mixing import mix, sainte_lague
 from veilspark.llm.quality import drop_poor, kth_largest, quality_weights
-from veilspark.llm.queries import VOCABULARY
+from veilspark.llm.queries import VOCABULARY, op2_token_counts
 from veilspark.llm.token_rollup import PATTERN, Rollup, _stretches, count_tokens, revised, signed
 
 SF = "/root/testdata/sf0.001"
@@ -136,6 +138,19 @@ def test_token_counts(spark):
     assert sum(len(plain.encode_ordinary(s)) for s in _stretches(long)) == len(plain.encode_ordinary(long))
 
 
+def test_query_of_token_counts_equals_a_recount(spark):
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(VOCABULARY.removeprefix("file://")))}
+    plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected: dict = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        counts = {"byte_bpe_50k": len(plain.encode_ordinary(r.text or "")), "words": len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))}
+        for tokenizer, n in counts.items():
+            docs, tokens = expected.get((r.source, r.lang, tokenizer), (0, 0))
+            expected[r.source, r.lang, tokenizer] = (docs + 1, tokens + n)
+    got = {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in op2_token_counts(spark, SF).collect()}
+    assert got == expected
+
+
 def test_rollup(spark, tmp_path):
     rows = [("a", "en", 10), ("a", "en", 5), (None, "de", 7), ("b", None, None)]
     docs = spark.createDataFrame(rows, "source string, lang string, tokens bigint")

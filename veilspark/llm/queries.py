@@ -33,14 +33,36 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch of inserts, under a BPE vocabulary and under plain words."""
+    """Totals of all documents after a history of batches, under a BPE vocabulary and under plain words.
+
+    All documents come without a language and, for words, with an estimate; labelled ones come twice. Then their
+    languages and counts are revised and the second copies deleted, the first batch is repeated, batches are folded
+    and a folded one is repeated. The totals are those of one count over all documents.
+    """
     docs = table(spark, sf_dir, "documents").select(
-        "source", "lang", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("words")
+        "doc_id", "source", "lang", "text",
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("words"),
+        F.ceil(F.coalesce(F.char_length("text"), F.lit(0)) / 6).alias("guess"),
     )
     counted = written(count_tokens(docs, VOCABULARY), "counted")
+    extra = counted.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def rows(df: DataFrame, tokens: str, known: bool) -> DataFrame:
+        lang = F.col("lang") if known else F.lit(None)
+        return df.select("source", lang.cast("string").alias("lang"), F.col(tokens).alias("tokens"))
+
+    def deltas(df: DataFrame, sign: int, guessed: bool) -> DataFrame:
+        bpe = signed(rows(df, "tokens", not guessed), sign, "byte_bpe_50k")
+        return bpe.unionByName(signed(rows(df, "guess" if guessed else "words", not guessed), sign, "words"))
+
     rollup = Rollup(spark, new_path(spark, "rollup"))
-    words = counted.select("source", "lang", F.col("words").alias("tokens"))
-    rollup.commit("insert-1", signed(counted, 1, "byte_bpe_50k").unionByName(signed(words, 1, "words")))
+    rollup.commit("insert-1", deltas(counted, 1, True))
+    rollup.commit("insert-2", deltas(extra, 1, True))
+    rollup.commit("revise-1", deltas(counted, -1, True).unionByName(deltas(counted, 1, False)))
+    rollup.commit("insert-1", deltas(counted, 1, True))
+    rollup.compact("folded")
+    rollup.commit("delete-1", deltas(extra, -1, True))
+    rollup.commit("revise-1", deltas(counted, -1, True).unionByName(deltas(counted, 1, False)))
     return rollup.totals()
 
 

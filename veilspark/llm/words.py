@@ -1,7 +1,8 @@
 """Words and n-gram hashes of a batch of texts, as numpy arrays.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D. Hashes are 64 bits wide and depend
-on the bytes of the words only, so they agree across tasks, machines and runs.
+on the bytes of the words only, so they agree across tasks, machines and runs. Long words are hashed by
+BLAKE2b: over hundreds of bytes a polynomial modulo 2^64 has collisions that anyone can write down.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ import pyarrow as pa
 #: A batch is cut into pieces of about this many bytes of text; one longer text is a piece of its own.
 PIECE_BYTES = 4 << 20
 
+#: Words of more bytes are hashed by BLAKE2b, shorter ones by a polynomial over random constants.
+LONG_WORD = 64
+_LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -60,16 +65,23 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A hash per word; ``lower`` takes A-Z as a-z."""
-        n = len(self.starts)
-        if not n:
-            return np.zeros(0, np.uint64)
         lengths = self.ends - self.starts
+        out, short = np.zeros(len(lengths), np.uint64), lengths <= LONG_WORD
+        if short.any():
+            out[short] = self._short(self.starts[short], lengths[short], _LOWER if lower else _BYTE)
+        for i in np.flatnonzero(~short):
+            word = self.data[self.starts[i] : self.ends[i]].tobytes()
+            digest = hashlib.blake2b(word.translate(_LOWERED) if lower else word, digest_size=8).digest()
+            out[i] = np.frombuffer(digest, "<u8")[0]
+        return out
+
+    def _short(self, starts: np.ndarray, lengths: np.ndarray, value: np.ndarray) -> np.ndarray:
         at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         inside = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
         powers = np.full(int(lengths.max()), _BASE, np.uint64)
         powers[0] = 1
         powers = np.cumprod(powers, dtype=np.uint64)
-        terms = (_LOWER if lower else _BYTE)[self.data[inside + np.repeat(self.starts, lengths)]]
+        terms = value[self.data[inside + np.repeat(starts, lengths)]]
         terms *= powers[inside]
         return mix(np.add.reduceat(terms, at) + lengths.astype(np.uint64))
 
