@@ -13,7 +13,7 @@ from veilspark.operators.tables import censor_by_lexicon, find_by_lexicon, flag_
 from veilspark.sources.texts import load_texts, new_dir, nonblank, write_texts
 from veilspark.streaming import jobs as S
 from veilspark.streaming.collapse import collapse_event_stream, read_event_runs
-from veilspark.streaming.sinks import merge_folders, read_updates, saved
+from veilspark.streaming.sinks import merge_folders, newest, read_updates, saved
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -281,8 +281,8 @@ def test_sinks_keep_few_folders(spark, tmp_path):
         assert len(folders()) <= 2 * 4 + 3
     got = {r.k: (r.at, r.v) for r in read_updates(spark, out, ["k"], ["at"]).collect()}
     assert got == {k: (at, v) for k, (at, _, v) in want.items()}
-    merge_folders(spark, out, ["k"], ["at"], 29)
-    merge_folders(spark, out, ["k"], ["at"], 29)
+    merge_folders(spark, out, 29, lambda rows: newest(rows, ["k"], ["at"]))
+    merge_folders(spark, out, 29, lambda rows: newest(rows, ["k"], ["at"]))
     assert {r.k: (r.at, r.v) for r in read_updates(spark, out, ["k"], ["at"]).collect()} == got
     with pytest.raises(ValueError):
         read_updates(spark, str(tmp_path / "none"), ["k"])

@@ -16,6 +16,7 @@ from veilspark.functions.secrets import clean_stage1, normalize_values, redact_h
 from veilspark.functions.spans import spans_table
 from veilspark.functions.tokens import count_pretokens, count_words, stats_label, token_stats
 from veilspark.operators.diff_rows import diff_rows
+from veilspark.operators.kept_report import KeptReport
 from veilspark.operators.report import findings_table, noisiest, publishable, redaction_report, token_report
 from veilspark.operators.runs import collapse_rows, find_runs, prune_rows
 from veilspark.operators.sanitize import apply_rewrites, process_table, result_json, safety_pass, sanitize_table
@@ -33,7 +34,7 @@ from veilspark.streaming.jobs import collapse_stream, latest_stream, marker_coun
 from veilspark.streaming.sinks import read_updates
 
 __all__ = [
-    "apply_rewrites", "apply_rule", "censor_by_lexicon", "censor_profanity", "chat_request", "clean_lines", "clean_stage1",
+    "KeptReport", "apply_rewrites", "apply_rule", "censor_by_lexicon", "censor_profanity", "chat_request", "clean_lines", "clean_stage1",
     "collapse_duplicates", "collapse_event_stream", "collapse_rows", "collapse_stream", "count_pretokens", "count_words", "diff_matches", "diff_rows",
     "distill_eligible", "find_by_lexicon", "find_runs", "findings", "findings_table", "flag_by_lexicon", "flag_profanity",
     "latest_per_source", "latest_stream", "load_texts", "marker_count_stream", "noisiest", "nonblank",

@@ -20,6 +20,29 @@ def findings_table(df: DataFrame, keys: list[str], clean: str = "sanitized_text"
     return df.select(*keys, F.explode(findings(F.col(clean))).alias("f")).select(*keys, "f.rule", "f.n")
 
 
+def with_total(found: Column) -> Column:
+    """The findings of a text and, if there are any, their sum under the rule ``ALL``."""
+
+    def body(f: Column) -> Column:
+        everything = F.aggregate(f, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+        total = F.struct(F.lit(TOTAL).alias("rule"), everything.alias("n"))
+        return F.when(F.size(f) > 0, F.concat(f, F.array(total))).otherwise(f)
+
+    return let(found, body)
+
+
+def cubed(counts: DataFrame, dims: list[str], *more: Column) -> DataFrame:
+    """Counts by (dims, rule) with the subtotals of all dimensions, but not of the rule."""
+    cube = counts.cube(*dims, "rule").agg(
+        *[(F.grouping(d) == 1).alias(f"{d}_total") for d in dims],
+        F.sum("n_docs").alias("n_docs"),
+        F.sum("n_findings").alias("n_findings"),
+        *more,
+        F.grouping("rule").alias("_g"),
+    )
+    return cube.where("_g = 0").drop("_g")
+
+
 def redaction_report(df: DataFrame, dims: list[str], clean: str = "sanitized_text") -> DataFrame:
     """Documents and findings per dimension value and rule, with all subtotals.
 
@@ -29,24 +52,12 @@ def redaction_report(df: DataFrame, dims: list[str], clean: str = "sanitized_tex
     Each text adds one row per rule plus one for the total, which replaces a distinct count.
     The cube runs over the small pre-aggregated table, not over the texts.
     """
-
-    def with_total(found: Column) -> Column:
-        everything = F.aggregate(found, F.lit(0).cast("long"), lambda acc, f: acc + f["n"])
-        total = F.struct(F.lit(TOTAL).alias("rule"), everything.alias("n"))
-        return F.when(F.size(found) > 0, F.concat(found, F.array(total))).otherwise(found)
-
     base = (
-        df.select(*dims, F.explode(let(findings(F.col(clean)), with_total)).alias("f"))
+        df.select(*dims, F.explode(with_total(findings(F.col(clean)))).alias("f"))
         .groupBy(*dims, "f.rule")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("f.n").alias("n_findings"))
     )
-    cubed = base.cube(*dims, "rule").agg(
-        *[(F.grouping(d) == 1).alias(f"{d}_total") for d in dims],
-        F.sum("n_docs").alias("n_docs"),
-        F.sum("n_findings").alias("n_findings"),
-        F.grouping("rule").alias("_g"),
-    )
-    return cubed.where("_g = 0").drop("_g")
+    return cubed(base, dims)
 
 
 def token_report(df: DataFrame, dim: str, stats: str = "token_stats") -> DataFrame:
@@ -64,31 +75,27 @@ def token_report(df: DataFrame, dim: str, stats: str = "token_stats") -> DataFra
         .groupBy(dim, "pct")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw"), F.sum("saved").alias("saved"))
     )
+    return token_quantiles(histogram, dim)
+
+
+def token_quantiles(histogram: DataFrame, dim: str, *more: Column) -> DataFrame:
+    """The token report from a histogram (dim, pct, n, raw, saved) of the reduction."""
 
     def quantile(p: float) -> Column:
         return F.round(F.percentile("pct", F.lit(p), F.col("n")), 4)
 
-    return (
-        histogram.rollup(dim)
-        .agg(
-            (F.grouping(dim) == 1).alias(f"{dim}_total"),
-            F.sum("n").alias("n_docs"),
-            F.sum("raw").alias("raw_tokens"),
-            F.sum("saved").alias("saved_tokens"),
-            quantile(0.5).alias("median_percent"),
-            quantile(0.9).alias("p90_percent"),
-        )
-        .select(
-            dim,
-            f"{dim}_total",
-            "n_docs",
-            "raw_tokens",
-            "saved_tokens",
-            reduction_percent(F.col("raw_tokens"), F.col("saved_tokens")).alias("reduction_percent"),
-            "median_percent",
-            "p90_percent",
-        )
+    sums = histogram.rollup(dim).agg(
+        (F.grouping(dim) == 1).alias(f"{dim}_total"),
+        F.sum("n").alias("n_docs"),
+        F.sum("raw").alias("raw_tokens"),
+        F.sum("saved").alias("saved_tokens"),
+        quantile(0.5).alias("median_percent"),
+        quantile(0.9).alias("p90_percent"),
+        *more,
     )
+    reduction = reduction_percent(F.col("raw_tokens"), F.col("saved_tokens")).alias("reduction_percent")
+    first = [dim, f"{dim}_total", "n_docs", "raw_tokens", "saved_tokens"]
+    return sums.select(*first, reduction, *sums.columns[len(first):])
 
 
 def publishable(

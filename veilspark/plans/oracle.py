@@ -622,3 +622,6 @@ ORACLE: dict[str, str] = {
         SELECT source, event_id, t AS text FROM clean
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC, event_id DESC) = 1""",
 }
+# Reports kept by batches equal those of the whole table; every text is a document of its own.
+ORACLE["kept_redactions"] = f"SELECT *, true AS distinct_near FROM ({ORACLE['redaction_report']})"
+ORACLE["kept_tokens"] = ORACLE["token_report"]

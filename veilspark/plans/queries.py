@@ -23,6 +23,7 @@ from veilspark.functions.secrets import clean_stage1, redact_high_entropy
 from veilspark.functions.tokens import count_pretokens, count_words, stats_label, token_stats
 from veilspark.operators import report as R
 from veilspark.operators.diff_rows import diff_rows
+from veilspark.operators.kept_report import KeptReport
 from veilspark.operators.runs import collapse_rows, prune_rows
 from veilspark.operators.sanitize import (
     RESULT_SCHEMA,
@@ -317,6 +318,29 @@ def token_report(spark, sf):
     return R.token_report(_processed(spark, sf), "source")
 
 
+def _kept(spark, sf) -> KeptReport:
+    """Reports from four batches, one of them added twice, and a merge in between."""
+    report = KeptReport(spark, new_dir(spark, "report"), ["source", "lang"], KEYS)
+    parts = ["corpus = 'documents'", "corpus = 'pages'", "corpus = 'conversations'", "corpus = 'logs'"]
+    done = process_table(corpus(spark, sf), KEYS, diff=False)
+    for number, part in enumerate(parts):
+        report.add(number, done.where(part))
+        if number == 1:
+            report.add(number, done.where(part))
+            report.merge(number)
+    return report
+
+
+def kept_redactions(spark, sf):
+    """The redaction report from batches; the estimate of different documents is tested, not returned."""
+    near = F.abs(F.col("distinct_docs") / F.col("n_docs") - 1) <= 0.05
+    return _kept(spark, sf).redaction().withColumn("distinct_near", near).drop("distinct_docs")
+
+
+def kept_tokens(spark, sf):
+    return _kept(spark, sf).tokens("source").drop("median_tokens", "p90_tokens")
+
+
 def publishable(spark, sf):
     return R.publishable(_sanitized(spark, sf), raw="text").select(*KEYS, F.col("sanitized_text").alias("text"))
 
@@ -447,6 +471,8 @@ QUERIES: dict[str, Query] = {
     "finding_spans": finding_spans,
     "redaction_report": redaction_report,
     "token_report": token_report,
+    "kept_redactions": kept_redactions,
+    "kept_tokens": kept_tokens,
     "publishable": publishable,
     "leak_gate": leak_gate,
     "noisiest_docs": noisiest_docs,

@@ -61,14 +61,14 @@ def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(last).select(*keys, "_v.*")
 
 
-def merge_folders(spark: SparkSession, out: str, keys: list[str], order: list[str], number: int) -> None:
-    """Merge all up to batch ``number``, then remove what the merge before this one covers."""
+def merge_folders(spark: SparkSession, out: str, number: int, combine: Callable[[DataFrame], DataFrame]) -> None:
+    """Merge all up to batch ``number`` by ``combine``, then remove what the merge before this one covers."""
     before = _numbers(spark, f"{out}/{_MERGED}", "upto", complete=True)
     if number not in before:
         rows = written_rows(spark, out, number)
         if rows is None:
             return
-        newest(rows, keys, order).write.mode("overwrite").parquet(f"{out}/{_MERGED}/upto={number}")
+        combine(rows).write.mode("overwrite").parquet(f"{out}/{_MERGED}/upto={number}")
     older = [n for n in before if n < number]
     if older:
         for n in _numbers(spark, out, "batch"):
@@ -86,7 +86,7 @@ def saved(
     spark = batch.sparkSession
     batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
     if keys and number % merge_every == merge_every - 1:
-        merge_folders(spark, out, keys, order, number)
+        merge_folders(spark, out, number, lambda rows: newest(rows, keys, order))
 
 
 def batch_sink(
