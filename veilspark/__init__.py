@@ -28,9 +28,11 @@ from veilspark.operators.tables import (
     sanitize_conversations,
     sanitize_turns,
 )
+from veilspark.sources.batches import read_batches, write_batch
 from veilspark.sources.texts import load_texts, nonblank, spread, write_texts
 from veilspark.streaming.collapse import collapse_event_stream, read_event_runs
 from veilspark.streaming.jobs import collapse_stream, latest_stream, marker_count_stream, read_collapsed, sanitize_stream
+from veilspark.streaming.sessions import session_stream
 from veilspark.streaming.sinks import read_updates
 
 __all__ = [
@@ -39,9 +41,9 @@ __all__ = [
     "distill_eligible", "find_by_lexicon", "find_runs", "findings", "findings_table", "flag_by_lexicon", "flag_profanity",
     "latest_per_source", "latest_stream", "load_texts", "marker_count_stream", "noisiest", "nonblank",
     "normalize_values", "process_table", "profanity_hits", "prompt_request", "prune_frames", "prune_rows", "publishable",
-    "read_collapsed", "read_event_runs", "read_updates", "redact_card", "redact_email", "redact_high_entropy", "redact_iban",
+    "read_batches", "read_collapsed", "read_event_runs", "read_updates", "redact_card", "redact_email", "redact_high_entropy", "redact_iban",
     "redact_phone", "redact_pii", "redact_secrets", "redact_ssn", "redaction_report", "render_diff", "reply_text",
     "result_json", "rewrite_accepted", "rules_table", "safety_pass", "sanitize", "sanitize_conversations",
-    "sanitize_stream", "sanitize_table", "sanitize_text", "sanitize_turns", "spans_table", "split_lines", "spread", "stats_label", "strip_fences",
-    "token_report", "token_stats", "with_diff", "write_texts",
+    "sanitize_stream", "sanitize_table", "sanitize_text", "sanitize_turns", "session_stream", "spans_table", "split_lines", "spread", "stats_label", "strip_fences",
+    "token_report", "token_stats", "with_diff", "write_batch", "write_texts",
 ]

@@ -625,3 +625,13 @@ ORACLE: dict[str, str] = {
 # Reports kept by batches equal those of the whole table; every text is a document of its own.
 ORACLE["kept_redactions"] = f"SELECT *, true AS distinct_near FROM ({ORACLE['redaction_report']})"
 ORACLE["kept_tokens"] = ORACLE["token_report"]
+ORACLE["sink_batches"] = ORACLE["sink_roundtrip"]
+ORACLE["stream_sessions"] = f"""WITH {LOGS_CLEAN}, {found_ctes('clean', 'event_id')},
+    e AS (SELECT source, c.event_id, c.ts::TIMESTAMP AS ts, coalesce(f.n, 0) AS n FROM clean c
+          LEFT JOIN (SELECT event_id, sum(n) AS n FROM found GROUP BY event_id) f ON f.event_id = c.event_id),
+    g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 MINUTE THEN 0 ELSE 1 END AS fresh FROM e
+          WINDOW w AS (PARTITION BY source ORDER BY ts, event_id)),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY source ORDER BY ts, event_id) AS island FROM g)
+    SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, source, count(*) AS n_texts, sum(n)::BIGINT AS n_findings
+    FROM i GROUP BY source, island
+    HAVING max(ts) + INTERVAL 6 MINUTE <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR"""

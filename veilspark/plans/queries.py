@@ -42,9 +42,11 @@ from veilspark.operators.tables import (
     sanitize_turns,
 )
 from veilspark.plans.corpus import corpus, logs, logs_from, replies, table, texts
+from veilspark.sources.batches import read_batches, write_batch
 from veilspark.sources.texts import load_texts, new_dir, nonblank, spread_tasks, write_texts
 from veilspark.streaming import jobs as S
 from veilspark.streaming.collapse import collapse_event_stream, read_event_runs
+from veilspark.streaming.sessions import session_stream
 from veilspark.streaming.sinks import read_updates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +100,17 @@ def sink_roundtrip(spark, sf):
     return spark.read.parquet(path).select(*KEYS, F.col("lang").cast("string").alias("lang"), "sanitized_text")
 
 
+def sink_batches(spark, sf):
+    """Two batches, the first written again after an attempt with other rows."""
+    path, clean = new_dir(spark, "batches"), _sanitized(spark, sf).select(*KEYS, "lang", "sanitized_text")
+    documents = F.col("corpus") == "documents"
+    write_batch(clean.where(~documents), path, 0, partition_by=("lang",), compact=True)
+    write_batch(clean.where(documents), path, 1, partition_by=("lang",), compact=True)
+    write_batch(clean.where(~documents), path, 0, partition_by=("lang",), compact=True)
+    schema = "corpus string, id bigint, part bigint, sanitized_text string, lang string"
+    return read_batches(spark, path, schema).select(*KEYS, "lang", "sanitized_text")
+
+
 def latest(spark, sf):
     newest = latest_per_source(logs(spark, sf), "source", ["ts", "event_id"])
     return newest.select("source", "event_id", sanitize_text_column("text").alias("text"))
@@ -419,11 +432,23 @@ def stream_event_runs(spark, sf):
     return runs.select("user_id", "first_event_id", "last_event_id", "line", "n")
 
 
+def stream_sessions(spark, sf):
+    """Sessions of each kind of event, closed by six minutes of silence; those still open at the end are not out."""
+    out = new_dir(spark, "stream-sessions")
+    source = logs_from(_events_stream(spark, sf))
+    session_stream(source, out, out + "-checkpoint", ["event_id"], gap="6 minutes", delay="1 hour").awaitTermination()
+    sessions = spark.read.parquet(out)
+    return sessions.select(
+        F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "source", "n_texts", "n_findings"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "scan_documents": scan_documents,
     "sanitize_pipeline": sanitize_pipeline,
     "record_full": record_full,
     "sink_roundtrip": sink_roundtrip,
+    "sink_batches": sink_batches,
     "stream_sanitize": stream_sanitize,
     "latest_per_source": latest,
     "result_json": result_json_query,
@@ -482,4 +507,5 @@ QUERIES: dict[str, Query] = {
     "stream_marker_counts": stream_marker_counts,
     "stream_latest": stream_latest,
     "stream_event_runs": stream_event_runs,
+    "stream_sessions": stream_sessions,
 }

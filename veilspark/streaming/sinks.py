@@ -25,7 +25,7 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _numbers(spark: SparkSession, path: str, name: str, complete: bool = False) -> list[int]:
+def folder_numbers(spark: SparkSession, path: str, name: str, complete: bool = False) -> list[int]:
     """The numbers N of the folders ``name=N`` below a path, in order; on request only complete ones."""
     files, place = _folder(spark, path)
     if not files.exists(place):
@@ -35,16 +35,16 @@ def _numbers(spark: SparkSession, path: str, name: str, complete: bool = False)
     return [n for n in found if not complete or files.exists(_folder(spark, f"{path}/{name}={n}/_SUCCESS")[1])]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_folder(spark: SparkSession, path: str) -> None:
     files, place = _folder(spark, path)
     files.delete(place, True)
 
 
 def written_rows(spark: SparkSession, out: str, upto: int | None = None) -> DataFrame | None:
     """The rows of the newest complete merge and of the batches after it (``batch`` tells them apart)."""
-    merged = [n for n in _numbers(spark, f"{out}/{_MERGED}", "upto", complete=True) if upto is None or n <= upto]
+    merged = [n for n in folder_numbers(spark, f"{out}/{_MERGED}", "upto", complete=True) if upto is None or n <= upto]
     after = merged[-1] if merged else -1
-    batches = [n for n in _numbers(spark, out, "batch", complete=True) if n > after and (upto is None or n <= upto)]
+    batches = [n for n in folder_numbers(spark, out, "batch", complete=True) if n > after and (upto is None or n <= upto)]
     parts = [spark.read.parquet(f"{out}/{_MERGED}/upto={after}")] if merged else []
     if batches:
         fresh = spark.read.option("basePath", out).parquet(*(f"{out}/batch={n}" for n in batches))
@@ -63,7 +63,7 @@ def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def merge_folders(spark: SparkSession, out: str, number: int, combine: Callable[[DataFrame], DataFrame]) -> None:
     """Merge all up to batch ``number`` by ``combine``, then remove what the merge before this one covers."""
-    before = _numbers(spark, f"{out}/{_MERGED}", "upto", complete=True)
+    before = folder_numbers(spark, f"{out}/{_MERGED}", "upto", complete=True)
     if number not in before:
         rows = written_rows(spark, out, number)
         if rows is None:
@@ -71,12 +71,12 @@ def merge_folders(spark: SparkSession, out: str, number: int, combine: Callable[
         combine(rows).write.mode("overwrite").parquet(f"{out}/{_MERGED}/upto={number}")
     older = [n for n in before if n < number]
     if older:
-        for n in _numbers(spark, out, "batch"):
+        for n in folder_numbers(spark, out, "batch"):
             if n <= older[-1]:
-                _remove(spark, f"{out}/batch={n}")
-        for n in _numbers(spark, f"{out}/{_MERGED}", "upto"):
+                remove_folder(spark, f"{out}/batch={n}")
+        for n in folder_numbers(spark, f"{out}/{_MERGED}", "upto"):
             if n < older[-1]:
-                _remove(spark, f"{out}/{_MERGED}/upto={n}")
+                remove_folder(spark, f"{out}/{_MERGED}/upto={n}")
 
 
 def saved(
