@@ -7,6 +7,7 @@ import __spark_entry__ as entry_point
 from tests.compare import compare, connect
 from tests.conftest import SF
 from veilspark.functions.diff import with_diff
+from veilspark.functions.sanitize import sanitize_text_column
 from veilspark.operators.report import findings_table, publishable, redaction_report
 from veilspark.operators.sanitize import process_table, sanitize_table
 from veilspark.plans.oracle import ORACLE
@@ -47,6 +48,12 @@ def test_texts_are_cleaned_once(spark):
     assert optimized(publishable(clean)).count("eyJ[a-zA-Z0-9_-]{10,}\\.") == 2 * optimized(clean).count("eyJ[a-zA-Z0-9_-]{10,}\\.")
 
 
+def test_requests_clean_a_text_once(spark):
+    once = optimized(docs(spark).select(sanitize_text_column("text").alias("clean"))).count("<JWT truncated>")
+    for name in ("prompt_rows", "chat_rows"):
+        assert optimized(QUERIES[name](spark, SF)).count("<JWT truncated>") == once
+
+
 def test_diff_shuffles_nothing(spark):
     plan = physical(with_diff(sanitize_table(docs(spark))))
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
