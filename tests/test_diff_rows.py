@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,32 @@ def test_empty_tables(spark):
     assert diff_rows(none, none, ["source"]).collect() == []
     assert [r.change_type for r in diff_rows(none, some, ["source"]).collect()] == ["add"] * 2
     assert [r.change_type for r in diff_rows(some, none, ["source"]).collect()] == ["delete"] * 2
+
+
+def test_short_and_long_sources_are_paired_alike(spark, monkeypatch):
+    """Sources within a slice are aligned in one pass; the steps for long ones give the same rows."""
+    rng = random.Random(3)
+    old = {str(k): [rng.choice("abcdefgh") + str(rng.randrange(3)) for _ in range(rng.randrange(25))] for k in range(40)}
+    new = {k: rng.sample(v, len(v)) if rng.random() < 0.3 else [x for x in v if rng.random() < 0.8] + ["z", None] for k, v in old.items()}
+    sides = [line_table(spark, x) for x in (old, new)]
+    monkeypatch.setattr(module, "_large", lambda *_: pytest.fail("a source within a slice takes the long way"))
+    short = by_source(diff_rows(*sides, ["source"]))
+    monkeypatch.undo()
+    monkeypatch.setattr(module, "SLICE", 1)
+    long = by_source(diff_rows(*sides, ["source"]))
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert {k: sorted(v, key=order) for k, v in short.items()} == {k: sorted(v, key=order) for k, v in long.items()}
+
+
+def test_sources_across_batches():
+    rows = [(f"k{i // 7}", int(i % 7 > 3), i % 7, f"l{i % 5}") for i in range(70)]
+    names = ["_k", "side", "no", "line"]
+
+    def batch(part):
+        columns = [pa.array(c) for c in zip(*part, strict=True)]
+        return pa.record_batch([pa.StructArray.from_arrays([columns[0]], names=["source"]), *columns], ["_keys", *names])
+
+    def run(width):
+        return [r for b in module._by_source((batch(rows[i : i + width]) for i in range(0, 70, width)), 2) for r in b.to_pylist()]
+
+    assert run(1) == run(3) == run(7) == run(10) == run(70) and len(run(70)) >= 40

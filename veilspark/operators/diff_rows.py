@@ -7,13 +7,19 @@ there, then by a longest common subsequence. No step has a whole source in one t
 * the anchors fall apart where all pairs before lie before all pairs after on both sides, and each such
   part has a subsequence of its own, the parts' subsequences together being a longest one of the whole;
 * which anchor a line follows is a running maximum, found slice by slice with the maxima of the slices before.
+
+Sources of a slice at most, which most are, are dealt out and sorted once, and each is aligned by the same steps where
+its lines lie.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,6 +117,106 @@ def _aligned(block: pd.DataFrame) -> pd.DataFrame:
     return _paired(block["_k"].iloc[0], [a[i] for i, _ in pairs], [b[j] for _, j in pairs])
 
 
+def _unique(lines: list, places: list[int]) -> dict:
+    """The place of each line; None where it occurs twice."""
+    out: dict = {}
+    for i in places:
+        out[lines[i]] = None if lines[i] in out else i
+    return out
+
+
+def paired_lines(nos: list[list[int]], lines: list[list], rounds: int) -> list[tuple[int, int]]:
+    """Pairs of line numbers of one source, whose sides are in order: the anchors of each round, then the alignment
+    of the blocks between them."""
+    if lines[0] == lines[1] and all(len(set(no)) == len(no) for no in nos):
+        return list(zip(*nos, strict=True))
+    whole = tuple(list(range(len(side))) for side in lines)
+    pairs, left = [], {-1: whole}
+    for _ in range(rounds):
+        found = []
+        for old, new in left.values():
+            if old and new:
+                there = _unique(lines[1], new)
+                here = ((i, there.get(x)) for x, i in _unique(lines[0], old).items())
+                both = sorted((nos[0][i], nos[1][j]) for i, j in here if i is not None and j is not None)
+                found += [both[i] for i in increasing([b for _, b in both])]
+        if not found:
+            break
+        pairs += found
+        left = {}
+        for side in (0, 1):
+            block_of, block = {pair[side]: pair[0] for pair in sorted(pairs)}, -1
+            for i in whole[side]:
+                if nos[side][i] in block_of:
+                    block = max(block, block_of[nos[side][i]])
+                else:
+                    left.setdefault(block, ([], []))[side].append(i)
+    for old, new in left.values():
+        if old and new:
+            found = aligned_lines([lines[0][i] for i in old], [lines[1][j] for j in new])
+            pairs += [(nos[0][old[i]], nos[1][new[j]]) for i, j in found]
+    return pairs
+
+
+def _differences(rows: pa.Table, rounds: int) -> list[pa.RecordBatch]:
+    """The diffs of whole sources, whose rows are in the order of source, side and number."""
+    names, side, no, line = (rows.column(c).to_pylist() for c in ("_k", "side", "no", "line"))
+    at, old_no, new_no, kind = [], [], [], []
+    start = 0
+    while start < len(names):
+        middle, end = start, start
+        while end < len(names) and names[end] == names[start]:
+            end += 1
+            middle += side[end - 1] == 0
+        pairs = paired_lines([no[start:middle], no[middle:end]], [line[start:middle], line[middle:end]], rounds)
+        partners: dict[int, list[int]] = {}
+        for a, b in pairs:
+            partners.setdefault(a, []).append(b)
+        for i in range(start, middle):
+            for b in partners.get(no[i], (None,)):
+                at.append(i), old_no.append(no[i]), new_no.append(b), kind.append("delete" if b is None else "equal")
+        taken = {b for _, b in pairs}
+        for i in range(middle, end):
+            if no[i] not in taken:
+                at.append(i), old_no.append(None), new_no.append(no[i]), kind.append("add")
+        start = end
+    chosen = rows.select(["_keys", "line"]).take(pa.array(at, pa.int64())).combine_chunks()
+    numbers = [pa.array(x, pa.int64()) for x in (old_no, new_no)]
+    columns = [chosen.column("_keys"), *numbers, pa.array(kind, pa.string()), chosen.column("line")]
+    out = pa.table(columns, names=["_keys", "old_line_no", "new_line_no", "change_type", "line"])
+    return out.combine_chunks().to_batches()
+
+
+def _by_source(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[pa.RecordBatch]:
+    """The diffs of sorted rows; a source that goes on in the next batch waits for it."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        cut = 0
+        if batch is not None:
+            names = batch.column("_k")
+            last, cut = names[-1], batch.num_rows - 1
+            while cut and names[cut - 1] == last:
+                cut -= 1
+            if not cut and held and held[-1].column("_k")[-1] == last:
+                held.append(batch)
+                continue
+            # What is held ends before the cut: with the source that this batch begins with, or one before it.
+        whole = held + ([batch.slice(0, cut)] if cut else [])
+        if whole:
+            yield from _differences(pa.Table.from_batches(whole), rounds)
+        held = [] if batch is None else [batch.slice(cut)]
+
+
+def _small(lines: DataFrame, rounds: int) -> DataFrame:
+    """The diffs of sources that fit one task: one shuffle, one sort."""
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    placed = lines.select("_keys", "_k", "side", "no", "line").repartition("_k").sortWithinPartitions("_k", "side", "no")
+    out = f"_keys {kinds['_keys']}, old_line_no bigint, new_line_no bigint, change_type string, line string"
+    return placed.mapInArrow(lambda batches: _by_source(batches, rounds), out)
+
+
 def diff_rows(
     old: DataFrame, new: DataFrame, keys: list[str], no: str = "line_no", line: str = "line", rounds: int = 2
 ) -> DataFrame:
@@ -130,6 +236,20 @@ def diff_rows(
         for s, df in enumerate((old, new))
     ]
     lines = _kept(sides[0].unionByName(sides[1]), "lines")
+    if dict(lines.dtypes)["line"] != "string":
+        out = _large(lines, rounds)
+    else:
+        # Rows without a number, and those of more lines or copies of lines than a slice, go the long way.
+        many = f"count(no) < count(*) OR min(no) < 0 OR max(no) >= {SLICE} OR count(*) > {4 * SLICE}"
+        wide = _kept(lines.groupBy("_k").agg(F.expr(many).alias("_wide")).where("_wide").select("_k"), "wide")
+        out = _small(lines.join(wide, "_k", "left_anti"), rounds)
+        if not wide.isEmpty():
+            out = out.unionByName(_large(lines.join(wide, "_k", "left_semi"), rounds))
+    return out.select(*(F.col("_keys")[k].alias(k) for k in keys), "old_line_no", "new_line_no", "change_type", F.col("line").alias("content"))
+
+
+def _large(lines: DataFrame, rounds: int) -> DataFrame:
+    """The diffs of sources of any size, slice by slice and block by block."""
     left, pairs = lines.drop("_keys").withColumn("block", F.lit(-1).cast("bigint")), None
     for _ in range(rounds):
         found = _kept(_anchors(left), "anchors")
@@ -145,5 +265,4 @@ def diff_rows(
     added = lines.where("side = 1").select("_keys", "_k", F.col("no").alias("b"), "line").join(pairs, ["_k", "b"], "left_anti").select(
         "_keys", F.lit(None).cast("bigint").alias("old_line_no"), F.col("b").alias("new_line_no"), F.lit("add").alias("change_type"), "line"
     )
-    out = equal.unionByName(added)
-    return out.select(*(F.col("_keys")[k].alias(k) for k in keys), "old_line_no", "new_line_no", "change_type", F.col("line").alias("content"))
+    return equal.unionByName(added)
