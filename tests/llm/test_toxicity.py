@@ -152,3 +152,28 @@ def test_train_is_repeatable():
     texts, toxic, langs = pa.array([r[1] for r in rows]), np.array([t for _, t in labels]), [r[2] for r in rows]
     a, b = train(texts, toxic, langs), train(texts, toxic, langs)
     assert np.allclose(a.scores(texts), b.scores(texts))
+
+
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    """Every labelled row is in one shard, and what only a few rows show is learned however many others there are."""
+    rows, labels = corpus(1200)
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    monkeypatch.setattr(module, "SHARD_ROWS", 300)
+    table = module.labelled_rows(docs.unionByName(docs), known).collect()
+    assert sorted(r.text for r in table) == sorted(t for _, t, _ in rows) and len({r.shard for r in table}) == 8
+    out = toxicity(docs, known, F.col("doc_id") % 5 == 0).where("held_out").collect()
+    label = dict(labels)
+    assert sum(r.predicted == label[r.doc_id] for r in out) >= 0.95 * len(out)
+
+
+def test_shards_of_batches():
+    shard = [3] * 4 + [1] * 5 + [2]
+    whole = pa.record_batch([pa.array(shard), pa.array(range(10))], ["shard", "row"])
+    for width in (1, 2, 3, 10):
+        parts = [t.column("row").to_pylist() for t in module._shards(whole.slice(i, width) for i in range(0, 10, width))]
+        assert parts == [[0, 1, 2, 3], [4, 5, 6, 7, 8], [9]]
+
+
+def test_threshold_of_counted_rows():
+    logits, toxic, n = np.array([0.0, 1.0, 2.0, 3.0]), np.array([0, 1, 0, 1]), np.array([5, 1, 2, 4])
+    assert _threshold(logits, toxic, n) == _threshold(np.repeat(logits, n), np.repeat(toxic, n))

@@ -3,9 +3,10 @@
 The net is small and written in numpy. A word's embedding is the sum of the embeddings of the word and of
 its beginnings, each found by hash, so that inflected and compound forms share what is known of their stem.
 Filters of several widths run over all words of a text, and the greatest response of each is kept. Training
-takes a bounded sample of labelled rows on the driver. Scoring is one pass of Arrow batches without a shuffle.
+takes all labelled rows: they are dealt into shards by hash, in each round every shard trains a copy of the net where it
+lies, and Spark adds up what the copies learned. Scoring is one pass of Arrow batches without a shuffle.
 
-Thresholds are calibrated by language on rows that were not trained on. A row's language column is not
+Thresholds are calibrated by language on all labelled rows that were not trained on. A row's language column is not
 looked at when it is scored: a table of hashed words guesses the language from the text.
 """
 
@@ -13,17 +14,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.llm.storage import written
 from veilspark.llm.words import Words, filled, mix, pieces, words_of
 
-#: Rows of each label that are learned from, at most, and bytes of text in all of them together.
-LABELLED = {1: 2_000, 0: 4_000}
-LEARN_BYTES = 64 << 20
+#: Labelled rows and bytes of text that train one copy of the net.
+SHARD_ROWS, SHARD_BYTES = 4_000, 16 << 20
+#: Labelled ids that are broadcast, at most; more are joined.
+BROADCAST_ROWS = 2_000_000
+#: Steps of a logit that thresholds are told apart by.
+LOGIT_STEPS = 1_000
 #: Every so many-th learned row calibrates instead; a language needs so many calibrating rows of its own.
 CALIBRATE, LEAST_ROWS = 4, 60
 
@@ -98,9 +104,9 @@ class Net:
         return [*self.filters, *self.bias, self.out, self.out_bias]
 
     def embed(self, cells: np.ndarray) -> np.ndarray:
-        total = self.words[cells[:, 0]]
+        total = self.words.take(cells[:, 0], axis=0)
         for i in range(1, _PLANES):
-            total += self.words[cells[:, i]]
+            total += self.words.take(cells[:, i], axis=0)
         return total
 
     def pooled(self, cells: np.ndarray, first: np.ndarray, own: np.ndarray | None = None):
@@ -145,7 +151,8 @@ class Net:
         for a, b in _runs(upto - start):
             take = np.concatenate([np.arange(start[i], upto[i]) for i in range(a, b)])
             bounds = np.concatenate(([0], np.cumsum(upto[a:b] - start[a:b])))
-            best[a:b] = self.pooled(cells[take], bounds, (stop - start)[a:b])[0]
+            whole = (stop[a:b] == upto[a:b]).all()
+            best[a:b] = self.pooled(cells[take], bounds, None if whole else (stop - start)[a:b])[0]
         return np.maximum.reduceat(best, head, axis=0) @ self.out + self.out_bias
 
     def step(self, cells: np.ndarray, first: np.ndarray, target: np.ndarray, weight: np.ndarray, rate: float) -> None:
@@ -207,11 +214,10 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _places(response: np.ndarray, best: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first row of each text in which a filter reaches its greatest response; meaningless where that is 0."""
-    hit = response == np.repeat(best, counts, axis=0)
-    row, unit = np.nonzero(hit)
-    text = np.searchsorted(begin, row, "right") - 1
     place = np.zeros(best.shape, np.int64)
-    place[text[::-1], unit[::-1]] = row[::-1]  # of several rows the first, which is written last
+    for i, (a, n) in enumerate(zip(begin, counts, strict=True)):
+        if n:
+            place[i] = a + response[a : a + n].argmax(axis=0)
     return place
 
 
@@ -246,12 +252,13 @@ class Model:
         return np.where(some, total.argmax(1), known)
 
 
-def _threshold(logits: np.ndarray, toxic: np.ndarray) -> float:
-    """The logit that tells the rows apart at least cost: the middle of the widest best gap."""
+def _threshold(logits: np.ndarray, toxic: np.ndarray, rows: np.ndarray | int = 1) -> float:
+    """The logit that tells the rows (or so many of each kind) apart at least cost: the middle of the widest best gap."""
     order = np.argsort(logits, kind="stable")
-    values, label = logits[order], toxic[order]
+    rows = np.broadcast_to(rows, logits.shape)[order]
+    values, label = logits[order], toxic[order] * rows
     missed = np.concatenate(([0], np.cumsum(label))) / label.sum()
-    false = 1 - np.concatenate(([0], np.cumsum(1 - label))) / (1 - label).sum()
+    false = 1 - np.concatenate(([0], np.cumsum(rows - label))) / (rows - label).sum()
     cost = missed + COST * false
     edges = np.concatenate(([values[0] - 2], values, [values[-1] + 2]))
     open_ = edges[1:] > edges[:-1]
@@ -327,35 +334,168 @@ def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             )
 
 
-def toxicity_model(
-    rows: DataFrame, labels: DataFrame, labelled: dict[int, int] = LABELLED, learn_bytes: int = LEARN_BYTES, seed: int = 11
-) -> Model:
-    """A model from rows (doc_id, text, lang), case folded, and labels (doc_id, toxic) of 0 and 1.
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each shard, which follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        while batch is not None and batch.num_rows:
+            shard = np.asarray(batch.column("shard"))
+            if held and held[-1].column("shard")[0].as_py() != shard[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            same = int(np.argmax(shard != shard[0])) or len(shard)
+            held.append(batch.slice(0, same))
+            batch = batch.slice(same)
+        if batch is None and held:
+            yield pa.Table.from_batches(held)
+
+
+#: Rows that a shard sends: cells of the net and what was added to them, numbers that are no cell in rows below 0
+#: (filters and biases, laid out in rows of ``DIM``), and counts of words by language in rows from ``CELLS`` on.
+_SENT = "cell bigint, " + ", ".join(f"d{i} double" for i in range(DIM))
+
+
+def _sent(cells: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(cells.astype(np.int64)), *(pa.array(rows[:, i].astype(np.float64)) for i in range(DIM))],
+                           ["cell", *(f"d{i}" for i in range(DIM))])
+
+
+def _flat(net: Net) -> np.ndarray:
+    whole = np.concatenate([p.ravel() for p in net.parameters()])
+    return np.pad(whole, (0, -len(whole) % DIM)).reshape(-1, DIM)
+
+
+def _learned(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """What each shard adds to the net in one pass over its rows; in the first round also its words by language."""
+    given, names, balance, seed, turn = shared.value
+    for table in _shards(batches):
+        cells, first = encode(filled(table))
+        toxic = np.asarray(table.column("toxic")) == 1
+        fit = np.flatnonzero(~np.asarray(table.column("calibrating")))
+        if turn == 0:
+            langs = table.column("lang").to_pylist()
+            no = np.array([names.index(x) if x in names else -1 for x in langs], np.int64)
+            owner = np.repeat(no, np.diff(first))
+            for k in range(len(names)):
+                seen = np.bincount(cells[owner == k, 0], minlength=CELLS)
+                some = np.flatnonzero(seen)
+                yield _sent(CELLS * (k + 1) + some, np.pad(seen[some, None], ((0, 0), (0, DIM - 1))))
+        if given is None or not len(fit):
+            continue
+        net = Net(given.words.copy(), *([p.copy() for p in x] for x in (given.filters, given.bias)), given.out.copy(), given.out_bias.copy())
+        order = np.random.default_rng([seed, turn, int(table.column("shard")[0].as_py())]).permutation(fit)
+        weight, lengths, steps = np.where(toxic, balance[1], balance[0]), np.diff(first), -(-len(fit) // BATCH)
+        for step in range(steps):
+            part = order[step * BATCH : (step + 1) * BATCH]
+            row = np.concatenate([np.arange(first[i], first[i + 1]) for i in part])
+            upto = np.concatenate(([0], np.cumsum(lengths[part])))
+            rate = RATE * (1 - (turn * steps + step) / (EPOCHS * steps))
+            net.step(cells[row], upto, toxic[part].astype(np.float32), weight[part], rate)
+        added = net.words - given.words
+        touched = np.flatnonzero(added.any(axis=1))
+        yield _sent(touched, added[touched])
+        flat = _flat(net) - _flat(given)
+        yield _sent(-1 - np.arange(len(flat)), flat)
+
+
+def _merged(net: Net, cells: np.ndarray, rows: np.ndarray) -> None:
+    """Add to the net what its copies learned on average."""
+    word = (cells >= 0) & (cells < CELLS)
+    net.words[cells[word]] += rows[word].astype(np.float32)
+    flat = np.zeros_like(_flat(net), np.float64)
+    other = cells < 0
+    flat[-1 - cells[other]] = rows[other]
+    at = 0
+    for p in net.parameters():
+        p += flat.ravel()[at : at + p.size].reshape(p.shape).astype(np.float32)
+        at += p.size
+
+
+def _logits(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    model = shared.value
+    for batch in batches:
+        for piece in pieces(batch, limit=1 << 20):
+            cells, first = encode(filled(piece))
+            step = np.round(model.net.logits(cells, first) * LOGIT_STEPS).astype(np.int64)
+            columns = [pa.array(model.guess(cells, first).astype(np.int32)), piece.column("toxic"), pa.array(step)]
+            yield pa.record_batch(columns, ["guess", "toxic", "step"])
+
 
-    Of each label the rows with the smallest hash of id and text are taken, ``labelled`` of them at most, and of
-    those in hash order as many as fit in ``learn_bytes``; a longer text is left out. An id with several labels
-    counts as toxic if one is. Both bounds hold whatever the tables hold.
+def labelled_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """All rows (doc_id, text, lang) with a label 0 or 1, once each, as a table (shard, row, text, lang, toxic, calibrating).
+
+    An id with several labels counts as toxic if one is. The rows of a shard lie together, in the order of ``row``.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    most = max(labelled.values())
+    known = written(known, "known")
+    if known.count() <= BROADCAST_ROWS:  # texts without a label then stay where they are
+        known = F.broadcast(known)
+    keyed = rows.select("*", F.xxhash64("doc_id", "text").alias("row"), F.octet_length("text").alias("size"))
+    n, size = keyed.select("doc_id", "size").join(known, "doc_id").agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    found = keyed.drop("size").join(known, "doc_id")
+    shards = max(1, -(-n // SHARD_ROWS), -(-size // SHARD_BYTES))
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    once = dealt.groupBy("shard", "row").agg(*(F.max(c).alias(c) for c in ("text", "lang", "toxic")))
+    calibrating = F.pmod(F.xxhash64("row", F.lit("calibrate")), F.lit(CALIBRATE)) == CALIBRATE - 1
+    return written(once.withColumn("calibrating", calibrating).sortWithinPartitions("shard", "row"), "labelled")
+
+
+def toxicity_model(rows: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
+    """A model from all rows (doc_id, text, lang), case folded, that have a label (doc_id, toxic) of 0 or 1.
+
+    Each round starts all shards from one net and adds to every word what the shards that have it learned on average.
+    The driver gets the net, the words of a language by cell and the logits by step, whatever the tables hold.
+    """
+    table, context = labelled_rows(rows, labels), rows.sparkSession.sparkContext
+    langs = table.where("lang IS NOT NULL").groupBy("lang").count().where(F.col("count") >= LEAST_ROWS * CALIBRATE)
+    # Languages too rare to calibrate are left to the common threshold.
+    names = sorted(r.lang for r in langs.collect())
+    kinds = {(r.calibrating, r.toxic): r["count"] for r in table.groupBy("calibrating", "toxic").count().collect()}
+    fit = [kinds.get((False, k), 0) for k in (0, 1)]
+    net = Net.fresh(seed) if all(fit) else None
+    # Both labels weigh the same in all.
+    balance = [0.5 * sum(fit) / n if n else 0.0 for n in fit]
+    seen = np.full((CELLS, len(names)), 0.1)
+    for turn in range(EPOCHS if net is not None else 1):
+        shared = context.broadcast((net, names, balance, seed, turn))
+        # The others count in the words of their language only, which the first round sends.
+        taught = table if turn == 0 else table.where("NOT calibrating")
+        sent = taught.mapInArrow(lambda b, shared=shared: _learned(b, shared), _SENT).groupBy("cell")
+        sums = sent.agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(DIM)), F.count(F.lit(1)).alias("n")).toArrow()
+        shared.unpersist()
+        cells = np.asarray(sums.column("cell"), np.int64)
+        total = np.stack([np.asarray(sums.column(f"d{i}"), np.float64) for i in range(DIM)], axis=1)
+        word = cells >= CELLS
+        seen[cells[word] % CELLS, cells[word] // CELLS - 1] += total[word, 0]
+        if net is not None:
+            _merged(net, cells[~word], (total / np.asarray(sums.column("n"))[:, None])[~word])
+    model = Model(net, np.log(seen / seen.sum(axis=0)), np.zeros(len(names) + 1))
+    if net is None:
+        return model
+    held = table.where("calibrating") if all(kinds.get((True, k), 0) for k in (0, 1)) else table
+    shared = context.broadcast(model)
+    steps = held.select("text", "toxic").mapInArrow(lambda b: _logits(b, shared), "guess int, toxic int, step bigint")
+    steps = steps.groupBy("guess", "toxic", "step").count().toArrow()
+    shared.unpersist()
+    guess, toxic, step, count = (np.asarray(steps.column(c), np.int64) for c in ("guess", "toxic", "step", "count"))
+    model.thresholds[:] = _threshold(step / LOGIT_STEPS, toxic, count)
+    for k in range(len(names)):
+        own = guess == k
+        if all(count[own & (toxic == label)].sum() >= 5 for label in (0, 1)):
+            model.thresholds[k] = _threshold(step[own] / LOGIT_STEPS, toxic[own], count[own])
+    return model
+
+
+def _sample(rows: DataFrame, labels: DataFrame, labelled: dict[int, int], learn_bytes: int) -> DataFrame:
+    """Of each label the ids with the smallest hash, so many at most, and of those in hash order the rows whose
+    texts fit in ``learn_bytes``; as labels that leave the others out."""
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     some = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in labelled.items()]
     sample = some[0].unionByName(some[1])
-    keyed = rows.select("*", F.xxhash64("doc_id", "text").alias("row"), F.octet_length("text").alias("size"))
-    found = keyed.select("doc_id", "row", "size").join(F.broadcast(sample), "doc_id").select("row", "size", "toxic").distinct()
-    # At most 2 * most narrow rows reach the driver, however often an id occurs.
-    found = found.orderBy("row", "toxic").limit(2 * most).toArrow()
-    size = np.asarray(found.column("size"), np.int64)
-    fits = np.flatnonzero(np.cumsum(np.where(size > learn_bytes, 0, size)) <= learn_bytes)
-    fits = fits[size[fits] <= learn_bytes]
-    chosen = pa.table([found.column("row").take(fits), found.column("toxic").take(fits).cast(pa.int32())], names=["row", "toxic"])
-    if not chosen.num_rows:
-        return train(pa.array([], pa.string()), np.zeros(0, bool), [], seed)
-    picked = rows.sparkSession.createDataFrame(chosen)
-    got = keyed.join(F.broadcast(picked), "row").groupBy("row").agg(*(F.max(c).alias(c) for c in ("toxic", "text", "lang")))
-    got = got.toArrow().sort_by("row")
-    texts = pa.concat_arrays(got.column("text").cast(pa.large_string()).chunks) if got.num_rows else pa.array([], pa.string())
-    return train(texts, np.asarray(got.column("toxic")) == 1, got.column("lang").to_pylist(), seed)
+    sizes = rows.select("doc_id", F.octet_length("text").alias("size")).join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(Window.orderBy(order, "doc_id"))
+    return sizes.where(F.col("size") <= learn_bytes).withColumn("upto", upto).where(F.col("upto") <= learn_bytes).select("doc_id", "toxic")
 
 
 def toxicity(
@@ -367,7 +507,8 @@ def toxicity(
     doc_id: str = "doc_id",
     label: str = "toxic",
     seed: int = 11,
-    **bounds,
+    labelled: dict[int, int] | None = None,
+    learn_bytes: int = 64 << 20,
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
@@ -375,8 +516,8 @@ def toxicity(
     from the text alone: label, language and id are not looked at. The score is the logistic of the net's
     output less the threshold of the guessed language, so 0.5 is the point calibrated for that language. A null
     text counts as empty; empty texts get the score of a text without words. Without learned rows of both labels
-    all scores are 0. Equal texts have equal scores, up to rounding in the last of six digits. Bounds of what is
-    learned from: see ``toxicity_model``; its sample is all that reaches the driver.
+    all scores are 0. Equal texts have equal scores, up to rounding in the last of six digits. All labelled rows are
+    learned from, unless the caller bounds them by ``labelled`` (ids of each label) and ``learn_bytes``.
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -385,7 +526,8 @@ def toxicity(
         F.col(lang).cast("string").alias("lang"),
     )
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic"))
-    model = toxicity_model(rows.where("NOT held_out").drop("held_out"), known, seed=seed, **bounds)
+    learned = rows.where("NOT held_out").drop("held_out")
+    model = toxicity_model(learned, known if labelled is None else _sample(learned, known, labelled, learn_bytes), seed)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(rows.dtypes)["doc_id"]
     return rows.select("doc_id", "held_out", "text").mapInArrow(
