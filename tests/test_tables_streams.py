@@ -1,6 +1,8 @@
 import json
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from veilspark.operators.sanitize import apply_rewrites, process_table
 from veilspark.operators.tables import censor_by_lexicon, find_by_lexicon, flag_by_lexicon, latest_per_source, sanitize_conversations, sanitize_turns
 from veilspark.sources.texts import load_texts, new_dir, nonblank, write_texts
 from veilspark.streaming import jobs as S
-from veilspark.streaming.collapse import collapse_event_stream, read_event_runs
+from veilspark.streaming.collapse import _advanced, collapse_event_stream, read_event_runs
 from veilspark.streaming.sinks import merge_folders, newest, read_updates, saved
 
 
@@ -254,6 +256,31 @@ def test_event_runs_equal_the_batch_result(spark, tmp_path):
     assert sorted(map(str, again)) == sorted(map(str, runs))
 
 
+class _State:
+    """The state of one source, before its first micro-batch."""
+
+    exists, hasTimedOut = False, False
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutTimestamp(self, at):
+        self.at = at
+
+
+def test_a_source_of_the_event_stream_costs_little():
+    """A micro-batch has many sources of a few rows each."""
+    batch = pd.DataFrame({"us": [3, 1, 2, 2], "id": [7, 5, 6, 6], "line": ["a", "b", "a", "z"]})
+    began = time.process_time()
+    for source in range(500):
+        out = next(_advanced((source,), iter([batch]), _State(), ["source"], ["id"], 10))
+    assert time.process_time() - began < 1.5
+    assert out.drop(columns=["source", "closed"]).values.tolist() == [[1, 1, 5, 5, "b", 1], [2, 3, 6, 7, "a", 2]]
+
+
 def test_sinks_keep_few_folders(spark, tmp_path):
     """Many micro-batches, a death in the middle of a merge, replays: the same rows, and few folders."""
     out, rng, want = str(tmp_path / "sink"), random.Random(3), {}

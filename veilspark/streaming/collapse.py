@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,62 +20,70 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from veilspark.streaming.sinks import batch_sink
 
 
-def _runs(rows: pd.DataFrame, ties: list[str], gap: int) -> pd.DataFrame:
-    """Rows (us, ties, line, n, first) in order as runs of the same form: us and ties are then the last row's."""
-    if not len(rows):
-        return rows
-    line, _ = pd.factorize(rows["line"], use_na_sentinel=False)
-    us = rows["us"].to_numpy(np.int64)
-    begins = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (np.diff(us) > gap))))
-    ends = np.concatenate((begins[1:], [len(rows)])) - 1
-    out = rows.iloc[ends][["us", *ties, "line"]].reset_index(drop=True)
-    out["n"] = np.add.reduceat(rows["n"].to_numpy(np.int64), begins)
-    out["first"] = rows["first"].to_numpy()[begins]
+def _runs(rows: list[tuple], gap: int) -> list[tuple]:
+    """Rows (place, line, n, first) in order as runs of the same form: place is then the last row's.
+
+    A place is the time in microseconds and the ties; ``first`` is the place of the first row.
+    """
+    out: list[tuple] = []
+    for place, line, n, first in rows:
+        if out and out[-1][1] == line and place[0] - out[-1][0][0] <= gap:
+            _, _, before, first = out.pop()
+            n += before
+        out.append((place, line, n, first))
     return out
 
 
+def _order(place: tuple) -> tuple:
+    """The order of places; a null tie comes last."""
+    return tuple((value is None, value) for value in place)
+
+
+def _known(values: pd.Series) -> list:
+    """The values as Python objects, a missing one as None."""
+    return [None if value is None or value != value else value for value in values.tolist()]
+
+
 def _advanced(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, keys: list[str], ties: list[str], gap: int
 ) -> Iterator[pd.DataFrame]:
-    """New closed runs of a source, and those that are still open, for one micro-batch or timer."""
+    """New closed runs of a source, and those that are still open, for one micro-batch or timer.
+
+    A source brings few rows to a micro-batch, so they are plain tuples here: a table operation for each source
+    costs more than all of its rows.
+    """
     held = json.loads(state.get[0]) if state.exists else {"open": [], "pending": []}
     mark = state.getCurrentWatermarkMs() * 1000  # 0 before the first watermark
-    columns = ["us", *ties, "line"]
-    pending = [pd.DataFrame(held["pending"], columns=columns)]
+    places: dict[tuple, str | None] = {tuple(place): text for *place, text in held["pending"]}
     for batch in [] if state.hasTimedOut else batches:
-        pending.append(batch.loc[batch["us"] >= mark, columns])
-    rows = pd.concat([p for p in pending if len(p)] or pending[:1], ignore_index=True)
-    rows = rows.sort_values(["us", *ties], kind="stable").drop_duplicates(["us", *ties])
-    rows = rows.astype({"us": "int64"}).reset_index(drop=True)
-    rows["n"] = 1
-    rows["first"] = rows[["us", *ties]].values.tolist()
-    rows["line"] = rows["line"].astype(object).where(rows["line"].notna(), None)
-
-    waiting = rows[rows["us"] >= mark]
-    before = pd.DataFrame(held["open"], columns=[*columns, "n", "first"])
-    done = pd.concat([x for x in (before, rows[rows["us"] < mark]) if len(x)] or [before], ignore_index=True)
-    done = _runs(done, ties, gap)
+        columns = [batch["us"].tolist(), *(_known(batch[t]) for t in ties), _known(batch["line"])]
+        for *place, text in zip(*columns, strict=True):
+            if place[0] >= mark:
+                places.setdefault(tuple(place), text)
+    rows = [(place, places[place], 1, place) for place in sorted(places, key=_order)]
+
+    waiting = [r for r in rows if r[0][0] >= mark]
+    before = [(tuple(place), text, n, tuple(first)) for *place, text, n, first in held["open"]]
+    done = _runs([*before, *(r for r in rows if r[0][0] < mark)], gap)
     # The last run can still go on, unless the next row would come after the gap.
-    last_open = len(done) and done["us"].iloc[-1] + gap >= mark
-    closed, left = (done.iloc[:-1], done.iloc[-1:]) if last_open else (done, done.iloc[:0])
-    shown = _runs(pd.concat([x for x in (left, waiting) if len(x)] or [left], ignore_index=True), ties, gap)
-
-    if len(left) or len(waiting):
-        times = [*(left["us"] + gap), *waiting["us"].head(1)]
-        text = json.dumps({"open": left.values.tolist(), "pending": waiting[columns].values.tolist()}, default=lambda x: x.item())
-        state.update((text,))
-        state.setTimeoutTimestamp(max(int(min(times)), mark) // 1000 + 1)
+    last_open = bool(done) and done[-1][0][0] + gap >= mark
+    closed, left = (done[:-1], done[-1:]) if last_open else (done, [])
+    shown = _runs([*left, *waiting], gap)
+
+    if left or waiting:
+        times = [*(place[0] + gap for place, *_ in left), *(place[0] for place, *_ in waiting[:1])]
+        opened = [[*place, text, n, list(first)] for place, text, n, first in left]
+        state.update((json.dumps({"open": opened, "pending": [[*place, text] for place, text, _, _ in waiting]}),))
+        state.setTimeoutTimestamp(max(min(times), mark) // 1000 + 1)
     elif state.exists:
         state.remove()
-    out = pd.concat([closed.assign(closed=True), shown.assign(closed=False)], ignore_index=True)
-    made = pd.DataFrame({k: [v] * len(out) for k, v in zip(keys, key, strict=True)})
-    for i, name in enumerate(("us", *ties)):
-        made[f"first_{name}"] = pd.Series([f[i] for f in out["first"]], dtype=object)
-        made[f"last_{name}"] = out[name].astype(object).where(out[name].notna(), None)
-    made["line"] = out["line"]
-    made["n"] = out["n"].astype("int64")
-    made["closed"] = out["closed"].astype(bool)
-    yield made
+    out = [*closed, *shown]
+    rows = [
+        (*key, *(at for pair in zip(first, place, strict=True) for at in pair), text, n, k < len(closed))
+        for k, (place, text, n, first) in enumerate(out)
+    ]
+    sides = [f"{side}_{name}" for name in ("us", *ties) for side in ("first", "last")]
+    yield pd.DataFrame(rows, columns=[*keys, *sides, "line", "n", "closed"], dtype=object)
 
 
 def collapse_event_stream(
