@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark.plans import queries as Q
 from veilspark.sources.batches import counted_batches, read_batches, write_batch
 from veilspark.streaming.sessions import late_rows, session_stream
 
@@ -68,3 +69,19 @@ def test_sessions_replayed_and_late_rows(spark, tmp_path):
     got = {(r.source, r.session_start, r.n_texts, r.n_findings) for r in spark.read.parquet(out).collect()}
     assert got == {("a", at(0), 3, 3), (None, at(5), 1, 1), ("a", at(30), 1, 0), ("b", at(45), 1, 0), ("b", at(200), 2, 1)}
     assert late == 1
+
+
+def test_sink_batches_cleans_each_text_once(spark, monkeypatch):
+    cleaned = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def clean(text):
+        cleaned.add(1)
+        return text and text.upper()
+
+    rows = [(c, i, 0, [None, "en"][i % 2], [None, "a"][i % 3 > 0]) for c in ("documents", "logs") for i in (*range(20), 5)]
+    df = spark.createDataFrame(rows, "corpus string, id bigint, part bigint, lang string, text string")
+    monkeypatch.setattr(Q, "_sanitized", lambda spark, sf: df.withColumn("sanitized_text", clean("text")))
+    got = [str(tuple(row)) for row in Q.sink_batches(spark, "").collect()]
+    assert sorted(got) == sorted(str((c, i, p, lang, text and text.upper())) for c, i, p, lang, text in rows)
+    assert cleaned.value == len(rows)
