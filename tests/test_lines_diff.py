@@ -210,3 +210,15 @@ def test_diff_case_search_and_render(spark):
     long = df.select(F.explode("diff_lines").alias("d")).select("d.*")
     assert long.where(diff_matches(F.col("content"), "HIDDEN")).count() == 1
     assert long.where(diff_matches(F.col("content"), "")).count() == 4
+
+
+def test_diff_of_single_lines_and_of_nothing_kept(spark):
+    """Sides of one line each are not paired, and sides without a common line are not cut into blocks."""
+    texts = [("a", "b"), ("", "b"), ("a", ""), ("a\n", "b"), ("a", "a"), ("a\nb", "c\nd"), ("a\nb", "b")]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, text string, sanitized_text string")
+    got = [[tuple(d)[:3] for d in r.diff_lines] for r in with_diff(df).orderBy("i").collect()]
+    gone, new = ("delete", 1, None), ("add", None, 1)
+    assert got == [
+        [gone, new], [new], [gone], [gone, new], [("equal", 1, 1)],
+        [gone, ("delete", 2, None), new, ("add", None, 2)], [gone, ("equal", 2, 1)],
+    ]
