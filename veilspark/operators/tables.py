@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.core import let, replace_where
 from veilspark.functions.profanity import fold_word, starred
-from veilspark.functions.skeleton import WORD_PATTERN
+from veilspark.functions.skeleton import WORD_SEARCH
 from veilspark.functions.sanitize import sanitize_text_column
 
 
@@ -71,8 +71,12 @@ def _same(keys: list[str]) -> Column:
     return same
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD_SEARCH), F.lit(0))
+
+
 def _folded_words(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), fold_word)
+    return F.transform(_words(text), fold_word)
 
 
 def _phrases(words: Column, size: int) -> Column:
@@ -98,10 +102,13 @@ def _lexicon_hits(df: DataFrame, keys: list[str], lexicon: DataFrame, text: str,
     Spark broadcasts the lexicon if it is small and splits hot words if it is not.
     """
     terms = _terms(lexicon, term, longest).distinct()
-    found = let(
-        _folded_words(F.col(text)),
-        lambda words: F.array_distinct(F.concat(*(_phrases(words, n) for n in range(1, longest + 1)))),
-    )
+    if longest == 1:  # most words come again and again, so each is folded once
+        found = F.array_distinct(F.transform(F.array_distinct(_words(F.col(text))), fold_word))
+    else:
+        found = let(
+            _folded_words(F.col(text)),
+            lambda words: F.array_distinct(F.concat(*(_phrases(words, n) for n in range(1, longest + 1)))),
+        )
     found = df.select(*keys, F.explode(found).alias("_term")).join(terms, "_term", "left_semi")
     return found.select(*[F.col(k).alias(f"_{k}") for k in keys], "_term")
 
@@ -148,13 +155,18 @@ def censor_by_lexicon(
     Only the terms found in a text come back to it, so the size of the lexicon does not matter.
     Rows that share all keys share their hits.
     """
-    hits = _lexicon_hits(df, keys, lexicon, text, term, longest)
-    hits = hits.groupBy(*[f"_{k}" for k in keys]).agg(F.collect_set("_term").alias("_found"))
+    if longest == 1:  # a word tells by itself, so the words come back as they are written and are folded once only
+        written = F.explode(F.array_distinct(_words(F.col(text)))).alias("_word")
+        hits = df.select(*[F.col(k).alias(f"_{k}") for k in keys], written).withColumn("_term", fold_word(F.col("_word")))
+        hits = hits.join(_terms(lexicon, term, longest).distinct(), "_term", "left_semi").drop("_term")
+    else:
+        hits = _lexicon_hits(df, keys, lexicon, text, term, longest).withColumnRenamed("_term", "_word")
+    hits = hits.groupBy(*[f"_{k}" for k in keys]).agg(F.collect_set("_word").alias("_found"))
     both = df.select(*keys, text).join(hits, _same(keys), "left")
 
     def starred_at(covered: Column) -> Column:
-        gaps = F.split(F.col(text), WORD_PATTERN, -1)
-        words = F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), F.lit(0))
+        gaps = F.split(F.col(text), WORD_SEARCH, -1)
+        words = F.regexp_extract_all(F.col(text), F.lit(WORD_SEARCH), F.lit(0))
         shown = F.transform(words, lambda w, i: F.when(F.array_contains(covered, i), starred(w)).otherwise(w))
         return F.array_join(F.flatten(F.zip_with(gaps, shown, lambda g, w: F.array(g, w))), "")
 
@@ -170,9 +182,13 @@ def censor_by_lexicon(
 
         return F.concat(*(spans(n) for n in range(1, longest + 1)))
 
-    if longest == 1:  # a word tells by itself, without its position
-        censored = replace_where(
-            F.col(text), WORD_PATTERN, lambda w: F.when(F.array_contains("_found", fold_word(w)), starred(w)).otherwise(w)
+    if longest == 1:
+        # In the order in which they come: frequent words come early and are found soon.
+        censored = let(
+            F.array_intersect(_words(F.col(text)), F.col("_found")),
+            lambda found: replace_where(
+                F.col(text), WORD_SEARCH, lambda w: F.when(F.array_contains(found, w), starred(w)).otherwise(w)
+            ),
         )
     else:
         censored = let(let(_folded_words(F.col(text)), covered), starred_at)
