@@ -12,6 +12,7 @@ from veilspark.functions.sanitize import sanitize_column, sanitize_text_column
 from veilspark.functions.secrets import is_high_entropy, redact_secrets
 from veilspark.operators.sanitize import sanitize_table
 from veilspark.streaming import jobs as S
+from veilspark.streaming.sessions import session_stream
 from veilspark.streaming.sinks import read_updates
 
 ROUNDS = "spark.sql.analyzer.maxIterations"
@@ -71,3 +72,16 @@ def test_marker_counts_of_odd_rows(spark, tmp_path):
     assert {(r.window_start, r.source, r.rule, r.n) for r in got.collect()} == {
         (at(0), "a", "email", 4), (at(0), "a", "secret", 1), (at(60), "a", "email", 1), (at(0), None, "email", 1),
     }
+
+
+def test_sessions_count_each_finding_of_odd_rows(spark, tmp_path):
+    rows = [
+        (1, at(0), "a", "x@y.example, password=12345678 and z@y.example"), (1, at(0), "a", "x@y.example, password=12345678 and z@y.example"),
+        (2, at(9), "a", None), (3, at(30), "a", ""), (4, at(30), None, "x@y.example"), (5, at(500), "b", "x@y.example"),
+    ]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, "event_id int, ts timestamp, source string, text string").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    session_stream(stream, out, str(tmp_path / "checkpoint"), ["event_id"], gap="10 minutes").awaitTermination()
+    got = {(r.session_start, r.session_end, r.source, r.n_texts, r.n_findings) for r in spark.read.parquet(out).collect()}
+    assert got == {(at(0), at(19), "a", 2, 3), (at(30), at(40), "a", 1, 0), (at(30), at(40), None, 1, 1)}
